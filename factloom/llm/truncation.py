@@ -1,76 +1,102 @@
 """Text cut off by field limits, found by what stands at the ends of texts, in SQL only.
 
-Texts become words (runs of letters; numbers as one word; marks of lists and tables and the ends of lines as words of their
-own).  Every run of three words is counted where it stands inside a text and where a text ends with it.  A text is cut if its
-last run is frequent inside texts but almost never ends one.  Runs too rare to tell fall back to the last two words, then to
-the last word; a last word that is rare itself is a fragment, unless the text ends like a sentence.
+Texts become words: runs of letters, numbers and codes as one word each by kind, marks of lists and tables, ends of lines.  A
+word is closed if sentence punctuation follows it.  Every run of three words (trigram) is counted inside texts and where texts
+end with it, closed and open apart; the runs that end texts are then joined with these counts.
+
+* A text whose last word is open is cut if its last run is frequent but almost never the open end of a text.  A run that often
+  is (a row of a table, a signature) ends whole texts, as does the item of a list with the last word of an item inside texts.
+  Runs too rare to tell fall back to the last two words, then to lines inside texts with the same first and last word; an
+  open end that resembles no other is a cut.
+* A text whose last word is closed is cut if its last run is frequent but almost never closed anywhere ("fell by 29." of
+  "29.5 percent"), and else whole.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
-#: A run that occurred this often tells whether texts end with it.
-LEAST_SEEN = 60
-#: Below this share of ends among its occurrences, a run ends no text.
-RARELY_ENDS = 0.004
+#: A run that occurred this often elsewhere tells where it can end.
+LEAST_SEEN = 20
+#: Below this share of its occurrences, a run ends no text (or no sentence).
+RARELY = 0.01
+#: From this share on, in at least two other places, a run ends whole texts.
+OFTEN = 0.05
+#: The least share of all texts that must end in the same open run for that to be a way whole texts end.
+LEAST_SHARE = 0.0002
 
-#: What may have been put after a cut: an ellipsis, a tag or bracket that is itself cut or whole.
-MARK_AFTER_CUT = r"(?:\\s|…|\\.{3,}|\\[[a-zA-Z ]*(?:…|\\.{3})?\\]?|<[a-zA-Z/ ]*>?|�)+$"
+_CLOSERS = r"[)\"”»’]*(?:[.?!]|[ \u00a0][?!])[\"”»’)]*"
+#: What may have been put after a cut, and blanks: an ellipsis, or a tag or bracket, itself cut or whole.
+_AFTER_CUT = r"(?:\\s|…|(?<!\\.)\\.{3}|\\.{3}(?=$)|\\[[a-zA-Z ]*(?:…|\\.{3})?\\]?|<[a-zA-Z/ ]*>?)+$"
 
 
 def words_sql(text: str) -> str:
-    """Array of the words of a text.  Numbers, and letters with numbers, count as one word each by kind."""
+    """SQL for the array of the words of a text, a closed word with a full stop after it."""
     t = f"lower({text})"
-    t = f"regexp_replace({t}, '[0-9]+(?:[.,:/-][0-9]+)*', '0')"
-    t = f"regexp_replace({t}, '\\\\s*\\\\n\\\\s*', ' \\n ')"
-    return f"regexp_extract_all({t}, '\\n|[|*•]+|(?<=\\n )-|[\\\\p{{L}}\\\\p{{M}}]+|0', 0)"
+    t = rf"regexp_replace({t}, '[0-9]+(?:[.,:/-][0-9]+)*', '0')"
+    t = rf"regexp_replace({t}, '[\\p{{L}}]+-0', '00')"
+    t = rf"regexp_replace({t}, '([\\p{{L}}0]){_CLOSERS.replace(chr(92), chr(92) * 2)}', '$1.')"
+    t = rf"regexp_replace({t}, '\\s*\\n\\s*', ' \n ')"
+    return rf"regexp_extract_all({t}, '\n|[|*•]+|(?<=\n )-|(?:[\\p{{L}}\\p{{M}}]+|0+)\\.?', 0)"
 
 
-def truncated_texts(docs: DataFrame, doc_id: str, text: str, source: str, least_seen: int = LEAST_SEEN, rarely_ends: float = RARELY_ENDS) -> DataFrame:
-    """One row per document: ``doc_id``, ``source``, ``is_cut`` and the evidence (``words_used``: 3, 2, 1 or 0; ``seen``; ``ends``).
+def truncated_texts(docs: DataFrame, doc_id: str, text: str, source: str, least_seen: int = LEAST_SEEN, rarely: float = RARELY, often: float = OFTEN, least_share: float = LEAST_SHARE) -> DataFrame:
+    """One row per document: ``doc_id``, ``source``, ``is_cut`` and ``evidence`` (what decided).
 
-    NULL and blank texts are not cut.  All texts are read whole; counts cover all documents, and a document's own end is not
-    counted as evidence that its last run ends texts.  Repeated rows are judged alike; ids should be unique.
+    NULL texts and texts without words are not cut (evidence "none").  All texts are read whole and all are counted; a
+    document's own end is no evidence about itself.  Repeated rows are judged alike (each counts once more); ids should be unique.
+    Only ``doc_id``, ``text`` and ``source`` are read.
     """
-    spark = docs.sparkSession
-    docs.selectExpr(f"{doc_id} AS doc_id", f"{text} AS body", f"{source} AS source").createOrReplaceTempView("__truncation_docs")
-    return spark.sql(f"""
+    inputs = f"texts_{uuid.uuid4().hex}"
+    docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS body", f"`{source}` AS source").createOrReplaceTempView(inputs)
+    return docs.sparkSession.sql(
+        rf"""
     WITH bodies AS (
-      SELECT doc_id, source, body, regexp_replace(body, '{MARK_AFTER_CUT}', '') AS core FROM __truncation_docs
+      SELECT doc_id, source, regexp_replace(body, '{_AFTER_CUT}', '') AS core FROM {inputs}
     ), worded AS (
-      SELECT doc_id, source, body, core, concat(array('\\n', '\\n'), {words_sql('core')}) AS w FROM bodies
+      SELECT doc_id, source, core, concat(array('^', '^'), {words_sql('core')}) AS w FROM bodies
     ), runs AS (
-      SELECT run.w3 AS w3, run.w2 AS w2, run.w1 AS w1, count(*) AS seen, count_if(run.last) AS ends
+      SELECT run.w3, run.w2, run.w1, count(*) AS seen, count_if(run.closed) AS closed, count_if(run.last AND run.closed) AS ends_closed, count_if(run.last AND NOT run.closed) AS ends_open
       FROM (
-        SELECT explode(transform(sequence(3, size(w)), i -> named_struct('w3', w[i - 3], 'w2', w[i - 2], 'w1', w[i - 1], 'last', i = size(w)))) AS run
+        SELECT explode(transform(sequence(3, size(w)), i -> named_struct(
+          'w3', rtrim('.', w[i - 3]), 'w2', rtrim('.', w[i - 2]), 'w1', rtrim('.', w[i - 1]), 'closed', endswith(w[i - 1], '.'), 'last', i = size(w)))) AS run
         FROM worded WHERE size(w) > 2)
       GROUP BY run.w3, run.w2, run.w1
     ), pairs AS (
-      SELECT w2, w1, sum(seen) AS seen, sum(ends) AS ends FROM runs GROUP BY w2, w1
-    ), singles AS (
-      SELECT w1, sum(seen) AS seen, sum(ends) AS ends FROM pairs GROUP BY w1
+      SELECT w2, w1, sum(seen) AS seen, sum(closed) AS closed, sum(ends_open) AS ends_open FROM runs GROUP BY w2, w1
+    ), lines AS (
+      SELECT lw[1] AS head, lw[size(lw) - 1] AS tail, count(*) AS seen
+      FROM (SELECT {words_sql("concat('\n ', line)")} AS lw FROM (SELECT explode(slice(split(core, '\n'), 1, size(split(core, '\n')) - 1)) AS line FROM bodies) WHERE line RLIKE '\\S')
+      WHERE size(lw) > 1 AND NOT endswith(lw[size(lw) - 1], '.')
+      GROUP BY 1, 2
     ), tails AS (
-      SELECT doc_id, source, core, body, size(w) > 2 AS has_words, w[size(w) - 3] AS w3, w[size(w) - 2] AS w2, w[size(w) - 1] AS w1,
-        coalesce(rtrim(core) RLIKE '[.?!][\"”»’)]*$', false) AS closed
+      SELECT doc_id, source, size(w) > 2 AS has_words, rtrim('.', w[size(w) - 3]) AS w3, rtrim('.', w[size(w) - 2]) AS w2, rtrim('.', w[size(w) - 1]) AS w1,
+        rtrim(core) RLIKE '{_CLOSERS.replace(chr(92), chr(92) * 2)}$' AS closed, {words_sql(r"concat('\n ', element_at(split(core, '\n'), -1))")} AS lw
       FROM worded
     ), judged AS (
-      SELECT t.doc_id, t.source, t.closed, t.has_words, r.seen AS seen3, r.ends - 1 AS ends3, p.seen AS seen2, p.ends - 1 AS ends2, s.seen AS seen1, s.ends - 1 AS ends1,
-        coalesce(body RLIKE '(?:…|\\\\.{{3}}|\\\\[[a-zA-Z ]*|<[a-zA-Z]*|\\uFFFD)\\\\s*$', false) AS marked
+      SELECT t.doc_id, t.source, t.has_words, t.closed,
+        r.seen - 1 AS seen3, r.closed - 1 AS closed3, r.ends_open - 1 AS open3, p.seen - 1 AS seen2, p.closed - 1 AS closed2, p.ends_open - 1 AS open2, l.seen AS lines_seen, t.lw[1] RLIKE '^[-*•]+$' AS item, (SELECT count(*) FROM {inputs}) AS texts
       FROM tails t
       LEFT JOIN runs r ON t.w3 = r.w3 AND t.w2 = r.w2 AND t.w1 = r.w1
       LEFT JOIN pairs p ON t.w2 = p.w2 AND t.w1 = p.w1
-      LEFT JOIN singles s ON t.w1 = s.w1
+      LEFT JOIN lines l ON t.lw[1] = l.head AND t.lw[size(t.lw) - 1] = l.tail AND size(t.lw) > 1
+    ), decided AS (
+      SELECT doc_id, source, CASE
+        WHEN has_words IS NOT TRUE THEN 'none'
+        WHEN closed AND seen3 >= {least_seen} THEN if(closed3 < {rarely} * seen3, 'cut: run never closed', 'whole: run closed')
+        WHEN closed AND seen2 >= {least_seen} THEN if(closed2 < {rarely} * seen2, 'cut: pair never closed', 'whole: pair closed')
+        WHEN closed THEN 'whole: closed'
+        WHEN item AND lines_seen >= 2 THEN 'whole: such items occur'
+        WHEN open3 >= greatest(2, {least_share} * texts) AND open3 >= {often} * seen3 THEN 'whole: run ends texts'
+        WHEN seen3 >= {least_seen} AND open3 < {rarely} * seen3 THEN 'cut: run never ends texts'
+        WHEN open2 >= greatest(3, 2 * {least_share} * texts) AND open2 >= {often} * seen2 THEN 'whole: pair ends texts'
+        WHEN seen2 >= {least_seen} AND open2 < {rarely} * seen2 THEN 'cut: pair never ends texts'
+        WHEN lines_seen >= 2 THEN 'whole: such lines occur'
+        ELSE 'cut: open and like no other end' END AS evidence
+      FROM judged
+    )
+    SELECT doc_id, source, startswith(evidence, 'cut') AS is_cut, evidence FROM decided
+    """
     )
-    SELECT doc_id, source,
-      has_words AND CASE
-        WHEN seen3 >= {least_seen} THEN ends3 < {rarely_ends} * seen3
-        WHEN seen2 >= {least_seen} THEN ends2 < {rarely_ends} * seen2
-        WHEN seen1 >= {least_seen} THEN ends1 < {rarely_ends} * seen1 AND NOT closed OR NOT closed AND ends1 < 0.05 * seen1
-        ELSE NOT closed END AS is_cut,
-      CASE WHEN NOT has_words THEN 0 WHEN seen3 >= {least_seen} THEN 3 WHEN seen2 >= {least_seen} THEN 2 WHEN seen1 >= {least_seen} THEN 1 ELSE 0 END AS words_used,
-      CASE WHEN seen3 >= {least_seen} THEN seen3 WHEN seen2 >= {least_seen} THEN seen2 ELSE seen1 END AS seen,
-      CASE WHEN seen3 >= {least_seen} THEN ends3 WHEN seen2 >= {least_seen} THEN ends2 ELSE ends1 END AS ends,
-      closed, marked
-    FROM judged
-    """)
