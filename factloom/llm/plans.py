@@ -73,7 +73,7 @@ PERCENTILE_ERROR = 0.01
 FILLER_VALUES = (-999999.0,)
 
 
-def p4_daily_sketches(spark: SparkSession, d: str) -> DataFrame:
+def daily_sketches(spark: SparkSession, d: str) -> DataFrame:
     """Bucket counts of each metric, sector and day.  A row delivered again counts once."""
     sectors = latest_by(read_table(spark, d, "securities").select(F.col("security_id").alias("listing_id"), "sector", "updated_at"), ["listing_id"], ["updated_at"])
     sectors = sectors.select("listing_id", F.initcap(F.regexp_replace("sector", _OUTER, "")).alias("sector"))
@@ -81,8 +81,12 @@ def p4_daily_sketches(spark: SparkSession, d: str) -> DataFrame:
     return bucket_counts(values.join(sectors, "listing_id", "left"), ["metric_id", "sector", "as_of"], F.col("value"), PERCENTILE_ERROR)
 
 
+def p4_daily_sketches(spark: SparkSession, d: str) -> DataFrame:
+    return daily_sketches(spark, d).withColumn("as_of", F.date_format("as_of", "yyyy-MM-dd"))
+
+
 def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    merged = merge_counts(p4_daily_sketches(spark, d), ["metric_id", "sector"])
+    merged = merge_counts(daily_sketches(spark, d), ["metric_id", "sector"])
     out = percentiles(merged, ["metric_id", "sector"], {"p50": 0.5, "p90": 0.9, "p99": 0.99}, PERCENTILE_ERROR)
     fix = lambda c: F.when(F.abs(c) >= 1000, F.round(c, 1)).otherwise(F.round(c, 6)).alias(c)
     return out.select("metric_id", "sector", "n", fix("p50"), fix("p90"), fix("p99"), F.lit(PERCENTILE_ERROR).alias("relative_error"))
@@ -124,3 +128,52 @@ def p10_by_source(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_percentiles, p4_daily_sketches, p8_packing, p8_fill, p9_found, p9_leaks, p10_found, p10_judged, p10_by_source)}
+
+_P2_SQL = """
+WITH f AS (
+  SELECT fact_id, end_date, CASE upper(trim(currency)) WHEN 'GBX' THEN 'GBP' WHEN 'GBP0.01' THEN 'GBP' WHEN 'ZAC' THEN 'ZAR' WHEN 'ILA' THEN 'ILS' ELSE upper(trim(currency)) END AS e FROM financial_facts WHERE currency IS NOT NULL
+), r AS (
+  SELECT DISTINCT base_currency, quote_currency, rate_date, CASE WHEN quote_currency = 'USD' THEN base_currency ELSE quote_currency END AS e, CASE WHEN quote_currency = 'USD' THEN 0 ELSE 1 END AS priority
+  FROM fx_rates WHERE (base_currency = 'USD') <> (quote_currency = 'USD')
+), k AS (
+  SELECT k.e, k.end_date, base_currency, quote_currency, rate_date FROM (SELECT DISTINCT e, end_date FROM f) k JOIN r ON r.e = k.e AND r.rate_date BETWEEN k.end_date - 7 AND k.end_date + 7
+  QUALIFY row_number() OVER (PARTITION BY k.e, k.end_date ORDER BY abs(date_diff('day', k.end_date, rate_date)), rate_date, priority) = 1
+)
+SELECT fact_id, base_currency, quote_currency, strftime(rate_date, '%Y-%m-%d') AS rate_date FROM f JOIN k USING (e, end_date)
+"""
+_P3_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT listing_id, 'i' AS kind, regexp_replace(upper(isin), '[\s-]', '', 'g') AS value FROM listing_evidence
+  UNION SELECT listing_id, 'l', regexp_replace(upper(lei), '[\s-]', '', 'g') FROM listing_evidence
+  UNION SELECT listing_id, 't', regexp_replace(upper(primary_ticker), '^\s+|\s+$', '', 'g') FROM listing_evidence
+), ok AS (
+  SELECT * FROM v WHERE CASE kind
+    WHEN 'i' THEN regexp_full_match(value, '[A-Z]{2}[A-Z0-9]{9}[0-9]') AND replace(value[3:11], value[3], '') <> ''
+    WHEN 'l' THEN regexp_full_match(value, '[A-Z0-9]{20}') AND replace(value[1:18], value[1], '') <> '' AND replace(value[5:18], value[5], '') <> ''
+    ELSE regexp_full_match(value, '[A-Z0-9][A-Z0-9&.-]*\.[A-Z0-9]+') AND (value[2] = '.' OR replace(split_part(value, '.', 1), value[1], '') <> '') END
+), edges AS (SELECT DISTINCT a.listing_id AS x, b.listing_id AS y FROM ok a JOIN ok b USING (kind, value)),
+reach AS (SELECT x, y FROM edges UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x)
+SELECT x AS listing_id, min(y) AS group_id FROM reach GROUP BY x HAVING count(*) > 1
+"""
+_G = (1 + PERCENTILE_ERROR) / (1 - PERCENTILE_ERROR)
+_SKETCH_SQL = f"""
+WITH s AS (
+  SELECT security_id AS listing_id, array_to_string(list_transform(string_split(lower(trim(sector)), ' '), lambda x: upper(x[1]) || x[2:]), ' ') AS sector
+  FROM securities QUALIFY row_number() OVER (PARTITION BY security_id ORDER BY updated_at DESC) = 1
+), m AS (
+  SELECT DISTINCT listing_id, metric_id, as_of, value FROM metrics WHERE value IS NOT NULL AND NOT isnan(value) AND NOT isinf(value) AND value <> -999999.0
+), b AS (
+  SELECT metric_id, sector, as_of, CAST(sign(value) AS INTEGER) AS sign, CASE WHEN value = 0 THEN 0 ELSE CAST(ceil(ln(abs(value)) / ln({_G!r})) AS BIGINT) END AS bucket, count(*) AS n
+  FROM m LEFT JOIN s USING (listing_id) GROUP BY ALL
+)
+"""
+_PCT = ", ".join(f"min_by(v, upto) FILTER (upto > floor({q} * (total - 1))) AS {n}" for n, q in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99)))
+_P4_SQL = f"""{_SKETCH_SQL}, c AS (SELECT metric_id, sector, sign, bucket, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY ALL),
+r AS (
+  SELECT *, sum(n) OVER (PARTITION BY metric_id, sector ORDER BY sign, sign * bucket) AS upto, sum(n) OVER (PARTITION BY metric_id, sector) AS total,
+    CASE WHEN sign = 0 THEN 0.0 ELSE sign * 2 * power({_G!r}, bucket) / ({_G!r} + 1) END AS v
+  FROM (SELECT metric_id, sector, sign, bucket, n FROM c)
+), p AS (SELECT metric_id, sector, CAST(max(total) AS BIGINT) AS n, {_PCT} FROM r GROUP BY 1, 2)
+SELECT metric_id, sector, n, {", ".join(f"CASE WHEN abs({x}) >= 1000 THEN round({x}, 1) ELSE round({x}, 6) END AS {x}" for x in ("p50", "p90", "p99"))}, CAST({PERCENTILE_ERROR} AS DOUBLE) AS relative_error FROM p
+"""
+SQL = {"p2_found": _P2_SQL, "p3_found": _P3_SQL, "p4_daily_sketches": _SKETCH_SQL + "SELECT * REPLACE (strftime(as_of, '%Y-%m-%d') AS as_of) FROM b", "p4_percentiles": _P4_SQL}

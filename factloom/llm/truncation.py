@@ -67,21 +67,21 @@ def truncated_texts(docs: DataFrame, doc_id: str, text: str, source: str, least_
     ), pairs AS (
       SELECT w2, w1, sum(seen) AS seen, sum(closed) AS closed, sum(ends_open) AS ends_open FROM runs GROUP BY w2, w1
     ), lines AS (
-      SELECT lw[1] AS head, lw[size(lw) - 1] AS tail, count(*) AS seen
+      SELECT get(lw, 1) AS head, get(lw, size(lw) - 1) AS tail, count(*) AS seen
       FROM (SELECT {words_sql("concat('\n ', line)")} AS lw FROM (SELECT explode(slice(split(core, '\n'), 1, size(split(core, '\n')) - 1)) AS line FROM bodies) WHERE line RLIKE '\\S')
-      WHERE size(lw) > 1 AND NOT endswith(lw[size(lw) - 1], '.')
+      WHERE size(lw) > 1 AND NOT endswith(get(lw, size(lw) - 1), '.')
       GROUP BY 1, 2
     ), tails AS (
-      SELECT doc_id, source, size(w) > 2 AS has_words, rtrim('.', w[size(w) - 3]) AS w3, rtrim('.', w[size(w) - 2]) AS w2, rtrim('.', w[size(w) - 1]) AS w1,
+      SELECT doc_id, source, size(w) > 2 AS has_words, rtrim('.', get(w, size(w) - 3)) AS w3, rtrim('.', get(w, size(w) - 2)) AS w2, rtrim('.', get(w, size(w) - 1)) AS w1,
         rtrim(core) RLIKE '{_CLOSERS.replace(chr(92), chr(92) * 2)}$' AS closed, {words_sql(r"concat('\n ', element_at(split(core, '\n'), -1))")} AS lw
       FROM worded
     ), judged AS (
       SELECT t.doc_id, t.source, t.has_words, t.closed,
-        r.seen - 1 AS seen3, r.closed - 1 AS closed3, r.ends_open - 1 AS open3, p.seen - 1 AS seen2, p.closed - 1 AS closed2, p.ends_open - 1 AS open2, l.seen AS lines_seen, t.lw[1] RLIKE '^[-*•]+$' AS item, (SELECT count(*) FROM {inputs}) AS texts
+        r.seen - 1 AS seen3, r.closed - 1 AS closed3, r.ends_open - 1 AS open3, p.seen - 1 AS seen2, p.closed - 1 AS closed2, p.ends_open - 1 AS open2, l.seen AS lines_seen, get(t.lw, 1) RLIKE '^[-*•]+$' AS item, (SELECT count(*) FROM {inputs}) AS texts
       FROM tails t
       LEFT JOIN runs r ON t.w3 = r.w3 AND t.w2 = r.w2 AND t.w1 = r.w1
       LEFT JOIN pairs p ON t.w2 = p.w2 AND t.w1 = p.w1
-      LEFT JOIN lines l ON t.lw[1] = l.head AND t.lw[size(t.lw) - 1] = l.tail AND size(t.lw) > 1
+      LEFT JOIN lines l ON get(t.lw, 1) = l.head AND get(t.lw, size(t.lw) - 1) = l.tail AND size(t.lw) > 1
     ), decided AS (
       SELECT doc_id, source, CASE
         WHEN has_words IS NOT TRUE THEN 'none'
