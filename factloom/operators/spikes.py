@@ -2,7 +2,7 @@
 
 Rows are collapsed to one per series and date on the map side first, so a series is never longer than its calendar has days,
 whatever its share of the rows.  Levels come from the dates around; the usual spread of a series comes from a quantile sketch
-(Greenwald-Khanna, merged from partial sketches) of its relative distances from its level.
+(Greenwald-Khanna) of its relative distances from its level.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ from factloom.operators.materialize import materialize
 #: Dates that stand for a missing one (fixed values).
 FILLER_DATES = ("0001-01-01", "1900-01-01", "2099-12-31", "9999-12-31")
 
+#: Flagged dates up to this many are broadcast to the rows; beyond, both are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
 
 def _same(a: Column, b: Column) -> Column:
     """Equal but for the rounding of a change of units."""
@@ -23,7 +26,7 @@ def _same(a: Column, b: Column) -> Column:
 
 def _median(values: Column) -> Column:
     """Median of an array without NULLs; NULL if it is empty."""
-    s, n = F.array_sort(values), F.size(values)
+    s, n = F.sort_array(values), F.size(values)
     return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
 
 
@@ -57,26 +60,27 @@ def implausible_values(
 
     ``series`` holds the source and the context in which its values compare.  If a date has several values, the one greatest
     by ``newest`` stands for the level; each row is then judged by its own value.  Rows without a date, with a filler date or
-    with a NULL or NaN value can only be impossible, and NULL or NaN never is.  NULL is a series key of its own.  Repeated
+    with a NULL or NaN value can only be impossible, and NULL or NaN never is.  A NULL in ``series`` is a value of its own.  Repeated
     rows are judged alike.  ``row_id`` should be unique; a repeated one is returned as often as it is flagged.
     """
     rows = df.select(
         F.col(row_id).alias("__id"),
-        *(F.coalesce(F.col(s).cast("string"), F.lit("\0")).alias(f"__s{i}") if df.schema[s].dataType.simpleString() == "string" else F.col(s).alias(f"__s{i}") for i, s in enumerate(series)),
+        F.coalesce(F.col(series[0]).cast("string"), F.lit("\0")).alias("__s0") if not df.schema[series[0]].dataType.simpleString() in ("bigint", "int") else F.col(series[0]).alias("__s0"),
+        # A long in place of the other texts: it only has to tell apart series of one and the same first column.
+        F.xxhash64(*series[1:]).alias("__s1"),
         F.col(at).alias("__at"),
         F.when(~F.isnan(value), F.col(value)).alias("__v"),
-        F.struct(*newest, row_id).alias("__newest"),
+        F.struct(*newest).alias("__newest"),
         F.coalesce((F.col(value) < 0) & ~may_be_negative | (F.col(value) > upper_bound) & ~F.isnan(value), (F.col(value) < 0) & ~may_be_negative, F.lit(False)).alias("__impossible"),
         F.coalesce(may_be_stuck, F.lit(False)).alias("__may_stick"),
     )
     # Units are parsed once; three cheap scans of this table follow.
     rows = materialize(rows, "readings")
-    keys = [f"__s{i}" for i in range(len(series))]
+    keys = ["__s0", "__s1"]
     usable = rows.filter(F.col("__v").isNotNull() & F.col("__at").isNotNull() & ~F.col("__at").cast("string").isin(*FILLER_DATES))
-    dates = (
-        usable.repartition(*keys)
-        .groupBy(*keys, "__at")
-        .agg(F.max_by("__v", "__newest").alias("v"), F.min("__v").alias("low"), F.max("__v").alias("high"), F.count("*").alias("n"), F.min("__may_stick").alias("may_stick"))
+    # Two exchanges: this one combines the rows of a date on the map side, the next brings the dates of a series together.
+    dates = usable.groupBy(*keys, "__at").agg(
+        F.max_by("__v", "__newest").alias("v"), F.min("__v").alias("low"), F.max("__v").alias("high"), F.count("*").alias("n"), F.min("__may_stick").alias("may_stick")
     )
     order = Window.partitionBy(*keys).orderBy("__at")
     steps = range(1, max(reach, least_stuck - 1) + 1)
@@ -101,12 +105,14 @@ def implausible_values(
     )
     distance = F.col("v") - F.col("level")
     relative = F.when(distance == 0, 0.0).otherwise(F.coalesce(F.try_divide(distance, F.abs("level")), F.lit(1e9)))
-    sketch = dates.filter(F.col("level").isNotNull() & (F.col("rows") >= least_rows)).groupBy(*keys).agg(F.percentile_approx(relative, F.array(F.lit(0.25), F.lit(0.75)), F.lit(accuracy)).alias("q"))
+    # The sketch of a series covers all its dates; it is built where they already are, in one task each.
+    usual = F.percentile_approx(F.when(F.col("level").isNotNull(), relative), F.array(F.lit(0.25), F.lit(0.75)), F.lit(accuracy)).over(Window.partitionBy(*keys))
+    dates = dates.withColumn("q", F.when(F.col("rows") >= least_rows, usual))
     spread = (F.col("q")[1] - F.col("q")[0]) / 1.349
     top, bottom = F.greatest("before", "after"), F.least("before", "after")
     margin = F.greatest(F.lit(least_jump), spreads * spread)
     both = F.col("before").isNotNull() & F.col("after").isNotNull()
-    fenced = dates.join(sketch, keys, "left").select(
+    fenced = dates.select(
         *keys, "__at", "v", "low", "high", "stuck",
         F.when(both & F.col("q").isNotNull(), top + margin * F.abs(top)).alias("upper"),
         F.when(both & F.col("q").isNotNull(), bottom - margin * F.abs(bottom)).alias("lower"),
@@ -123,6 +129,9 @@ def implausible_values(
         whole = whole | part
     fenced = fenced.withColumn("long", F.col("out") & whole)
     flagged = fenced.filter(F.col("stuck") | ~F.col("long") & (outside("low") | outside("high"))).select(*keys, "__at", "stuck", F.when(~F.col("long"), F.col("upper")).alias("upper"), F.when(~F.col("long"), F.col("lower")).alias("lower"))
+    flagged = materialize(flagged, "flagged")
+    if flagged.count() <= BROADCAST_ROWS:
+        flagged = F.broadcast(flagged)
     possible = usable.filter(~F.col("__impossible")).select("__id", *keys, "__at", "__v")
     judged = possible.join(flagged, [*keys, "__at"]).withColumn("reason", F.when(F.col("stuck"), "stuck").when(outside("__v"), "spike")).filter(F.col("reason").isNotNull())
     impossible = rows.filter("__impossible").select("__id", F.lit("impossible").alias("reason"))
