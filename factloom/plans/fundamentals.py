@@ -291,3 +291,24 @@ QUERIES = {
         win5_strict_three_years, win6_chain_of_years, win12_profit_streak, win14_sector_midrank, fx_rates_as_of, fx7_aligned_facts,
     )
 }
+
+
+#: Names of the project's concepts where the metrics use another (fixed values).
+ALIASES = {"NetCashProvidedByOperatingActivities": "NetCashProvidedByUsedInOperatingActivities", "DepreciationAndAmortization": "DepreciationDepletionAndAmortization", "MarketCapitalization": "ProviderMarketCapitalization"}
+
+
+def metric_facts(spark, d):
+    """Clean facts under the metrics' names."""
+    names = F.create_map(*(F.lit(x) for pair in ALIASES.items() for x in pair))
+    return clean_facts(spark, d).withColumn("concept", F.coalesce(names[F.col("concept")], F.col("concept")))
+
+
+def met_all(spark, d):
+    """Every metric of every listing that can be computed from the facts (prices are not among the tables)."""
+    from factloom.metrics.registry import compute_metrics
+
+    out = compute_metrics(metric_facts(spark, d), reference())
+    return out.select("listing_id", "metric_id", "unit_kind", F.round("value", 6).alias("value"), F.date_format("as_of", "yyyy-MM-dd").alias("as_of"))
+
+
+QUERIES["met_all"] = met_all
