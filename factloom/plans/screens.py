@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from factloom.functions import scalars as S
 from factloom.operators.latest import latest_by
+from factloom.operators.materialize import materialize
+from factloom.operators.normalize import facts_from_entries, unit_flips, with_implied_eps
 from factloom.operators.ranking import score
 from factloom.operators.universe import classify, fill_missing, group_issuers
 from factloom.operators.upsert import changed_payloads, upsert
 from factloom.plans import oracle as O
 from factloom.plans.fundamentals import _INITCAP, _SECURITIES, REFERENCE_DATE, clean_facts, metric_facts, reference, src10_descriptions
+from factloom.plans.records import payload_rows
 from factloom.plans.screen import fallout, parse_screen, run_screen, screen_details, screen_input
 from factloom.sources.tables import read_table
 
@@ -103,6 +106,25 @@ def rep_source_profile(spark, d):
     return f.groupBy("source", "fiscal_period").agg(F.count("*").alias("n"), F.round(F.count_if(F.col("filed").isNull()) / F.count("*"), 6).alias("unfiled"), F.date_format(F.max("end_date"), "yyyy-MM-dd").alias("newest"))
 
 
+def norm1_facts(spark, d):
+    """Facts of the newest payloads."""
+    out = facts_from_entries(materialize(payload_rows(spark, d), "payload-rows"), "provider_listing_id")
+    return out.select("provider_listing_id", "concept", "fiscal_period", F.date_format("end_date", "yyyy-MM-dd").alias("end_date"), "unit_kind", F.round("value", 4).alias("value"), F.date_format("filed", "yyyy-MM-dd").alias("filed"), "currency")
+
+
+def norm6_implied_eps(spark, d):
+    facts = facts_from_entries(materialize(payload_rows(spark, d), "payload-rows"), "provider_listing_id")
+    out = with_implied_eps(materialize(facts, "facts"), "provider_listing_id").filter("concept = 'EarningsPerShare'")
+    return out.select("provider_listing_id", "fiscal_period", F.date_format("end_date", "yyyy-MM-dd").alias("end_date"), F.round("value", 6).alias("value"), "currency")
+
+
+def win13_unit_flips(spark, d):
+    """Earnings per share recorded in hundredths for a while: values as delivered, one per series and date (the latest filing)."""
+    rows = read_table(spark, d, "financial_facts").filter("concept = 'EarningsPerShare' AND fiscal_period IN ('Q1', 'Q2', 'Q3', 'Q4')")
+    rows = rows.groupBy("listing_id", "source", "end_date").agg(F.max_by(F.struct("value", "fact_id"), F.struct(F.coalesce("filed", F.lit("0001-01-01").cast("date")), "fact_id")).alias("r")).select("listing_id", "source", "end_date", "r.*")
+    return unit_flips(rows, ["listing_id", "source"], "end_date", "value").select("fact_id", "scale")
+
+
 _IDS = ["current_ratio", "price_to_book", "roce_ttm", "croic", "eps_streak"]
 _WIDE = "n AS (SELECT listing_id, metric_id, value FROM metrics WHERE metric_id IN ('current_ratio', 'price_to_book', 'roce_ttm', 'croic', 'eps_streak') AND value IS NOT NULL AND NOT isnan(value) AND value <> -999999.0 AND NOT isinf(value) QUALIFY row_number() OVER (PARTITION BY listing_id, metric_id ORDER BY as_of DESC, value DESC) = 1), w AS (SELECT listing_id, " + ", ".join(f"max(value) FILTER (metric_id = '{i}') AS {i}" for i in _IDS) + """ FROM n GROUP BY 1),
 m AS (SELECT *, current_ratio >= 0.08 AS a, price_to_book <= 1.5 AS b, roce_ttm > croic * 0.5 AS c, eps_streak >= 3 AS e FROM w),
@@ -172,7 +194,13 @@ SQL = {
         UNION ALL SELECT listing_id, 'eps_6y_avg', avg(value), max(top) FROM e WHERE rn <= 6 AND n >= 6 AND top >= DATE '{REFERENCE_DATE}' - 480 GROUP BY 1
         UNION ALL SELECT a.listing_id, 'revenue_cagr_10y', power(a.v / c.v, 0.1) - 1, a.end_date FROM y a JOIN y c ON a.listing_id = c.listing_id AND a.rn = 1 AND c.yr = a.yr - 10 WHERE a.v > 0 AND c.v > 0 AND a.end_date >= DATE '{REFERENCE_DATE}' - 480)
         SELECT listing_id, metric_id, round(CAST(value AS DOUBLE), 4) AS value, strftime(d, '%Y-%m-%d') AS as_of FROM o""",
+    "win13_unit_flips": """WITH r AS (SELECT listing_id, source, end_date, arg_max(value, (coalesce(filed, DATE '0001-01-01'), fact_id)) AS v, arg_max(fact_id, (coalesce(filed, DATE '0001-01-01'), fact_id)) AS fact_id
+        FROM financial_facts WHERE concept = 'EarningsPerShare' AND fiscal_period IN ('Q1', 'Q2', 'Q3', 'Q4') GROUP BY 1, 2, 3),
+        a AS (SELECT *, abs(nullif(v, 0)) AS x, abs(last_value(nullif(v, 0) IGNORE NULLS) OVER (PARTITION BY listing_id, source ORDER BY end_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS p FROM r),
+        s AS (SELECT *, sum(CASE WHEN greatest(x / p, p / x) BETWEEN 40 AND 140 THEN 1 ELSE 0 END) OVER (PARTITION BY listing_id, source ORDER BY end_date) AS seg FROM a),
+        m AS (SELECT *, median(x) OVER (PARTITION BY listing_id, source, seg) AS med FROM s)
+        SELECT fact_id, CASE WHEN max(seg) OVER (PARTITION BY listing_id, source) > 0 AND med > sqrt(min(med) OVER (PARTITION BY listing_id, source) * max(med) OVER (PARTITION BY listing_id, source)) THEN 0.01::DOUBLE ELSE 1.0::DOUBLE END AS scale FROM m""",
     "rep_source_profile": f"WITH {O.CLEAN} SELECT source, fiscal_period, count(*) AS n, round(count(*) FILTER (filed IS NULL) / count(*), 6) AS unfiled, strftime(max(end_date), '%Y-%m-%d') AS newest FROM clean GROUP BY 1, 2",
 }
 
-QUERIES = {f.__name__: f for f in (scr_passers, scr_details, scr_fallout, rnk_scores, uni1_classification, uni3_issuer_groups, uni5_completed_evidence, snk2_upserted_listings, norm9_changed_payloads, met_balance, rep_source_profile)}
+QUERIES = {f.__name__: f for f in (scr_passers, scr_details, scr_fallout, rnk_scores, uni1_classification, uni3_issuer_groups, uni5_completed_evidence, snk2_upserted_listings, norm9_changed_payloads, met_balance, rep_source_profile, norm1_facts, norm6_implied_eps, win13_unit_flips)}
