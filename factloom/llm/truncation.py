@@ -1,6 +1,6 @@
 """Text cut off by field limits, found by what stands at the ends of texts, in SQL only.
 
-Texts become words: runs of letters, numbers and codes as one word each by kind, marks of lists and tables, ends of lines.  A
+Texts become words by blanks and punctuation, with numbers and codes as one word each by kind, marks of lists and tables, ends of lines.  A
 word is closed if sentence punctuation follows it.  Every run of three words (trigram) is counted inside texts and where texts
 end with it, closed and open apart; the runs that end texts are then joined with these counts.
 
@@ -18,6 +18,8 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+from factloom.operators.materialize import materialize
+
 #: A run that occurred this often elsewhere tells where it can end.
 LEAST_SEEN = 20
 #: Below this share of its occurrences, a run ends no text (or no sentence).
@@ -33,13 +35,15 @@ _AFTER_CUT = r"(?:\\s|…|(?<!\\.)\\.{3}|\\.{3}(?=$)|\\[[a-zA-Z ]*(?:…|\\.{3})
 
 
 def words_sql(text: str) -> str:
-    """SQL for the array of the words of a text, a closed word with a full stop after it."""
-    t = f"lower({text})"
+    """SQL for the array of the words of a text, a closed word with a full stop after it.
+
+    The patterns fail at once on letters, and the last steps work on characters, as every text goes through here."""
+    t = rf"regexp_replace({text}, '\\b[A-Z]+-[0-9]+', 'xcodex')"
     t = rf"regexp_replace({t}, '[0-9]+(?:[.,:/-][0-9]+)*', '0')"
-    t = rf"regexp_replace({t}, '[\\p{{L}}]+-0', '00')"
-    t = rf"regexp_replace({t}, '([\\p{{L}}0]){_CLOSERS.replace(chr(92), chr(92) * 2)}', '$1.')"
-    t = rf"regexp_replace({t}, '\\s*\\n\\s*', ' \n ')"
-    return rf"regexp_extract_all({t}, '\n|[|*•]+|(?<=\n )-|(?:[\\p{{L}}\\p{{M}}]+|0+)\\.?', 0)"
+    t = rf"regexp_replace(lower({t}), '{_CLOSERS.replace(chr(92), chr(92) * 2)}', '. ')"
+    t = rf"replace(replace({t}, '\n', ' \n '), '|', ' | ')"
+    t = rf"translate({t}, ',;:()[]<>{{}}\t\r\u00a0\u202f\"„“”«»‘’`/%&+=_…–—', '{' ' * 33}')"
+    return f"array_remove(split({t}, ' '), '')"
 
 
 def truncated_texts(docs: DataFrame, doc_id: str, text: str, source: str, least_seen: int = LEAST_SEEN, rarely: float = RARELY, often: float = OFTEN, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -47,41 +51,48 @@ def truncated_texts(docs: DataFrame, doc_id: str, text: str, source: str, least_
 
     NULL texts and texts without words are not cut (evidence "none").  All texts are read whole and all are counted; a
     document's own end is no evidence about itself.  Repeated rows are judged alike (each counts once more); ids should be unique.
-    Only ``doc_id``, ``text`` and ``source`` are read.
+    Only ``doc_id``, ``text`` and ``source`` are read.  Counts of runs are combined on the map side and written once.
     """
-    inputs = f"texts_{uuid.uuid4().hex}"
+    spark, tag = docs.sparkSession, uuid.uuid4().hex
+    inputs, counts = f"texts_{tag}", f"runs_{tag}"
     docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS body", f"`{source}` AS source").createOrReplaceTempView(inputs)
-    return docs.sparkSession.sql(
+    core = f"regexp_replace(body, '{_AFTER_CUT}', '')"
+    last_line = words_sql(r"element_at(split(core, '\n'), -1)")
+    runs = spark.sql(
         rf"""
-    WITH bodies AS (
-      SELECT doc_id, source, regexp_replace(body, '{_AFTER_CUT}', '') AS core FROM {inputs}
-    ), worded AS (
-      SELECT doc_id, source, core, concat(array('^', '^'), {words_sql('core')}) AS w FROM bodies
-    ), runs AS (
-      SELECT run.w3, run.w2, run.w1, count(*) AS seen, count_if(run.closed) AS closed, count_if(run.last AND run.closed) AS ends_closed, count_if(run.last AND NOT run.closed) AS ends_open
+      SELECT run.w3, run.w2, run.w1, count(*) AS seen, count_if(run.closed) AS closed, count_if(run.last AND NOT run.closed) AS ends_open
       FROM (
         SELECT explode(transform(sequence(3, size(w)), i -> named_struct(
           'w3', rtrim('.', w[i - 3]), 'w2', rtrim('.', w[i - 2]), 'w1', rtrim('.', w[i - 1]), 'closed', endswith(w[i - 1], '.'), 'last', i = size(w)))) AS run
-        FROM worded WHERE size(w) > 2)
+        FROM (SELECT concat(array('^', '^'), {words_sql(core)}) AS w FROM {inputs}) WHERE size(w) > 2)
       GROUP BY run.w3, run.w2, run.w1
-    ), pairs AS (
-      SELECT w2, w1, sum(seen) AS seen, sum(closed) AS closed, sum(ends_open) AS ends_open FROM runs GROUP BY w2, w1
+    """
+    )
+    materialize(runs, "runs").createOrReplaceTempView(counts)
+    return spark.sql(
+        rf"""
+    WITH pairs AS (
+      SELECT w2, w1, sum(seen) AS seen, sum(closed) AS closed, sum(ends_open) AS ends_open FROM {counts} GROUP BY w2, w1
     ), lines AS (
-      SELECT get(lw, 1) AS head, get(lw, size(lw) - 1) AS tail, count(*) AS seen
-      FROM (SELECT {words_sql("concat('\n ', line)")} AS lw FROM (SELECT explode(slice(split(core, '\n'), 1, size(split(core, '\n')) - 1)) AS line FROM bodies) WHERE line RLIKE '\\S')
-      WHERE size(lw) > 1 AND NOT endswith(get(lw, size(lw) - 1), '.')
+      SELECT lw[0] AS head, lw[size(lw) - 1] AS tail, count(*) AS seen
+      FROM (
+        SELECT {words_sql('line')} AS lw
+        FROM (SELECT explode(slice(split({core}, '\n'), 1, size(split({core}, '\n')) - 1)) AS line FROM {inputs})
+        WHERE NOT right(rtrim(line), 1) IN ('', '.', '?', '!'))
+      WHERE size(lw) > 1 AND NOT endswith(lw[size(lw) - 1], '.')
       GROUP BY 1, 2
     ), tails AS (
       SELECT doc_id, source, size(w) > 2 AS has_words, rtrim('.', get(w, size(w) - 3)) AS w3, rtrim('.', get(w, size(w) - 2)) AS w2, rtrim('.', get(w, size(w) - 1)) AS w1,
-        rtrim(core) RLIKE '{_CLOSERS.replace(chr(92), chr(92) * 2)}$' AS closed, {words_sql(r"concat('\n ', element_at(split(core, '\n'), -1))")} AS lw
-      FROM worded
+        endswith(get(w, size(w) - 1), '.') AS closed, {last_line} AS lw
+      FROM (SELECT doc_id, source, core, concat(array('^', '^'), {words_sql('core')}) AS w FROM (SELECT doc_id, source, {core} AS core FROM {inputs}))
     ), judged AS (
       SELECT t.doc_id, t.source, t.has_words, t.closed,
-        r.seen - 1 AS seen3, r.closed - 1 AS closed3, r.ends_open - 1 AS open3, p.seen - 1 AS seen2, p.closed - 1 AS closed2, p.ends_open - 1 AS open2, l.seen AS lines_seen, get(t.lw, 1) RLIKE '^[-*•]+$' AS item, (SELECT count(*) FROM {inputs}) AS texts
+        r.seen - 1 AS seen3, r.closed - 1 AS closed3, r.ends_open - 1 AS open3, p.seen - 1 AS seen2, p.closed - 1 AS closed2, p.ends_open - 1 AS open2,
+        l.seen AS lines_seen, get(t.lw, 0) RLIKE '^[-*•]+$' AS item, (SELECT count(*) FROM {inputs}) AS texts
       FROM tails t
-      LEFT JOIN runs r ON t.w3 = r.w3 AND t.w2 = r.w2 AND t.w1 = r.w1
+      LEFT JOIN {counts} r ON t.w3 = r.w3 AND t.w2 = r.w2 AND t.w1 = r.w1
       LEFT JOIN pairs p ON t.w2 = p.w2 AND t.w1 = p.w1
-      LEFT JOIN lines l ON get(t.lw, 1) = l.head AND get(t.lw, size(t.lw) - 1) = l.tail AND size(t.lw) > 1
+      LEFT JOIN lines l ON get(t.lw, 0) = l.head AND get(t.lw, size(t.lw) - 1) = l.tail AND size(t.lw) > 1
     ), decided AS (
       SELECT doc_id, source, CASE
         WHEN has_words IS NOT TRUE THEN 'none'
