@@ -214,3 +214,10 @@ def test_truncated(spark):
     assert all(got[400 + i] for i in range(len(cuts)))
     assert not got[9000] and not got[9001] and not got[9002]
     assert truncated_texts(docs.limit(0), "id", "text", "source").count() == 0
+
+
+def test_leaks_of_ever_the_same_words(spark):
+    docs = spark.createDataFrame([(1, "word " * 30_000), (2, "word " * 19), (3, "word " * 25 + "end"), (4, "a b " * 40)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "word " * 5_000), (8, "a b " * 10 + "c d e f"), (9, "the word " * 30)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leaked_items(docs, "doc_id", "text", items, "item_id", "text").filter("kind = 'passage'").collect()}
+    assert got == {(1, 7), (3, 7), (4, 8)}
