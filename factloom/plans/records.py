@@ -193,5 +193,9 @@ SQL = {
       v AS (SELECT fact_id, common_unit, CASE WHEN power < 0 THEN value / power(10.0, -power) ELSE value * power(10.0, power) END AS x FROM m)
       SELECT fact_id, common_unit, CASE WHEN abs(x) >= 1000 THEN round(x, 2) ELSE round(x, 8) END AS common_value FROM v""",
     "p6_found": _P6_SQL,
+    "p6_flags": _P6_SQL.replace("SELECT DISTINCT imp.fact_id FROM imp", "SELECT imp.fact_id, CASE WHEN imp.impossible THEN 'impossible' WHEN coalesce(l.stuck, false) THEN 'stuck' ELSE 'spike' END AS reason FROM imp"),
     "p7_found": _P7_SQL,
+    "p7_changes": _P7_SQL.replace(
+        "AS change_kind", "AS change_kind, CASE WHEN p.at IS NULL OR c.at IS NULL THEN '' ELSE concat_ws(',', " + ", ".join(f"CASE WHEN c.{f} IS DISTINCT FROM p.{f} THEN '{f}' END" for f in ("currency", "isin", "issuer_id", "status")) + ") END AS changed_fields"
+    ),
 }
