@@ -166,7 +166,7 @@ def _shares(df: DataFrame, ref: Column) -> DataFrame:
     far = F.greatest(a, b) / F.least(a, b)
     anchor = L("ProviderMarketCapitalization")["v"] / F.col("price")
     off = lambda x: F.greatest(x / anchor, anchor / x)
-    chosen = F.when(b.isNull() | (far <= 1.02), a).when(a.isNull(), b).when((anchor > 0) & (F.least(off(a), off(b)) <= 2.0), F.when(off(b) <= off(a), b).otherwise(a)).when(b / a >= 1.25, b).otherwise(a)
+    chosen = F.when(a.isNull(), b).when(b.isNull() | (far <= 1.02), a).when((anchor > 0) & (F.least(off(a), off(b)) <= 2.0), F.when(off(b) <= off(a), b).otherwise(a)).when(b / a >= 1.25, b).otherwise(a)
     date = F.when(chosen == a, snap["d"]).otherwise(periodic["d"])
     return df.select("*", chosen.alias("shares_v"), date.alias("shares_d"))
 
