@@ -1,8 +1,10 @@
 """Evaluation texts leaking into training text, by template windows.
 
-Both sides become words; numbers, names and units become typed placeholders, so a window of words is a template.  Windows of
-documents are hash-joined with those of test items; pairs that share enough windows at one offset are aligned and checked
-word by word.  Where only placeholders differ, the slots must map consistently: those are re-parameterised copies.
+Both sides become words; numbers, names and units become typed placeholders, so a window of words is a template.  A name is
+told by its own form on each side, a capital at its start, whether or not the other side has it; as copies may differ in case,
+each window also comes with only the names that the items show.  Windows of documents are hash-joined with those of test
+items; pairs that share enough windows at one offset are aligned and checked word by word.  Where only placeholders differ,
+the slots must map consistently: those are re-parameterised copies.
 """
 
 from __future__ import annotations
@@ -29,12 +31,23 @@ BROADCAST_CANDIDATES = 1_000_000
 UNIT_WORDS = ("aud", "cad", "chf", "cny", "eur", "gbp", "ils", "inr", "jpy", "sek", "usd", "zar", "percent", "pct", "euro", "euros", "dollar", "dollars", "pounds", "yen", "bn", "mn")
 
 
+#: Stands before words that begin with a capital.
+CAPITAL = "\ue000"
+
+
 def words(text: Column) -> Column:
-    """Words by white space, in lower case, without anything but letters and digits; empty ones left out."""
-    bare = F.regexp_replace(F.lower(text), r"(?U)[^\p{L}\p{N}\s]", "")
+    """Words by white space, in lower case, without anything but letters and digits; empty ones left out.
+
+    Those that began with a capital have ``CAPITAL`` before them, which ``plain`` takes off."""
+    marked = F.regexp_replace(F.translate(text, CAPITAL, ""), r"(?U)(?<!\S)([^\p{L}\p{N}\s]*+)(?=\p{Lu})", f"$1{CAPITAL}")
+    bare = F.regexp_replace(F.lower(marked), rf"(?U)[^\p{{L}}\p{{N}}\s{CAPITAL}]", "")
     return F.filter(F.split(bare, r"(?U)\s+"), lambda w: w != "")
 
 
+def plain(w: Column) -> Column:
+    return F.transform(w, lambda x: F.ltrim(x, F.lit(CAPITAL)))
+
+
 def item_names(items: DataFrame, text: str) -> list[str]:
     """Names in the items: words with a capital that follow another word of the same sentence."""
     found = items.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(?U)(?<=[\p{Ll}\p{N},] )(\p{Lu}\p{Ll}+)"), 1)).alias("name"))
@@ -42,21 +55,28 @@ def item_names(items: DataFrame, text: str) -> list[str]:
 
 
 def template(w: Column, names: list[str]) -> Column:
-    """Words with placeholders: 0 for numbers, @ for names, $ for units."""
+    """Words of ``words`` with placeholders: 0 for numbers, $ for units, @ for ``names``."""
 
     def slot(x: Column) -> Column:
         out = F.when(x.rlike("^[0-9]"), F.lit("0")).when(x.isin(*UNIT_WORDS), F.lit("$"))
         return (out.when(x.isin(*names), F.lit("@")) if names else out).otherwise(x)
 
-    return F.transform(w, slot)
+    return F.transform(plain(w), slot)
+
+
+def by_form(w: Column, listed: Column) -> Column:
+    """The ``template`` of ``w`` with @ for all words with a capital but units."""
+    return F.zip_with(w, listed, lambda x, t: F.when(x.startswith(CAPITAL) & (t != "$"), F.lit("@")).otherwise(t))
 
 
 def _windows(df: DataFrame, keys: list[str], w: str, names: list[str], size: int, place: str) -> DataFrame:
-    """A row per template window: ``keys``, its place (from 0) and the hash of its words."""
+    """A row per template window: ``keys``, its place (from 0) and the hash of its words; a second one where names by form differ."""
     hashes = lambda t: F.transform(F.sequence(F.lit(0), F.size(t) - size), lambda i: F.xxhash64(*(F.get(t, i + k) for k in range(size))))
-    # The template is bound once per row.
-    bound = F.get(F.transform(F.array(template(F.col(w), names)), hashes), F.lit(0))
-    return df.filter(F.size(w) >= size).select(*keys, F.posexplode(bound).alias(place, "h"))
+    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    # The templates are bound once per row.
+    bound = once(template(F.col(w), names), lambda t: once(by_form(F.col(w), t), lambda u: F.zip_with(hashes(t), hashes(u), lambda a, b: F.struct(a.alias("a"), b.alias("b")))))
+    rows = df.filter(F.size(w) >= size).select(*keys, F.posexplode(bound).alias(place, "x"))
+    return rows.select(*keys, place, F.explode(F.when(F.col("x.a") == F.col("x.b"), F.array("x.a")).otherwise(F.array("x.a", "x.b"))).alias("h"))
 
 
 _VERDICT = T.StructType([T.StructField("leaked", T.BooleanType()), T.StructField("reworded", T.BooleanType()), T.StructField("longest", T.LongType())])
@@ -84,15 +104,18 @@ def judge(doc: list[str], item: list[str], doc_template: list[str], item_templat
             ends = same[: n - size + 1] & same[size - 1 :]
             if (ends & (sums[size:] - sums[: n - size + 1] >= size - size // per)).any():
                 return True, False, longest
-    # Slots: within the span, one value of the item stands for one value of the document.
+    # Slots: within the span, one value of the item stands for one value of the document.  Equal words fit in any case.
     start, slots = 0, {}
     for i in range(n):
-        if doc_template[i] != item_template[i]:
+        if doc_template[i] != item_template[i] and not same[i]:
             start, slots = i + 1, {}
             continue
-        if doc_template[i] in ("0", "@", "$") and slots.setdefault(item[i], (doc[i], i))[0] != doc[i]:
-            start = slots[item[i]][1] + 1
-            slots = {item[k]: (doc[k], k) for k in range(start, i + 1) if doc_template[k] in ("0", "@", "$")}
+        if item_template[i] in ("0", "@", "$"):
+            value, last = slots.get(item[i], (doc[i], i))
+            if value != doc[i]:
+                # Behind the last place of the other value.
+                start = max(start, last + 1)
+            slots[item[i]] = (doc[i], i)
         if i + 1 - start >= least:
             return False, True, longest
     return False, False, longest
@@ -121,7 +144,7 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
     """``doc_id``, ``item_id``, ``kind`` ("passage" or "reworded") and ``longest_run`` of every document that holds a test item.
 
     passage: at least ``least`` consecutive words of the item with at most one word in ``per`` replaced; reworded: no passage,
-    but as many words of its template with other values in consistent slots.  With ``r = least // per`` words replaced, a span
+    but as many words of its template with other values in consistent slots, names of either side by their form.  With ``r = least // per`` words replaced, a span
     of ``least`` words still shares ``least - 4 - 5 * r`` windows of 5 words at its offset, so pairs with fewer are left out and
     none is lost.  Items too short give nothing, as do NULL and blank texts; repeated rows count once.  All words of all
     documents are covered.  Test items are a stated query set; their windows are broadcast only up to a checked number.
@@ -155,13 +178,14 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
     item_first = F.coalesce(first - F.col("c.offset"), F.lit(0))
     item_length = F.when(F.col("c.offset").isNull(), F.size("iw")).otherwise(length)
     aligned = aligned.filter(length >= least).select("d", "i", F.col("c.offset").isNull().alias("anywhere"), F.slice("dw", first + 1, length).alias("dw"), F.slice("iw", item_first + 1, item_length).alias("iw"))
+    aligned = aligned.select("d", "i", "anywhere", plain(F.col("dw")).alias("dw"), plain(F.col("iw")).alias("iw"), *(by_form(F.col(c), template(F.col(c), names)).alias(t) for c, t in (("dw", "dt"), ("iw", "it"))))
 
     @F.pandas_udf(_VERDICT)
     def verdict(dw: pd.Series, iw: pd.Series, dt: pd.Series, it: pd.Series, anywhere: pd.Series) -> pd.DataFrame:
         rows = [judge_anywhere(list(a), list(b), least, per) if x else judge(list(a), list(b), list(c), list(e), least, per) for a, b, c, e, x in zip(dw, iw, dt, it, anywhere, strict=True)]
         return pd.DataFrame(rows, columns=["leaked", "reworded", "longest"])
 
-    judged = aligned.select("d", "i", verdict("dw", "iw", template(F.col("dw"), names), template(F.col("iw"), names), "anywhere").alias("v"))
+    judged = aligned.select("d", "i", verdict("dw", "iw", "dt", "it", "anywhere").alias("v"))
     best = judged.groupBy("d", "i").agg(F.max("v.leaked").alias("leaked"), F.max("v.reworded").alias("reworded"), F.max("v.longest").alias("longest_run"))
     kind = F.when(F.col("leaked"), "passage").when(F.col("reworded"), "reworded")
     return best.select(F.col("d").alias(doc_id), F.col("i").alias(item_id), kind.alias("kind"), "longest_run").filter(F.col("kind").isNotNull())

@@ -188,6 +188,13 @@ def test_leaks(spark):
     assert leaked_items(docs, "doc_id", "text", spark.createDataFrame([(7, ITEM)], "item_id long, text string"), "item_id", "text").count() == 0
 
 
+def test_leaks_of_other_names(spark):
+    reworded = ITEM.replace("Veilbrixia", "Kelby").replace("5331", "12").replace("30.8", "7").replace("USD", "GBP").replace("48.4", "9").replace("EUR", "SEK")
+    lower = ITEM.lower().replace("5331", "12")
+    got = _leaks(spark, [reworded, "In short: \n> " + reworded.replace(" ", "\n> "), reworded.upper(), ITEM.upper(), lower, ITEM.replace("canal", "Canal"), " ".join(reworded.split()[:19])])
+    assert got == [(0, 7, "reworded"), (1, 7, "reworded"), (2, 7, "reworded"), (3, 7, "passage"), (4, 7, "passage"), (5, 7, "passage")]
+
+
 def test_slots():
     item = "a 1 b 2 c 1 d 3".split()
     t = "a 0 b 0 c 0 d 0".split()
@@ -195,6 +202,12 @@ def test_slots():
     assert judge("a 5 b 6 c 4 d 7".split(), item, t, t, 8, 10)[1] is False
 
 
+def test_slot_of_a_value_seen_twice():
+    item, t = "1 a 1 b 1 c".split(), "0 a 0 b 0 c".split()
+    assert judge("5 a 5 b 6 c".split(), item, t, t, 5, 10)[1] is False
+    assert judge("5 a 5 b 5 c".split(), item, t, t, 5, 10)[1] is True
+
+
 # truncation
 
 
