@@ -5,8 +5,9 @@ word is closed if sentence punctuation follows it.  Every run of three words (tr
 end with it, closed and open apart; the runs that end texts are then joined with these counts.
 
 * A text whose last word is open is cut if its last run is frequent but almost never the open end of a text.  A run that often
-  is (a row of a table, a signature) ends whole texts, as does the item of a list with the last word of an item inside texts.
-  Runs too rare to tell fall back to the last two words, then to lines inside texts with the same first and last word; an
+  is (a row of a table, a signature) ends whole texts.  The item of a list is whole if its last run, or else its last two
+  words, end lines or texts as often, and cut if they almost never do; if both are too rare to tell, it is whole if its last
+  word ends most of the items inside texts that have it.  Other runs too rare to tell fall back to the last two words, then to lines inside texts with the same first and last word; an
   open end that resembles no other is a cut.
 * A text whose last word is closed is cut if its last run is frequent but almost never closed anywhere ("fell by 29." of
   "29.5 percent"), and else whole.
@@ -26,6 +27,8 @@ LEAST_SEEN = 20
 RARELY = 0.01
 #: From this share on, in at least two other places, a run ends whole texts.
 OFTEN = 0.05
+#: From this share of its occurrences in list items at their ends, a word ends items.
+MOSTLY = 0.5
 #: The least share of all texts that must end in the same open run for that to be a way whole texts end.
 LEAST_SHARE = 0.0002
 
@@ -60,10 +63,10 @@ def truncated_texts(docs: DataFrame, doc_id: str, text: str, source: str, least_
     last_line = words_sql(r"element_at(split(core, '\n'), -1)")
     runs = spark.sql(
         rf"""
-      SELECT run.w3, run.w2, run.w1, count(*) AS seen, count_if(run.closed) AS closed, count_if(run.last AND NOT run.closed) AS ends_open
+      SELECT run.w3, run.w2, run.w1, count(*) AS seen, count_if(run.closed) AS closed, count_if(run.last AND NOT run.closed) AS ends_open, count_if(run.line_end AND NOT run.closed) AS ends_line
       FROM (
         SELECT explode(transform(sequence(3, size(w)), i -> named_struct(
-          'w3', rtrim('.', w[i - 3]), 'w2', rtrim('.', w[i - 2]), 'w1', rtrim('.', w[i - 1]), 'closed', endswith(w[i - 1], '.'), 'last', i = size(w)))) AS run
+          'w3', rtrim('.', w[i - 3]), 'w2', rtrim('.', w[i - 2]), 'w1', rtrim('.', w[i - 1]), 'closed', endswith(w[i - 1], '.'), 'last', i = size(w), 'line_end', get(w, i) <=> '\n'))) AS run
         FROM (SELECT concat(array('^', '^'), {words_sql(core)}) AS w FROM {inputs}) WHERE size(w) > 2)
       GROUP BY run.w3, run.w2, run.w1
     """
@@ -72,14 +75,19 @@ def truncated_texts(docs: DataFrame, doc_id: str, text: str, source: str, least_
     return spark.sql(
         rf"""
     WITH pairs AS (
-      SELECT w2, w1, sum(seen) AS seen, sum(closed) AS closed, sum(ends_open) AS ends_open FROM {counts} GROUP BY w2, w1
+      SELECT w2, w1, sum(seen) AS seen, sum(closed) AS closed, sum(ends_open) AS ends_open, sum(ends_line) AS ends_line FROM {counts} GROUP BY w2, w1
     ), lines AS (
-      SELECT lw[0] AS head, lw[size(lw) - 1] AS tail, count(*) AS seen
+      -- Of list items all words, of other lines the last one.
+      SELECT head, word.tail AS tail, count_if(word.last) AS seen, count(*) AS occurs
       FROM (
-        SELECT {words_sql('line')} AS lw
-        FROM (SELECT explode(slice(split({core}, '\n'), 1, size(split({core}, '\n')) - 1)) AS line FROM {inputs})
-        WHERE NOT right(rtrim(line), 1) IN ('', '.', '?', '!'))
-      WHERE size(lw) > 1 AND NOT endswith(lw[size(lw) - 1], '.')
+        SELECT lw[0] AS head, explode(filter(
+          transform(sequence(1, size(lw) - 1), i -> named_struct('tail', rtrim('.', lw[i]), 'last', i = size(lw) - 1 AND NOT endswith(lw[i], '.'))),
+          x -> x.last OR lw[0] RLIKE '^[-*•]+$')) AS word
+        FROM (
+          SELECT {words_sql('line')} AS lw
+          FROM (SELECT explode(slice(split({core}, '\n'), 1, size(split({core}, '\n')) - 1)) AS line FROM {inputs})
+          WHERE NOT right(rtrim(line), 1) IN ('', '.', '?', '!') OR line RLIKE '^\\s*[-*•]')
+        WHERE size(lw) > 1)
       GROUP BY 1, 2
     ), tails AS (
       SELECT doc_id, source, size(w) > 2 AS has_words, rtrim('.', get(w, size(w) - 3)) AS w3, rtrim('.', get(w, size(w) - 2)) AS w2, rtrim('.', get(w, size(w) - 1)) AS w1,
@@ -87,8 +95,8 @@ def truncated_texts(docs: DataFrame, doc_id: str, text: str, source: str, least_
       FROM (SELECT doc_id, source, core, concat(array('^', '^'), {words_sql('core')}) AS w FROM (SELECT doc_id, source, {core} AS core FROM {inputs}))
     ), judged AS (
       SELECT t.doc_id, t.source, t.has_words, t.closed,
-        r.seen - 1 AS seen3, r.closed - 1 AS closed3, r.ends_open - 1 AS open3, p.seen - 1 AS seen2, p.closed - 1 AS closed2, p.ends_open - 1 AS open2,
-        l.seen AS lines_seen, get(t.lw, 0) RLIKE '^[-*•]+$' AS item, (SELECT count(*) FROM {inputs}) AS texts
+        r.seen - 1 AS seen3, r.closed - 1 AS closed3, r.ends_open - 1 AS open3, r.ends_open - 1 + r.ends_line AS ends3, p.seen - 1 AS seen2, p.closed - 1 AS closed2, p.ends_open - 1 AS open2, p.ends_open - 1 + p.ends_line AS ends2,
+        l.seen AS lines_seen, l.occurs, get(t.lw, 0) RLIKE '^[-*•]+$' AS item, (SELECT count(*) FROM {inputs}) AS texts
       FROM tails t
       LEFT JOIN {counts} r ON t.w3 = r.w3 AND t.w2 = r.w2 AND t.w1 = r.w1
       LEFT JOIN pairs p ON t.w2 = p.w2 AND t.w1 = p.w1
@@ -99,12 +107,16 @@ def truncated_texts(docs: DataFrame, doc_id: str, text: str, source: str, least_
         WHEN closed AND seen3 >= {least_seen} THEN if(closed3 < {rarely} * seen3, 'cut: run never closed', 'whole: run closed')
         WHEN closed AND seen2 >= {least_seen} THEN if(closed2 < {rarely} * seen2, 'cut: pair never closed', 'whole: pair closed')
         WHEN closed THEN 'whole: closed'
-        WHEN item AND lines_seen >= 2 THEN 'whole: such items occur'
         WHEN open3 >= greatest(2, {least_share} * texts) AND open3 >= {often} * seen3 THEN 'whole: run ends texts'
-        WHEN seen3 >= {least_seen} AND open3 < {rarely} * seen3 THEN 'cut: run never ends texts'
+        WHEN item AND seen3 >= {least_seen} AND ends3 >= {often} * seen3 THEN 'whole: run ends items'
+        WHEN item AND seen3 >= {least_seen} AND ends3 < {rarely} * seen3 THEN 'cut: run never ends items'
+        WHEN item AND seen2 >= {least_seen} AND ends2 >= {often} * seen2 THEN 'whole: pair ends items'
+        WHEN item AND seen2 >= {least_seen} AND ends2 < {rarely} * seen2 THEN 'cut: pair never ends items'
+        WHEN item AND lines_seen >= 2 AND lines_seen >= {MOSTLY} * occurs THEN 'whole: such items occur'
+        WHEN item IS NOT TRUE AND seen3 >= {least_seen} AND open3 < {rarely} * seen3 THEN 'cut: run never ends texts'
         WHEN open2 >= greatest(3, 2 * {least_share} * texts) AND open2 >= {often} * seen2 THEN 'whole: pair ends texts'
-        WHEN seen2 >= {least_seen} AND open2 < {rarely} * seen2 THEN 'cut: pair never ends texts'
-        WHEN lines_seen >= 2 THEN 'whole: such lines occur'
+        WHEN item IS NOT TRUE AND seen2 >= {least_seen} AND open2 < {rarely} * seen2 THEN 'cut: pair never ends texts'
+        WHEN item IS NOT TRUE AND lines_seen >= 2 THEN 'whole: such lines occur'
         ELSE 'cut: open and like no other end' END AS evidence
       FROM judged
     )

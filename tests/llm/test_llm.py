@@ -229,6 +229,18 @@ def test_truncated(spark):
     assert truncated_texts(docs.limit(0), "id", "text", "source").count() == 0
 
 
+def test_truncated_items(spark):
+    whole = ["Late revenue", "Mild net debt", "Debt of the old depot", "Debt to banks", "High debt ratio"]
+    texts = [f"The audit held.\n\n- {whole[i % 5]}\n- {whole[i // 5 % 5]}\n- {whole[i // 25 % 5]}" for i in range(250)]
+    # Two items end in "old" and "high", words that are inside items elsewhere.
+    texts += ["The audit held.\n\n- Late and old\n- Rather high\n- Late revenue"] * 2
+    cuts = [f"The audit held.\n\n- {x}" for x in ("Late revenue\n- Debt", "Late revenue\n- Debt of the old", "Mild net debt\n- High", "High debt")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts + cuts)], "id long, text string, source string")
+    got = {r.doc_id: r.is_cut for r in truncated_texts(docs, "id", "text", "source").collect()}
+    assert [i for i in range(len(texts)) if got[i]] == []
+    assert all(got[len(texts) + i] for i in range(len(cuts)))
+
+
 def test_leaks_of_ever_the_same_words(spark):
     docs = spark.createDataFrame([(1, "word " * 30_000), (2, "word " * 19), (3, "word " * 25 + "end"), (4, "a b " * 40)], "doc_id long, text string")
     items = spark.createDataFrame([(7, "word " * 5_000), (8, "a b " * 10 + "c d e f"), (9, "the word " * 30)], "item_id long, text string")
