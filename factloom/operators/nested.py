@@ -30,6 +30,14 @@ class BrokenRecord(ValueError):
     """The text is not one valid JSON value."""
 
 
+def _unquoted(string: str) -> str:
+    """The text of a string or key."""
+    try:
+        return json.loads(string) if "\\" in string else string[1:-1]
+    except ValueError as e:
+        raise BrokenRecord(str(e)) from None
+
+
 def events(text: str) -> Iterator[tuple[str, Path, str | None]]:
     """Parses a text without building a tree: ("open"|"close", path, "{"|"[") and ("value", path, text or None).
 
@@ -51,7 +59,7 @@ def events(text: str) -> Iterator[tuple[str, Path, str | None]]:
         mark, string = m[1], m[2]
         if want == "key" or want == "key or close":
             if string is not None:
-                path[-1] = json.loads(string) if "\\" in string else string[1:-1]
+                path[-1] = _unquoted(string)
                 m = _TOKEN.match(text, place)
                 if not m or m[1] != ":":
                     raise BrokenRecord(f"no colon at {place}")
@@ -76,10 +84,7 @@ def events(text: str) -> Iterator[tuple[str, Path, str | None]]:
             want = "key or close" if mark == "{" else "value or close"
             continue
         elif mark is None:
-            try:
-                value = (json.loads(string) if "\\" in string else string[1:-1]) if string is not None else None if m[4] == "null" else m[3] or m[4]
-            except ValueError as e:
-                raise BrokenRecord(str(e)) from None
+            value = _unquoted(string) if string is not None else None if m[4] == "null" else m[3] or m[4]
             yield "value", tuple(path), value
             want = "comma or close" if closers else "done"
             continue

@@ -89,3 +89,13 @@ def test_flatten(spark):
     entries = fields_to_columns(out, "entries", {"v": "v"})
     assert sorted(((r.id, r.row_key, r.v) for r in entries.collect()), key=str) == sorted([(1, "/a.b#1", "1"), (1, "/a.b#2", "2"), (None, "/a.b#1", "9"), (1, "/a.b#1", "1")], key=str)
     assert flatten(df.limit(0), "data", ["id"], TABLES).count() == 0
+
+
+@pytest.mark.parametrize("key", ["a\\q", "\\u12", "\\u00zz", "\\x41"])
+def test_keys_with_broken_escapes(spark, key):
+    broken = '{"a": {"b": {"x": 1}}, "' + key + '": 2}'
+    with pytest.raises(BrokenRecord):
+        list(events(broken))
+    assert flatten_record(broken, TABLES) is None
+    df = spark.createDataFrame([(1, broken), (2, '{"a\\n": 1}')], "id long, body string")
+    assert [(r.id, r.fields) for r in flatten(df, "body", ["id"], TABLES).collect()] == [(2, {"a\n": "1"})]
