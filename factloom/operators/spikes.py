@@ -129,10 +129,12 @@ def implausible_values(
         whole = whole | part
     fenced = fenced.withColumn("long", F.col("out") & whole)
     flagged = fenced.filter(F.col("stuck") | ~F.col("long") & (outside("low") | outside("high"))).select(*keys, "__at", "stuck", F.when(~F.col("long"), F.col("upper")).alias("upper"), F.when(~F.col("long"), F.col("lower")).alias("lower"))
-    flagged = materialize(flagged, "flagged")
+    flagged = materialize(flagged, "flagged").withColumnRenamed("__s0", "__f0")
     if flagged.count() <= BROADCAST_ROWS:
         flagged = F.broadcast(flagged)
     possible = usable.filter(~F.col("__impossible")).select("__id", *keys, "__at", "__v")
-    judged = possible.join(flagged, [*keys, "__at"]).withColumn("reason", F.when(F.col("stuck"), "stuck").when(outside("__v"), "spike")).filter(F.col("reason").isNotNull())
+    # A series whose first column is a NULL long keeps it as its key.
+    same = possible["__s0"].eqNullSafe(flagged["__f0"]) & (possible["__s1"] == flagged["__s1"]) & (possible["__at"] == flagged["__at"])
+    judged = possible.join(flagged, same).withColumn("reason", F.when(F.col("stuck"), "stuck").when(outside("__v"), "spike")).filter(F.col("reason").isNotNull())
     impossible = rows.filter("__impossible").select("__id", F.lit("impossible").alias("reason"))
     return impossible.unionByName(judged.select("__id", "reason")).withColumnRenamed("__id", row_id)

@@ -63,3 +63,16 @@ def test_stuck_and_impossible(spark):
     assert _found(spark, v, stick=F.lit(False)) == []
     assert _found(spark, [-1.0, 0.0, 2.0, float("nan"), "x"], neg=F.lit(False), top=F.lit(1.0)) == [(0, "impossible"), (2, "impossible")]
     assert _found(spark, [-1.0, None], neg=F.lit(None).cast("boolean")) in ([], [(0, "impossible")])
+
+
+def test_series_without_a_long_key(spark):
+    values = [100.0 + i % 7 for i in range(30)] + [50.0] * 8
+    values[10] = 900.0
+    rows = [(k, i, f"{2000 + i}-06-30", v) for k in (None, 5) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "k long, id long, d string, v double").select("*", F.col("d").cast("date").alias("at"))
+    df = df.withColumn("id", F.col("id") + F.when(F.col("k").isNull(), 1000).otherwise(0))
+    df = df.withColumn("v0", F.lit("a"))
+    out = implausible_values(df, "id", ["k", "v0"], "at", "v", ["id"], may_be_negative=F.lit(True), upper_bound=F.lit(None).cast("double"), may_be_stuck=F.lit(True))
+    got = {(r.id, r.reason) for r in out.collect()}
+    assert {(10, "spike"), (30, "stuck")} <= got
+    assert {(i - 1000, r) for i, r in got if i >= 1000} == {(i, r) for i, r in got if i < 1000}
