@@ -121,23 +121,24 @@ def judge(doc: list[str], item: list[str], doc_template: list[str], item_templat
     return False, False, longest
 
 
-def judge_anywhere(doc: list[str], item: list[str], least: int, per: int) -> tuple[bool, bool, int]:
-    """``judge`` at every offset, for passages; only offsets with enough equal words are looked at closely."""
+def judge_anywhere(doc: list[str], item: list[str], doc_template: list[str], item_template: list[str], least: int, per: int) -> tuple[bool, bool, int]:
+    """``judge`` at every offset; only offsets with enough equal words, or enough words that fit the template, are looked at closely."""
     codes: dict[str, int] = {}
-    d, t = (np.array([codes.setdefault(w, len(codes)) for w in side]) for side in (doc, item))
-    longest = 0
+    d, t, dt, it = (np.array([codes.setdefault(w, len(codes)) for w in side]) for side in (doc, item, doc_template, item_template))
+    reworded, longest = False, 0
     for offset in range(least - len(t), len(d) - least + 1):
         start = max(0, offset)
-        a = d[start : min(len(d), offset + len(t))]
-        b = t[start - offset : start - offset + len(a)]
-        if (a == b).sum() < least - least // per:
+        here = slice(start, min(len(d), offset + len(t)))
+        there = slice(start - offset, here.stop - offset)
+        same = d[here] == t[there]
+        # Behind one reworded copy only passages are of interest.
+        if same.sum() < least - least // per and (reworded or (same | (dt[here] == it[there])).sum() < least):
             continue
-        x, y = a.tolist(), b.tolist()
-        leaked, _, run = judge(x, y, x, y, least, per)
-        longest = max(longest, run)
+        leaked, other, run = judge(doc[here], item[there], doc_template[here], item_template[there], least, per)
+        reworded, longest = reworded or other, max(longest, run)
         if leaked:
             return True, False, longest
-    return False, False, longest
+    return False, reworded, longest
 
 
 def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, least: int = 20, per: int = 10) -> DataFrame:
@@ -182,7 +183,7 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
 
     @F.pandas_udf(_VERDICT)
     def verdict(dw: pd.Series, iw: pd.Series, dt: pd.Series, it: pd.Series, anywhere: pd.Series) -> pd.DataFrame:
-        rows = [judge_anywhere(list(a), list(b), least, per) if x else judge(list(a), list(b), list(c), list(e), least, per) for a, b, c, e, x in zip(dw, iw, dt, it, anywhere, strict=True)]
+        rows = [judge_anywhere(list(a), list(b), list(c), list(e), least, per) if x else judge(list(a), list(b), list(c), list(e), least, per) for a, b, c, e, x in zip(dw, iw, dt, it, anywhere, strict=True)]
         return pd.DataFrame(rows, columns=["leaked", "reworded", "longest"])
 
     judged = aligned.select("d", "i", verdict("dw", "iw", "dt", "it", "anywhere").alias("v"))

@@ -246,3 +246,12 @@ def test_leaks_of_ever_the_same_words(spark):
     items = spark.createDataFrame([(7, "word " * 5_000), (8, "a b " * 10 + "c d e f"), (9, "the word " * 30)], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in leaked_items(docs, "doc_id", "text", items, "item_id", "text").filter("kind = 'passage'").collect()}
     assert got == {(1, 7), (3, 7), (4, 8)}
+
+
+def test_reworded_rows_of_numbers(spark):
+    docs = spark.createDataFrame(
+        [(1, " ".join(f"row {i + 20} of {i + 80}" for i in range(10))), (2, "and " * 7 + " ".join(f"row {i} of {i * i}" for i in range(3, 30))), (3, " ".join(f"row {i} of {i} or" for i in range(10)))], "doc_id long, text string"
+    )
+    items = spark.createDataFrame([(7, " ".join(f"row {i} of {i + 50}" for i in range(10))), (8, "row 1 of 2 " * 10)], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.kind) for r in leaked_items(docs, "doc_id", "text", items, "item_id", "text").collect())
+    assert got == [(1, 7, "reworded"), (2, 7, "reworded")]
