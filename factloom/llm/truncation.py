@@ -1,16 +1,19 @@
 """Text cut off by field limits, found by what stands at the ends of texts, in SQL only.
 
-Texts become words by blanks and punctuation, with numbers and codes as one word each by kind, marks of lists and tables, ends of lines.  A
-word is closed if sentence punctuation follows it.  Every run of three words (trigram) is counted inside texts and where texts
-end with it, closed and open apart; the runs that end texts are then joined with these counts.
-
-* A text whose last word is open is cut if its last run is frequent but almost never the open end of a text.  A run that often
-  is (a row of a table, a signature) ends whole texts.  The item of a list is whole if its last run, or else its last two
-  words, end lines or texts as often, and cut if they almost never do; if both are too rare to tell, it is whole if its last
-  word ends most of the items inside texts that have it.  Other runs too rare to tell fall back to the last two words, then to lines inside texts with the same first and last word; an
-  open end that resembles no other is a cut.
+Lines become words by blanks and punctuation, numbers and codes as one word each by kind, marks of lists and tables as words.  A
+word is closed if sentence punctuation follows it.  Every run of three words (trigram) of a line is counted inside texts and where
+texts end with it; runs in items of lists are counted apart from those in sentences.  The final run of each text, its last two
+words, and both with the last word unknown (``w3 w2 *``, ``w2 *``) are then joined with these counts.
+
 * A text whose last word is closed is cut if its last run is frequent but almost never closed anywhere ("fell by 29." of
   "29.5 percent"), and else whole.
+* A text whose last word is open is whole if other texts end in the same open run, in a fair share of the run's occurrences and of
+  all that follows the words before it (a row of a table, a signature); it is cut if its run is frequent inside but almost never
+  ends texts.  Where the run is too rare to tell, as behind a cut inside a word, the last two words and then the runs with the last
+  word unknown are asked the same.
+* An item of a list is judged by the ends of lines in the same way: cuts make no lines, so what ends lines ends items.
+
+All thresholds are counts or shares of a run's own occurrences; none depends on the number of texts.
 """
 
 from __future__ import annotations
@@ -27,96 +30,123 @@ LEAST_SEEN = 20
 RARELY = 0.01
 #: From this share on, in at least two other places, a run ends whole texts.
 OFTEN = 0.05
-#: From this share of its occurrences in list items at their ends, a word ends items.
+#: From this share of its occurrences in list items at their ends, a rare run or a word ends items.
 MOSTLY = 0.5
-#: The least share of all texts that must end in the same open run for that to be a way whole texts end.
-LEAST_SHARE = 0.0002
+#: The least share of what follows the words before it that an open end must have: an end by a cut inside a word is far rarer.
+LEAST_SHARE = 0.001
 
-_CLOSERS = r"[)\"”»’]*(?:[.?!]|[ \u00a0][?!])[\"”»’)]*"
+_CLOSERS = r"[)\"”»’]*(?:[.?!]|[ \x{00a0}][?!])[\"”»’)]*"
+_BREAKS = r"[\s,;:()\[\]<>{}\"„“”«»‘’`/%&+=_…–—\x{00a0}\x{202f}]+"
 #: What may have been put after a cut, and blanks: an ellipsis, or a tag or bracket, itself cut or whole.
-_AFTER_CUT = r"(?:\\s|…|(?<!\\.)\\.{3}|\\.{3}(?=$)|\\[[a-zA-Z ]*(?:…|\\.{3})?\\]?|<[a-zA-Z/ ]*>?)+$"
+_AFTER_CUT = r"(?:\s|…|\.\.\.|\[[a-zA-Z ]*(?:…|\.\.\.)?\]?|<[a-zA-Z/ ]*>?)+$"
+#: The end of a text that is looked at first for what was put after a cut; where all of it goes, the whole text is.
+_LOOK = 200
+_ITEM = r"^\s*[-*•]\s"
+
+
+def _r(pattern: str) -> str:
+    """A pattern as a raw SQL string."""
+    return "r'" + pattern.replace("'", r"\x27") + "'"
+
+
+def plain_sql(text: str) -> str:
+    """SQL for a text in lower case with 0 for each number and ``. `` behind each closed word."""
+    t = f"regexp_replace({text}, {_r('[0-9]+(?:[.,:/-][0-9]+)*')}, '0')"
+    return f"replace(regexp_replace(lower({t}), {_r(_CLOSERS)}, '. '), '|', ' | ')"
+
 
+def words_sql(plain: str) -> str:
+    """SQL for the array of the words of a line of ``plain_sql``, behind two marks of its start."""
+    return f"concat(array('^', '^'), array_remove(split({plain}, {_r(_BREAKS)}), ''))"
 
-def words_sql(text: str) -> str:
-    """SQL for the array of the words of a text, a closed word with a full stop after it.
 
-    The patterns fail at once on letters, and the last steps work on characters, as every text goes through here."""
-    t = rf"regexp_replace({text}, '\\b[A-Z]+-[0-9]+', 'xcodex')"
-    t = rf"regexp_replace({t}, '[0-9]+(?:[.,:/-][0-9]+)*', '0')"
-    t = rf"regexp_replace(lower({t}), '{_CLOSERS.replace(chr(92), chr(92) * 2)}', '. ')"
-    t = rf"replace(replace({t}, '\n', ' \n '), '|', ' | ')"
-    t = rf"translate({t}, ',;:()[]<>{{}}\t\r\u00a0\u202f\"„“”«»‘’`/%&+=_…–—', '{' ' * 33}')"
-    return f"array_remove(split({t}, ' '), '')"
+def _word(w: str) -> str:
+    return f"if(endswith({w}, '-0'), 'xcodex', rtrim('.', {w}))"
 
 
-def truncated_texts(docs: DataFrame, doc_id: str, text: str, source: str, least_seen: int = LEAST_SEEN, rarely: float = RARELY, often: float = OFTEN, least_share: float = LEAST_SHARE) -> DataFrame:
+def _keys(w3: str = "w3", w2: str = "w2", w1: str = "w1") -> str:
+    """SQL for the keys of a run: its three words, the last two, three and two with the last unknown, the last one."""
+    return f"xxhash64(3, item, {w3}, {w2}, {w1}) AS k3, xxhash64(2, item, {w2}, {w1}) AS k2, xxhash64(-3, item, {w3}, {w2}) AS p3, xxhash64(-2, item, {w2}) AS p2, xxhash64(1, item, {w1}) AS k1"
+
+
+def truncated_texts(docs: DataFrame, doc_id: str, text: str, source: str, least_seen: int = LEAST_SEEN, rarely: float = RARELY, often: float = OFTEN, mostly: float = MOSTLY, least_share: float = LEAST_SHARE) -> DataFrame:
     """One row per document: ``doc_id``, ``source``, ``is_cut`` and ``evidence`` (what decided).
 
     NULL texts and texts without words are not cut (evidence "none").  All texts are read whole and all are counted; a
-    document's own end is no evidence about itself.  Repeated rows are judged alike (each counts once more); ids should be unique.
-    Only ``doc_id``, ``text`` and ``source`` are read.  Counts of runs are combined on the map side and written once.
+    document's own end is no evidence about itself, and texts that come again count as one end.  Repeated rows are judged alike.
+    Only ``doc_id``, ``text`` and ``source`` are read.  Runs are counted by 64-bit hashes, combined on the map side before the
+    one exchange of trigrams and again before that of the shorter runs.
     """
     spark, tag = docs.sparkSession, uuid.uuid4().hex
-    inputs, counts = f"texts_{tag}", f"runs_{tag}"
+    inputs, tails, runs = f"texts_{tag}", f"tails_{tag}", f"runs_{tag}"
     docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS body", f"`{source}` AS source").createOrReplaceTempView(inputs)
-    core = f"regexp_replace(body, '{_AFTER_CUT}', '')"
-    last_line = words_sql(r"element_at(split(core, '\n'), -1)")
-    runs = spark.sql(
-        rf"""
-      SELECT run.w3, run.w2, run.w1, count(*) AS seen, count_if(run.closed) AS closed, count_if(run.last AND NOT run.closed) AS ends_open, count_if(run.line_end AND NOT run.closed) AS ends_line
+    end = f"regexp_replace(right(body, {_LOOK}), {_r(_AFTER_CUT)}, '')"
+    core = f"if(length({end}) > 0 OR length(body) <= {_LOOK}, concat(left(body, length(body) - {_LOOK}), {end}), regexp_replace(body, {_r(_AFTER_CUT)}, ''))"
+    ends = spark.sql(
+        f"""
+      SELECT row, doc_id, source, same, item, has_words, closed, {_keys()}
       FROM (
-        SELECT explode(transform(sequence(3, size(w)), i -> named_struct(
-          'w3', rtrim('.', w[i - 3]), 'w2', rtrim('.', w[i - 2]), 'w1', rtrim('.', w[i - 1]), 'closed', endswith(w[i - 1], '.'), 'last', i = size(w), 'line_end', get(w, i) <=> '\n'))) AS run
-        FROM (SELECT concat(array('^', '^'), {words_sql(core)}) AS w FROM {inputs}) WHERE size(w) > 2)
-      GROUP BY run.w3, run.w2, run.w1
+        SELECT row, doc_id, source, same, item, size(w) > 2 AS has_words, endswith(get(w, size(w) - 1), '.') AS closed,
+          {_word("get(w, size(w) - 3)")} AS w3, {_word("get(w, size(w) - 2)")} AS w2, {_word("get(w, size(w) - 1)")} AS w1
+        FROM (
+          SELECT row, doc_id, source, same, line RLIKE {_r(_ITEM)} AS item, {words_sql(plain_sql("line"))} AS w
+          FROM (SELECT monotonically_increasing_id() AS row, doc_id, source, xxhash64(body) AS same, substring_index({core}, '\\n', -1) AS line FROM {inputs})))
     """
     )
-    materialize(runs, "runs").createOrReplaceTempView(counts)
-    return spark.sql(
-        rf"""
-    WITH pairs AS (
-      SELECT w2, w1, sum(seen) AS seen, sum(closed) AS closed, sum(ends_open) AS ends_open, sum(ends_line) AS ends_line FROM {counts} GROUP BY w2, w1
-    ), lines AS (
-      -- Of list items all words, of other lines the last one.
-      SELECT head, word.tail AS tail, count_if(word.last) AS seen, count(*) AS occurs
+    materialize(ends, "tails").createOrReplaceTempView(tails)
+    counted = spark.sql(
+        f"""
+      SELECT k3, any_value(k2) AS k2, any_value(p3) AS p3, any_value(p2) AS p2, any_value(k1) AS k1, count(*) AS seen, count_if(closed) AS closed, count_if(line_end) AS ends_line
       FROM (
-        SELECT lw[0] AS head, explode(filter(
-          transform(sequence(1, size(lw) - 1), i -> named_struct('tail', rtrim('.', lw[i]), 'last', i = size(lw) - 1 AND NOT endswith(lw[i], '.'))),
-          x -> x.last OR lw[0] RLIKE '^[-*•]+$')) AS word
+        SELECT {_keys()}, closed, line_end
         FROM (
-          SELECT {words_sql('line')} AS lw
-          FROM (SELECT explode(slice(split({core}, '\n'), 1, size(split({core}, '\n')) - 1)) AS line FROM {inputs})
-          WHERE NOT right(rtrim(line), 1) IN ('', '.', '?', '!') OR line RLIKE '^\\s*[-*•]')
-        WHERE size(lw) > 1)
-      GROUP BY 1, 2
-    ), tails AS (
-      SELECT doc_id, source, size(w) > 2 AS has_words, rtrim('.', get(w, size(w) - 3)) AS w3, rtrim('.', get(w, size(w) - 2)) AS w2, rtrim('.', get(w, size(w) - 1)) AS w1,
-        endswith(get(w, size(w) - 1), '.') AS closed, {last_line} AS lw
-      FROM (SELECT doc_id, source, core, concat(array('^', '^'), {words_sql('core')}) AS w FROM (SELECT doc_id, source, {core} AS core FROM {inputs}))
+          SELECT item, {_word("a")} AS w3, {_word("b")} AS w2, {_word("c")} AS w1, endswith(c, '.') AS closed, d IS NULL AND NOT last AND NOT endswith(c, '.') AS line_end
+          FROM (
+            SELECT item, last, inline(arrays_zip(w, slice(w, 2, size(w)), slice(w, 3, size(w)), slice(w, 4, size(w)))) AS (a, b, c, d)
+            FROM (
+              SELECT line RLIKE {_r(_ITEM)} AS item, at = n - 1 AS last, {words_sql("line")} AS w
+              FROM (SELECT size(lines) AS n, posexplode(lines) AS (at, line) FROM (SELECT split({plain_sql(core)}, '\\n') AS lines FROM {inputs}))))
+          WHERE c IS NOT NULL))
+      GROUP BY k3
+    """
+    )
+    counted.createOrReplaceTempView(runs)
+    return spark.sql(
+        f"""
+    WITH asked AS (
+      SELECT row, doc_id, source, same, item, has_words, closed, stack(5, 'k3', k3, 'k2', k2, 'p3', p3, 'p2', p2, 'k1', k1) AS (level, key) FROM {tails}
+    ), once AS (
+      SELECT key, count(*) AS ends FROM (SELECT DISTINCT same, key FROM asked WHERE has_words AND NOT closed) GROUP BY key
+    ), seen AS (
+      SELECT key, sum(seen) AS seen, sum(closed) AS closed, sum(ends_line) AS ends_line, sum(ends) AS ends FROM (
+        SELECT stack(5, k3, seen, closed, ends_line, 0L, k2, seen, closed, ends_line, 0L, p3, seen, 0L, 0L, 0L, p2, seen, 0L, 0L, 0L, k1, seen, closed, ends_line, 0L) AS (key, seen, closed, ends_line, ends) FROM {runs}
+        UNION ALL SELECT key, 0L, 0L, 0L, ends FROM once)
+      GROUP BY key
     ), judged AS (
-      SELECT t.doc_id, t.source, t.has_words, t.closed,
-        r.seen - 1 AS seen3, r.closed - 1 AS closed3, r.ends_open - 1 AS open3, r.ends_open - 1 + r.ends_line AS ends3, p.seen - 1 AS seen2, p.closed - 1 AS closed2, p.ends_open - 1 AS open2, p.ends_open - 1 + p.ends_line AS ends2,
-        l.seen AS lines_seen, l.occurs, get(t.lw, 0) RLIKE '^[-*•]+$' AS item, (SELECT count(*) FROM {inputs}) AS texts
-      FROM tails t
-      LEFT JOIN {counts} r ON t.w3 = r.w3 AND t.w2 = r.w2 AND t.w1 = r.w1
-      LEFT JOIN pairs p ON t.w2 = p.w2 AND t.w1 = p.w1
-      LEFT JOIN lines l ON get(t.lw, 0) = l.head AND get(t.lw, size(t.lw) - 1) = l.tail AND size(t.lw) > 1
+      SELECT row, any_value(doc_id) AS doc_id, any_value(source) AS source, any_value(item) AS item, any_value(has_words) AS has_words, any_value(a.closed) AS closed,
+        {", ".join(f"max(s.{c}) FILTER (WHERE level = '{k}') - {own} AS {n}_{k}" for k in ("k3", "k2", "p3", "p2", "k1") for c, n, own in (("seen", "seen", "1"), ("closed", "shut", "1"), ("ends_line", "line", "0"), ("ends", "open", "1")))}
+      FROM asked a LEFT JOIN seen s ON a.key = s.key
+      GROUP BY row
     ), decided AS (
       SELECT doc_id, source, CASE
         WHEN has_words IS NOT TRUE THEN 'none'
-        WHEN closed AND seen3 >= {least_seen} THEN if(closed3 < {rarely} * seen3, 'cut: run never closed', 'whole: run closed')
-        WHEN closed AND seen2 >= {least_seen} THEN if(closed2 < {rarely} * seen2, 'cut: pair never closed', 'whole: pair closed')
+        WHEN closed AND seen_k3 >= {least_seen} THEN if(shut_k3 < {rarely} * seen_k3, 'cut: run never closed', 'whole: run closed')
+        WHEN closed AND seen_k2 >= {least_seen} THEN if(shut_k2 < {rarely} * seen_k2, 'cut: pair never closed', 'whole: pair closed')
         WHEN closed THEN 'whole: closed'
-        WHEN open3 >= greatest(2, {least_share} * texts) AND open3 >= {often} * seen3 THEN 'whole: run ends texts'
-        WHEN item AND seen3 >= {least_seen} AND ends3 >= {often} * seen3 THEN 'whole: run ends items'
-        WHEN item AND seen3 >= {least_seen} AND ends3 < {rarely} * seen3 THEN 'cut: run never ends items'
-        WHEN item AND seen2 >= {least_seen} AND ends2 >= {often} * seen2 THEN 'whole: pair ends items'
-        WHEN item AND seen2 >= {least_seen} AND ends2 < {rarely} * seen2 THEN 'cut: pair never ends items'
-        WHEN item AND lines_seen >= 2 AND lines_seen >= {MOSTLY} * occurs THEN 'whole: such items occur'
-        WHEN item IS NOT TRUE AND seen3 >= {least_seen} AND open3 < {rarely} * seen3 THEN 'cut: run never ends texts'
-        WHEN open2 >= greatest(3, 2 * {least_share} * texts) AND open2 >= {often} * seen2 THEN 'whole: pair ends texts'
-        WHEN item IS NOT TRUE AND seen2 >= {least_seen} AND open2 < {rarely} * seen2 THEN 'cut: pair never ends texts'
-        WHEN item IS NOT TRUE AND lines_seen >= 2 THEN 'whole: such lines occur'
+        WHEN item AND line_k3 >= 2 AND line_k3 >= {often} * (seen_k3 - open_k3) AND (seen_k3 >= {least_seen} OR line_k3 >= {mostly} * (seen_k3 - open_k3)) THEN 'whole: run ends items'
+        WHEN item AND seen_k3 - open_k3 >= {least_seen} AND line_k3 < {rarely} * seen_k3 THEN 'cut: run never ends items'
+        WHEN item AND line_k2 >= 2 AND line_k2 >= {often} * (seen_k2 - open_k2) AND (seen_k2 >= {least_seen} OR line_k2 >= {mostly} * (seen_k2 - open_k2)) THEN 'whole: pair ends items'
+        WHEN item AND seen_k2 - open_k2 >= {least_seen} AND line_k2 < {rarely} * seen_k2 THEN 'cut: pair never ends items'
+        WHEN item AND line_k1 >= 2 AND line_k1 >= {mostly} * (seen_k1 - open_k1) THEN 'whole: word ends items'
+        WHEN item AND seen_k1 - open_k1 >= {least_seen} THEN 'cut: word seldom ends items'
+        WHEN open_k3 >= 2 AND open_k3 >= {often} * seen_k3 AND open_k3 >= {least_share} * seen_p3 THEN 'whole: run ends texts'
+        WHEN NOT item AND seen_k3 - open_k3 >= {least_seen} AND open_k3 < {rarely} * seen_k3 THEN 'cut: run never ends texts'
+        WHEN NOT item AND open_k2 >= 3 AND open_k2 >= {often} * seen_k2 AND open_k2 >= {least_share} * seen_p2 THEN 'whole: pair ends texts'
+        WHEN NOT item AND seen_k2 - open_k2 >= {least_seen} AND open_k2 < {rarely} * seen_k2 THEN 'cut: pair never ends texts'
+        WHEN NOT item AND seen_p3 >= {least_seen} AND open_p3 < {rarely} * seen_p3 THEN 'cut: words before never end texts'
+        WHEN NOT item AND open_p3 >= 3 AND open_p3 >= {often} * seen_p3 THEN 'whole: words before end texts'
+        WHEN NOT item AND seen_p2 >= {least_seen} AND open_p2 < {rarely} * seen_p2 THEN 'cut: word before never ends texts'
+        WHEN NOT item AND line_k3 >= 2 AND line_k3 >= {mostly} * (seen_k3 - open_k3) THEN 'whole: such lines occur'
         ELSE 'cut: open and like no other end' END AS evidence
       FROM judged
     )
