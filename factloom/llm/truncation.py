@@ -35,8 +35,10 @@ MOSTLY = 0.5
 #: The least share of what follows the words before it that an open end must have: an end by a cut inside a word is far rarer.
 LEAST_SHARE = 0.001
 
-_CLOSERS = r"[)\"”»’]*(?:[.?!]|[ \x{00a0}][?!])[\"”»’)]*"
-_BREAKS = r"[\s,;:()\[\]<>{}\"„“”«»‘’`/%&+=_…–—\x{00a0}\x{202f}]+"
+_CLOSERS = r"[)\"'\xBB]*(?:[.?!]|[ \xA0][?!])[\"'\xBB)]*"
+_BREAKS = r"[ \t\n\x0B\f\r,;:()\[\]<>{}\"\xAB\xBB`/%&+=_\xA0]+"
+#: Signs beyond Latin-1 and what they are read as; character classes without them are matched by a table.
+_SIGNS = {"’": "'", "‘": "'", "“": '"', "”": '"', "„": '"', "–": " ", "—": " ", "…": " ", " ": " "}
 #: What may have been put after a cut, and blanks: an ellipsis, or a tag or bracket, itself cut or whole.
 _AFTER_CUT = r"(?:\s|…|\.\.\.|\[[a-zA-Z ]*(?:…|\.\.\.)?\]?|<[a-zA-Z/ ]*>?)+$"
 #: The end of a text that is looked at first for what was put after a cut; where all of it goes, the whole text is.
@@ -51,7 +53,10 @@ def _r(pattern: str) -> str:
 
 def plain_sql(text: str) -> str:
     """SQL for a text in lower case with 0 for each number and ``. `` behind each closed word."""
-    t = f"regexp_replace({text}, {_r('[0-9]+(?:[.,:/-][0-9]+)*')}, '0')"
+    t = text
+    for sign, other in _SIGNS.items():
+        t = f"replace({t}, '{sign}', '{other.replace(chr(39), chr(92) + chr(39))}')"
+    t = f"regexp_replace({t}, {_r('[0-9]+(?:[.,:/-][0-9]+)*')}, '0')"
     return f"replace(regexp_replace(lower({t}), {_r(_CLOSERS)}, '. '), '|', ' | ')"
 
 
@@ -61,12 +66,11 @@ def words_sql(plain: str) -> str:
 
 
 def _word(w: str) -> str:
-    return f"if(endswith({w}, '-0'), 'xcodex', rtrim('.', {w}))"
+    return f"xxhash64(if(endswith({w}, '-0'), 'xcodex', rtrim('.', {w})))"
 
 
-def _keys(w3: str = "w3", w2: str = "w2", w1: str = "w1") -> str:
-    """SQL for the keys of a run: its three words, the last two, three and two with the last unknown, the last one."""
-    return f"xxhash64(3, item, {w3}, {w2}, {w1}) AS k3, xxhash64(2, item, {w2}, {w1}) AS k2, xxhash64(-3, item, {w3}, {w2}) AS p3, xxhash64(-2, item, {w2}) AS p2, xxhash64(1, item, {w1}) AS k1"
+#: The keys of a run: its three words, the last two, three and two with the last unknown, the last one.
+_KEYS = "xxhash64(3, item, w3, w2, w1) AS k3, xxhash64(2, item, w2, w1) AS k2, xxhash64(-3, item, w3, w2) AS p3, xxhash64(-2, item, w2) AS p2, xxhash64(1, item, w1) AS k1"
 
 
 def truncated_texts(docs: DataFrame, doc_id: str, text: str, source: str, least_seen: int = LEAST_SEEN, rarely: float = RARELY, often: float = OFTEN, mostly: float = MOSTLY, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -74,7 +78,7 @@ def truncated_texts(docs: DataFrame, doc_id: str, text: str, source: str, least_
 
     NULL texts and texts without words are not cut (evidence "none").  All texts are read whole and all are counted; a
     document's own end is no evidence about itself, and texts that come again count as one end.  Repeated rows are judged alike.
-    Only ``doc_id``, ``text`` and ``source`` are read.  Runs are counted by 64-bit hashes, combined on the map side before the
+    Only ``doc_id``, ``text`` and ``source`` are read.  Runs are counted by 64-bit hashes of their words, combined on the map side before the
     one exchange of trigrams and again before that of the shorter runs.
     """
     spark, tag = docs.sparkSession, uuid.uuid4().hex
@@ -84,7 +88,7 @@ def truncated_texts(docs: DataFrame, doc_id: str, text: str, source: str, least_
     core = f"if(length({end}) > 0 OR length(body) <= {_LOOK}, concat(left(body, length(body) - {_LOOK}), {end}), regexp_replace(body, {_r(_AFTER_CUT)}, ''))"
     ends = spark.sql(
         f"""
-      SELECT row, doc_id, source, same, item, has_words, closed, {_keys()}
+      SELECT row, doc_id, source, same, item, has_words, closed, {_KEYS}
       FROM (
         SELECT row, doc_id, source, same, item, size(w) > 2 AS has_words, endswith(get(w, size(w) - 1), '.') AS closed,
           {_word("get(w, size(w) - 3)")} AS w3, {_word("get(w, size(w) - 2)")} AS w2, {_word("get(w, size(w) - 1)")} AS w1
@@ -96,18 +100,18 @@ def truncated_texts(docs: DataFrame, doc_id: str, text: str, source: str, least_
     materialize(ends, "tails").createOrReplaceTempView(tails)
     counted = spark.sql(
         f"""
-      SELECT k3, any_value(k2) AS k2, any_value(p3) AS p3, any_value(p2) AS p2, any_value(k1) AS k1, count(*) AS seen, count_if(closed) AS closed, count_if(line_end) AS ends_line
+      SELECT {_KEYS}, seen, closed, ends_line
       FROM (
-        SELECT {_keys()}, closed, line_end
+        SELECT item, w3, w2, w1, count(*) AS seen, count_if(closed) AS closed, count_if(line_end) AS ends_line
         FROM (
           SELECT item, {_word("a")} AS w3, {_word("b")} AS w2, {_word("c")} AS w1, endswith(c, '.') AS closed, d IS NULL AND NOT last AND NOT endswith(c, '.') AS line_end
           FROM (
             SELECT item, last, inline(arrays_zip(w, slice(w, 2, size(w)), slice(w, 3, size(w)), slice(w, 4, size(w)))) AS (a, b, c, d)
             FROM (
-              SELECT line RLIKE {_r(_ITEM)} AS item, at = n - 1 AS last, {words_sql("line")} AS w
-              FROM (SELECT size(lines) AS n, posexplode(lines) AS (at, line) FROM (SELECT split({plain_sql(core)}, '\\n') AS lines FROM {inputs}))))
-          WHERE c IS NOT NULL))
-      GROUP BY k3
+              SELECT line RLIKE {_r(_ITEM)} AS item, at = 0 AS last, {words_sql("line")} AS w
+              FROM (SELECT posexplode(reverse(split({plain_sql(core)}, '\n'))) AS (at, line) FROM {inputs})))
+          WHERE c IS NOT NULL)
+        GROUP BY item, w3, w2, w1)
     """
     )
     counted.createOrReplaceTempView(runs)
