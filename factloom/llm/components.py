@@ -50,56 +50,53 @@ def _forests(edges: DataFrame, parts: int, by: tuple[str, ...]) -> DataFrame:
     return edges.repartition(parts, *by).mapInPandas(run, "a long, b long")
 
 
-def _star_round(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step: nodes hang on to ever smaller ones, components stay the same."""
-    for small in (False, True):
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        if small:
-            both = both.filter("b < a")
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        joined = both.join(least, "a")
-        moved = joined.filter("b > a" if not small else "b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        if small:
-            moved = moved.unionByName(least.select("a", F.col("m").alias("b")))
-        edges = moved.filter("a <> b").distinct()
-    return edges
+def _contracted(edges: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """Merges about every fourth node or more into a neighbour, whatever the shape of the graph: a coin is thrown for each node
+    and level, and nodes of one side follow their least neighbour of the other.  Returns who follows whom, and the edges left."""
+    coin = lambda c: F.pmod(F.xxhash64(F.lit(level), c), F.lit(2)) == 0
+    ends = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    moves = materialize(ends.filter(coin("a") & ~coin("b")).groupBy("a").agg(F.min("b").alias("to")), "moves")
+    kept = edges
+    for end in ("a", "b"):
+        kept = kept.join(moves.select(F.col("a").alias(end), "to"), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    return moves, kept.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame, a: str, b: str, edges_per_task: int = EDGES_PER_TASK) -> DataFrame:
     """``node`` and ``component`` (the least node linked to it) for every node of an edge that links two different nodes.
 
-    Edges are cut into partitions of about ``edges_per_task``; each keeps only its spanning forest.  Forests are merged in
-    ever fewer partitions of that size until one holds them all.  Where forests stop shrinking before that (more nodes
-    than one task takes), star contraction finishes the work in bounded tasks: each round is a join and an aggregation.
-    Every round is written to the shared folder.  NULL ends link nothing; loops and repeated edges change nothing.
+    Edges are cut into partitions of about ``edges_per_task``; union-find keeps only the spanning forest of each.  As long as the
+    forests together are more than one task takes, they are merged: part of their nodes is contracted into neighbours, so that
+    edges of different partitions meet, and the next level starts over with what is left, at least a quarter of the nodes fewer
+    (on average).  The last level is one partition.  Labels then go back down the levels, a join each; work and shuffle form a
+    geometric series.  Every level is written to the shared folder.  NULL ends link nothing; loops and repeated edges change nothing.
     """
     pairs = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).dropna().filter("a <> b")
     # Partial distinct on the map side: a hot pair is sent once per task.
     current = materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    count, level = current.count(), 0
+    moved: list[DataFrame] = []
     while True:
+        count = current.count()
         parts = max(1, math.ceil(count / edges_per_task))
-        # Hashing both ends mixes edges; later levels bring the edges of a node together.
-        forest = materialize(_forests(current, parts, ("a", "b") if level == 0 else ("a",)), "forest")
+        forest = materialize(_forests(current, parts, ("a", "b")), "forest")
         discard(current)
-        left = forest.count()
         if parts == 1:
-            return forest.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(forest.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        current, shrunk = forest, left < 0.8 * count
-        count, level = left, level + 1
-        if not shrunk:
             break
-    before = None
-    while True:
-        contracted = materialize(_star_round(current), "stars")
-        discard(current)
-        current = contracted
-        # Equal sums of hashes in two rounds: nothing moved.
-        now = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        moves, left = _contracted(forest, len(moved))
+        moved.append(moves)
+        current = materialize(left, "edges")
+        discard(forest)
+    roots = forest.select("b").distinct()
+    found = forest.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("component")))
+    if not moved:
+        return found
+    for moves in reversed(moved):
+        # A node that is followed but in no edge of the level above is the whole component there.
+        followed = moves.join(found.withColumnRenamed("node", "to"), "to", "left").select(F.col("a").alias("node"), F.coalesce("component", "to").alias("component"))
+        alone = moves.select(F.col("to").alias("node")).distinct().join(found, "node", "left_anti").select("node", F.col("node").alias("component"))
+        found = materialize(found.unionByName(followed).unionByName(alone), "labels")
+    least = found.groupBy("component").agg(F.min("node").alias("least"))
+    return found.join(least, "component").select("node", F.col("least").alias("component"))
 
 
 def links_by_shared_value(df: DataFrame, node: str, values: dict[str, F.Column]) -> DataFrame:

@@ -17,10 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from factloom.operators.materialize import materialize
+from factloom.operators.materialize import broadcast_if_small, materialize
 
-#: A table of matches up to this many rows is broadcast; beyond, it is joined by shuffle.
-BROADCAST_ROWS = 500_000
 
 
 class NearestState:
@@ -114,29 +112,32 @@ def nearest_in_time(left: DataFrame, right: DataFrame, entity: str, left_time: s
 def join_nearest(left: DataFrame, right: DataFrame, entity: str, left_time: str, right_time: str, tolerance: int, payload: list[str], priority: str) -> DataFrame:
     """Left rows with the ``payload`` of their nearest right row; left rows without one are left out.
 
-    The matches of the different keys are written once.  They come back to the rows by broadcast if there are at most
-    ``BROADCAST_ROWS``, else by a shuffled join, whose hot keys adaptive execution splits.  Names of ``payload`` must not
+    The matches of the different keys are written once.  They come back to the rows by broadcast if their size in memory is
+    small for sure, else by a shuffled join, whose hot keys adaptive execution splits.  Names of ``payload`` must not
     occur on the left."""
     matches = materialize(nearest_in_time(left, right, entity, left_time, right_time, tolerance, payload, priority), "nearest")
-    if matches.count() <= BROADCAST_ROWS:
-        matches = F.broadcast(matches)
-    return left.join(matches, [entity, left_time])
+    return left.join(broadcast_if_small(matches), [entity, left_time])
 
 
-def stream_nearest(left: DataFrame, right: DataFrame, entity: str, left_time: str, right_time: str, delay: str, tolerance_seconds: int, row: list[str], payload: list[str], priority: str) -> DataFrame:
+def stream_nearest(left: DataFrame, right: DataFrame, entity: str, left_time: str, right_time: str, delay: str, tolerance_seconds: int, row: list[str], payload: list[str], priority: str, slice_seconds: int = 0) -> DataFrame:
     """The same join of two streams: each left row comes out once, when the watermark has passed its time by the tolerance.
 
-    Times are timestamps.  ``row`` and ``payload`` name the columns taken from the sides.  State is kept per entity by
-    ``applyInPandasWithState``; a timeout in event time emits rows when their entity has no new data.  Rows later than
+    Times are timestamps.  ``row`` and ``payload`` name the columns taken from the sides.  State is kept per entity and
+    slice of time (at least four tolerances wide) by ``applyInPandasWithState``, so a hot entity is spread over tasks and no state
+    outlives its slice; right rows go to every slice they can reach.  A timeout in event time emits rows when their entity has no new data.  Rows later than
     ``delay`` behind the watermark are dropped, as in every watermarked query.
     """
     us = lambda c: F.unix_micros(c)
     lt, rt = T.StructType([left.schema[c] for c in row]), T.StructType([right.schema[c] for c in payload])
     lefts = left.select(F.col(entity).alias("e"), F.col(left_time).alias("ts"), us(F.col(left_time)).alias("t"), F.lit(0).cast("long").alias("p"), F.lit(True).alias("is_left"), *(F.col(c).alias(f"l_{c}") for c in row), *(F.lit(None).cast(right.schema[c].dataType).alias(f"r_{c}") for c in payload))
     rights = right.select(F.col(entity).alias("e"), F.col(right_time).alias("ts"), us(F.col(right_time)).alias("t"), F.col(priority).cast("long").alias("p"), F.lit(False).alias("is_left"), *(F.lit(None).cast(left.schema[c].dataType).alias(f"l_{c}") for c in row), *(F.col(c).alias(f"r_{c}") for c in payload))
+    tolerance = tolerance_seconds * 1_000_000
+    width = max(slice_seconds * 1_000_000, 4 * tolerance + 1)
+    slot = lambda c: F.floor(c / F.lit(width))
+    lefts = lefts.withColumn("slice", slot(F.col("t")))
+    rights = rights.withColumn("slice", F.explode(F.sequence(slot(F.col("t") - tolerance), slot(F.col("t") + tolerance))))
     both = lefts.withWatermark("ts", delay).unionByName(rights.withWatermark("ts", delay))
     out = T.StructType([T.StructField(entity, left.schema[entity].dataType), *lt.fields, *rt.fields])
-    tolerance = tolerance_seconds * 1_000_000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
         state = pickle.loads(group.get[0]) if group.exists else NearestState(tolerance)
@@ -157,4 +158,4 @@ def stream_nearest(left: DataFrame, right: DataFrame, entity: str, left_time: st
             group.remove()
         yield pd.DataFrame(rows, columns=out.names)
 
-    return both.groupBy("e").applyInPandasWithState(step, out, T.StructType([T.StructField("state", T.BinaryType())]), "append", GroupStateTimeout.EventTimeTimeout)
+    return both.groupBy("e", "slice").applyInPandasWithState(step, out, T.StructType([T.StructField("state", T.BinaryType())]), "append", GroupStateTimeout.EventTimeTimeout)

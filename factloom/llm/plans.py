@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.units import SUBUNIT_CODES
+from factloom.llm import checks
 from factloom.llm.components import components, links_by_shared_value
 from factloom.llm.leakage import leaked_items
 from factloom.llm.nearest import join_nearest
@@ -15,7 +16,7 @@ from factloom.llm.packing import count_tokens, pack
 from factloom.llm.quantiles import bucket_counts, merge_counts, percentiles
 from factloom.llm.truncation import truncated_texts
 from factloom.operators.latest import latest_by
-from factloom.operators.materialize import materialize
+from factloom.operators.materialize import broadcast_if_small, materialize
 from factloom.sources.tables import read_table
 
 _OUTER = r"(?U)^\s+|\s+$"
@@ -74,11 +75,15 @@ FILLER_VALUES = (-999999.0,)
 
 
 def daily_sketches(spark: SparkSession, d: str) -> DataFrame:
-    """Bucket counts of each metric, sector and day.  A row delivered again counts once."""
+    """Bucket counts of each metric, sector and day.  A row delivered again counts once.
+
+    The sectors meet the values before the values are first shuffled, by broadcast if they are small for sure.  One exchange drops what
+    was delivered again (on the map side too), one adds up the buckets."""
     sectors = latest_by(read_table(spark, d, "securities").select(F.col("security_id").alias("listing_id"), "sector", "updated_at"), ["listing_id"], ["updated_at"])
-    sectors = sectors.select("listing_id", F.initcap(F.regexp_replace("sector", _OUTER, "")).alias("sector"))
-    values = read_table(spark, d, "metrics").select("listing_id", "metric_id", "as_of", "value").filter(F.col("value").isNotNull() & ~F.col("value").isin(*FILLER_VALUES)).distinct()
-    return bucket_counts(values.join(sectors, "listing_id", "left"), ["metric_id", "sector", "as_of"], F.col("value"), PERCENTILE_ERROR)
+    sectors = materialize(sectors.select("listing_id", F.initcap(F.regexp_replace("sector", _OUTER, "")).alias("sector")), "sectors")
+    values = read_table(spark, d, "metrics").select("listing_id", "metric_id", "as_of", "value").filter(F.col("value").isNotNull() & ~F.col("value").isin(*FILLER_VALUES))
+    values = values.join(broadcast_if_small(sectors), "listing_id", "left").distinct()
+    return bucket_counts(values, ["metric_id", "sector", "as_of"], F.col("value"), PERCENTILE_ERROR)
 
 
 def p4_daily_sketches(spark: SparkSession, d: str) -> DataFrame:
@@ -107,6 +112,21 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return filled.groupBy(F.floor(F.col("used") * 10 / CONTAINER_TOKENS).alias("tenth")).agg(F.count("*").alias("containers"), F.sum("pieces").alias("pieces"), F.sum("used").alias("tokens"))
 
 
+def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """One row that says whether the packing is right: containers over their capacity, documents whose pieces don't cover them,
+    documents split without need, and whether nine tenths of the space is used (the last container of a group may be empty)."""
+    pieces = materialize(p8_packing(spark, d), "pieces")
+    full = pieces.groupBy("container_id").agg(F.sum("piece_size").alias("used"))
+    full = full.agg(F.count_if(F.col("used") > CONTAINER_TOKENS).alias("overfull_containers"), (F.sum("used") >= 0.9 * CONTAINER_TOKENS * (F.count("*") - 1)).alias("nearly_full"))
+    docs = pieces.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("piece_size").alias("size"), F.max(F.col("piece_start") + F.col("piece_size")).alias("end"), F.max("piece_no").alias("last"))
+    docs = docs.agg(
+        F.count("*").alias("documents"), F.count_if((F.col("size") != F.col("end")) | (F.col("n") != F.col("last") + 1)).alias("documents_not_covered"),
+        F.count_if(F.col("n") > F.greatest(F.lit(1), F.ceil(F.col("size") / CONTAINER_TOKENS))).alias("needless_splits"),
+    )
+    # Two tables of one row each.
+    return docs.join(F.broadcast(full), F.lit(True)).select("documents", "overfull_containers", "documents_not_covered", "needless_splits", "nearly_full")
+
+
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(read_table(spark, d, "documents"), "doc_id", "text", read_table(spark, d, "eval_items"), "item_id", "text")
 
@@ -127,7 +147,7 @@ def p10_by_source(spark: SparkSession, d: str) -> DataFrame:
     return p10_judged(spark, d).groupBy("source").agg(F.count("*").alias("documents"), F.count_if("is_cut").alias("cut"), F.round(F.count_if("is_cut") / F.count("*"), 6).alias("cut_share"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_percentiles, p4_daily_sketches, p8_packing, p8_fill, p9_found, p9_leaks, p10_found, p10_judged, p10_by_source)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_percentiles, p4_daily_sketches, p8_packing, p8_fill, p8_invariants, p9_found, p9_leaks, p10_found, p10_judged, p10_by_source)}
 
 _P2_SQL = """
 WITH f AS (
@@ -177,3 +197,4 @@ r AS (
 SELECT metric_id, sector, n, {", ".join(f"CASE WHEN abs({x}) >= 1000 THEN round({x}, 1) ELSE round({x}, 6) END AS {x}" for x in ("p50", "p90", "p99"))}, CAST({PERCENTILE_ERROR} AS DOUBLE) AS relative_error FROM p
 """
 SQL = {"p2_found": _P2_SQL, "p3_found": _P3_SQL, "p4_daily_sketches": _SKETCH_SQL + "SELECT * REPLACE (strftime(as_of, '%Y-%m-%d') AS as_of) FROM b", "p4_percentiles": _P4_SQL}
+SQL |= {"p8_invariants": checks.P8_INVARIANTS, "p9_found": checks.P9_FOUND, "p10_found": checks.P10_FOUND, "p10_by_source": checks.P10_BY_SOURCE}

@@ -8,8 +8,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from factloom.llm import leakage
 from factloom.llm.components import components, links_by_shared_value, spanning_forest
-from factloom.llm.leakage import judge, leaked_items
+from factloom.llm.leakage import Coder, ItemIndex, judge, leaked_items, leaks_of
 from factloom.llm.nearest import NearestState, join_nearest, nearest_in_time, stream_nearest
 from factloom.llm.packing import count_tokens, first_fit_decreasing, pack
 from factloom.llm.quantiles import bucket_counts, merge_counts, percentiles
@@ -90,7 +91,7 @@ def test_spanning_forest(pairs):
     assert dict(zip(nodes.tolist(), roots.tolist(), strict=True)) == {x: m for x, m in want.items() if x != m}
 
 
-@pytest.mark.parametrize("bound", [10**6, 40])
+@pytest.mark.parametrize("bound", [10**6, 40, 12])
 def test_components(spark, bound):
     rng = random.Random(2)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + i) for i in range(1, 80)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(60)] + [(5, 5), (7, 8), (7, 8)]
@@ -195,17 +196,72 @@ def test_leaks_of_other_names(spark):
     assert got == [(0, 7, "reworded"), (1, 7, "reworded"), (2, 7, "reworded"), (3, 7, "passage"), (4, 7, "passage"), (5, 7, "passage")]
 
 
+def _judged(doc, item, least, per):
+    coder = Coder(frozenset())
+    d, t = (coder.read([x])[0] for x in (doc, item))
+    return judge(d, t, least, per)
+
+
 def test_slots():
-    item = "a 1 b 2 c 1 d 3".split()
-    t = "a 0 b 0 c 0 d 0".split()
-    assert judge("a 5 b 6 c 5 d 7".split(), item, t, t, 8, 10) == (False, True, 1)
-    assert judge("a 5 b 6 c 4 d 7".split(), item, t, t, 8, 10)[1] is False
+    assert _judged("a 5 b 6 c 5 d 7", "a 1 b 2 c 1 d 3", 8, 10) == (False, True, 1)
+    assert _judged("a 5 b 6 c 4 d 7", "a 1 b 2 c 1 d 3", 8, 10)[1] is False
 
 
 def test_slot_of_a_value_seen_twice():
-    item, t = "1 a 1 b 1 c".split(), "0 a 0 b 0 c".split()
-    assert judge("5 a 5 b 6 c".split(), item, t, t, 5, 10)[1] is False
-    assert judge("5 a 5 b 5 c".split(), item, t, t, 5, 10)[1] is True
+    assert _judged("5 a 5 b 6 c", "1 a 1 b 1 c", 5, 10)[1] is False
+    assert _judged("5 a 5 b 5 c", "1 a 1 b 1 c", 5, 10)[1] is True
+
+
+VOWELS, WORDS = "aeiou", "the of a in depot credit audit canal crate delayed minor carrying sold with by after before charter reserve and holds under note".split()
+
+
+def _sentence(rng, n):
+    """Words with names, numbers and units at fixed places, and the same with other values in the slots."""
+    name = lambda: "".join(rng.choice("bdkmrtv") + rng.choice(VOWELS) for _ in range(3)).capitalize()
+    a, b, x, y = name(), name(), rng.randrange(100, 9999), rng.randrange(2, 99) / 10
+    words = [rng.choice(WORDS) for _ in range(n)]
+    slots = {5: "{a}", 9: "{x}", 14: "{u}", 13: "{y}", 20: "{a}", 26: "{b}", 31: "{x}"}
+    t = " ".join(slots.get(i, w) for i, w in enumerate(words))
+    other = {"a": name(), "b": name(), "x": rng.randrange(10_000, 99_999), "y": rng.randrange(101, 999) / 10, "u": "SEK"}
+    return t.format(a=a, b=b, x=x, y=y, u="EUR"), t.format(**other), t.format(**(other | {"a": other["b"]})).replace(other["b"], other["a"], 1)
+
+
+def test_reworded_copies_are_found():
+    rng = random.Random(5)
+    items, copies, crossed = zip(*(_sentence(rng, 40) for _ in range(200)), strict=True)
+    noise = lambda: " ".join(rng.choice(WORDS) for _ in range(rng.randrange(60)))
+    index = ItemIndex(list(items))
+    found = leaks_of([f"{noise()}. {c} {noise()}" for c in copies], index, Coder(index.names), 20, 10)
+    assert all(kind == "reworded" for _, _, kind, _ in found)
+    assert {d for d, i, _, _ in found if d == i} >= set(range(180)) and len(found) < 220
+    # Held against itself, every item is a passage.
+    assert {(d, i) for d, i, kind, _ in leaks_of(list(items), index, Coder(index.names), 20, 10) if kind == "passage"} == {(i, i) for i in range(200)}
+
+
+def test_blocks_and_parts_change_nothing(spark, monkeypatch):
+    rng = random.Random(6)
+    items = [" ".join(rng.choice(WORDS[:6]) for _ in range(rng.randrange(25, 60))) for _ in range(12)]
+    docs = [f"{rng.choice(items)[rng.randrange(30):]} x" + " ".join(rng.choice(WORDS[:6]) for _ in range(rng.randrange(200))) for _ in range(60)] + [None, ""]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    t = spark.createDataFrame([(f"i{k}", x) for k, x in enumerate(items)], "item_id string, text string")
+    whole = leaked_items(d, "doc_id", "text", t, "item_id", "text").collect()
+    assert whole and sorted(whole) == sorted(leaked_items(d, "doc_id", "text", t, "item_id", "text", block_bytes=500).collect())
+    index = ItemIndex(items)
+    once = leaks_of(docs, index, Coder(index.names), 20, 10)
+    monkeypatch.setattr(leakage, "PAIRS_AT_ONCE", 50)
+    monkeypatch.setattr(leakage, "WORDS_AT_ONCE", 100)
+    monkeypatch.setattr(leakage, "SPELLINGS", 5)
+    assert sorted(once) == sorted(leaks_of(docs, index, Coder(index.names), 20, 10))
+    # Brute force over all offsets.
+    coder, want = Coder(index.names), set()
+    for i, doc in enumerate(docs):
+        for k, item in enumerate(items):
+            (a, _), (b, _) = coder.read([doc or ""]), coder.read([item])
+            for off in range(20 - len(b), len(a) - 19):
+                lo, hi = max(0, off), min(len(a), off + len(b))
+                if judge(a[lo:hi], b[lo - off : hi - off], 20, 10)[0]:
+                    want.add((i, k))
+    assert {(i, k) for i, k, kind, _ in once if kind == "passage"} == want
 
 
 # truncation
@@ -229,6 +285,16 @@ def test_truncated(spark):
     assert truncated_texts(docs.limit(0), "id", "text", "source").count() == 0
 
 
+def test_unrelated_texts_change_no_verdict(spark):
+    rng = random.Random(7)
+    line = lambda: f"After the {rng.choice(['sale', 'move', 'audit'])} of a depot, net debt {rng.choice(['rose', 'fell'])} by {rng.randrange(99)}.5 percent of sales."
+    texts = [" ".join(line() for _ in range(4)) + rng.choice(["", "", "\n\nPrepared by: desk 12, Felden", "\n\n*** END ***"]) for _ in range(60)] + [line() + " After the sa", line() + " After the move of"]
+    other = ["Une autre phrase sans rapport, la suite manque encore ici." for _ in range(500)] + [f"Nothing of number {i} recurs here." for i in range(500)]
+    judged = lambda ts: {r.doc_id: r.evidence for r in truncated_texts(spark.createDataFrame([(i, t, "s") for i, t in enumerate(ts)], "id long, text string, source string"), "id", "text", "source").collect()}
+    alone, among = judged(texts), judged(texts + other)
+    assert {i: among[i] for i in alone} == alone
+
+
 def test_truncated_items(spark):
     whole = ["Late revenue", "Mild net debt", "Debt of the old depot", "Debt to banks", "High debt ratio"]
     texts = [f"The audit held.\n\n- {whole[i % 5]}\n- {whole[i // 5 % 5]}\n- {whole[i // 25 % 5]}" for i in range(250)]
