@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -43,3 +44,23 @@ def discard(df: DataFrame) -> None:
     jvm = df.sparkSession.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+#: Bytes in memory up to which a table is broadcast.
+BROADCAST_BYTES = 64_000_000
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, a result of ``materialize``, marked for broadcast if its rows fit in ``most`` bytes for sure.
+
+    Rows count with the widths of their types and, for texts and arrays, ten times the bytes of their files.  A larger table
+    is returned as it is, and the join is shuffled."""
+    path = getattr(df, "_factloom_path", None)
+    if path is None:
+        raise ValueError("only the size of a written table is known")
+    jvm = df.sparkSession.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+    if 10 * files > most:
+        return df
+    return F.broadcast(df) if df.count() * (16 + 16 * len(df.columns)) + 10 * files <= most else df

@@ -1,8 +1,9 @@
 """Impossible, stuck and spiking values of series, relative to what each series delivers otherwise.
 
-Rows are collapsed to one per series and date on the map side first, so a series is never longer than its calendar has days,
-whatever its share of the rows.  Levels come from the dates around; the usual spread of a series comes from a quantile sketch
-(Greenwald-Khanna) of its relative distances from its level.
+A series has at most one date per calendar day, but it may have any number of rows.  Series of many rows are found by a count first:
+their rows are collapsed to dates on the map side and get the verdicts on their dates back by a join.  The rows of all other
+series come together once, in one exchange, and are judged where they are.  Levels come from the dates around; the usual spread of
+a series comes from a quantile sketch (Greenwald-Khanna) of its relative distances from its level.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from factloom.operators.materialize import materialize
 #: Dates that stand for a missing one (fixed values).
 FILLER_DATES = ("0001-01-01", "1900-01-01", "2099-12-31", "9999-12-31")
 
-#: Flagged dates up to this many are broadcast to the rows; beyond, both are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: A series of more rows than this, and than a millionth of all rows, is a long one; so there are at most a million long ones.
+LONG_SERIES = 50_000
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -48,6 +49,7 @@ def implausible_values(
     longest_spike: int = 2,
     least_stuck: int = 6,
     accuracy: int = 200,
+    long_series: int = LONG_SERIES,
 ) -> DataFrame:
     """``row_id`` and ``reason`` (impossible, stuck or spike; the first that holds) of every row that cannot be right.
 
@@ -74,14 +76,36 @@ def implausible_values(
         F.coalesce((F.col(value) < 0) & ~may_be_negative | (F.col(value) > upper_bound) & ~F.isnan(value), (F.col(value) < 0) & ~may_be_negative, F.lit(False)).alias("__impossible"),
         F.coalesce(may_be_stuck, F.lit(False)).alias("__may_stick"),
     )
-    # Units are parsed once; three cheap scans of this table follow.
+    # Units are parsed once; cheap scans of this table follow.
     rows = materialize(rows, "readings")
     keys = ["__s0", "__s1"]
     usable = rows.filter(F.col("__v").isNotNull() & F.col("__at").isNotNull() & ~F.col("__at").cast("string").isin(*FILLER_DATES))
-    # Two exchanges: this one combines the rows of a date on the map side, the next brings the dates of a series together.
-    dates = usable.groupBy(*keys, "__at").agg(
-        F.max_by("__v", "__newest").alias("v"), F.min("__v").alias("low"), F.max("__v").alias("high"), F.count("*").alias("n"), F.min("__may_stick").alias("may_stick")
-    )
+    counts = usable.groupBy(*keys).agg(F.count("*").alias("n"))
+    # Proven size: at most a million keys of two columns.
+    long = materialize(counts.filter(F.col("n") > max(long_series, rows.count() // 1_000_000)).select(*(F.col(k).alias(f"__l{k}") for k in keys)), "long-series")
+    is_long = usable["__s0"].eqNullSafe(long["__l__s0"]) & (usable["__s1"] == long["__l__s1"])
+    of_long = usable.join(F.broadcast(long), is_long, "left_semi")
+    summary = [F.max_by("__v", "__newest").alias("v"), F.min("__v").alias("low"), F.max("__v").alias("high"), F.count("*").alias("n"), F.min("__may_stick").alias("may_stick")]
+    # One exchange by series; dates, windows and verdicts stay in its partitions.
+    short = usable.join(F.broadcast(long), is_long, "left_anti").repartition(*keys)
+    held = F.collect_list(F.when(~F.col("__impossible"), F.struct("__id", "__v"))).alias("held")
+    judge = lambda dates: _fenced(dates, keys, reach, least_rows, least_jump, spreads, longest_spike, least_stuck, accuracy)
+    inside = judge(short.groupBy(*keys, "__at").agg(*summary, held)).select("stuck", "upper", "lower", F.inline("held").alias("__id", "__v"))
+    flagged = judge(of_long.groupBy(*keys, "__at").agg(*summary)).select(F.col("__s0").alias("__f0"), F.col("__s1").alias("__f1"), F.col("__at").alias("__fat"), "stuck", "upper", "lower")
+    possible = of_long.filter(~F.col("__impossible")).select("__id", *keys, "__at", "__v")
+    same = possible["__s0"].eqNullSafe(flagged["__f0"]) & (possible["__s1"] == flagged["__f1"]) & (possible["__at"] == flagged["__fat"])
+    verdict = F.when(F.col("stuck"), "stuck").when(_outside("__v"), "spike").alias("reason")
+    judged = inside.select("__id", verdict).unionByName(possible.join(flagged, same).select("__id", verdict)).filter(F.col("reason").isNotNull())
+    impossible = rows.filter("__impossible").select("__id", F.lit("impossible").alias("reason"))
+    return impossible.unionByName(judged).withColumnRenamed("__id", row_id)
+
+
+def _outside(x: str) -> Column:
+    return F.coalesce((F.col(x) >= F.col("upper")) & (F.col(x) > F.col("lower")) | (F.col(x) <= F.col("lower")) & (F.col(x) < F.col("upper")), F.lit(False))
+
+
+def _fenced(dates: DataFrame, keys: list[str], reach: int, least_rows: int, least_jump: float, spreads: float, longest_spike: int, least_stuck: int, accuracy: int) -> DataFrame:
+    """The dates with a stuck value or values outside the fence: ``stuck``, ``upper``, ``lower``, and their other columns."""
     order = Window.partitionBy(*keys).orderBy("__at")
     steps = range(1, max(reach, least_stuck - 1) + 1)
     seen = F.struct("v", F.when(_same(F.col("low"), F.col("high")), F.col("v")).alias("one"))
@@ -96,8 +120,9 @@ def implausible_values(
         return total
 
     near = lambda side: [F.col(f"{side}{k}.v") for k in range(1, reach + 1)]
+    more = [c for c in dates.columns if c == "held"]
     dates = dates.select(
-        *keys, "__at", "v", "low", "high", "rows",
+        *keys, "__at", "v", "low", "high", "rows", *more,
         (F.col("may_stick") & _same(F.col("low"), F.col("high")) & (run("b") + run("a") + 1 >= least_stuck)).alias("stuck"),
         _median(F.array_compact(F.array(*near("b")))).alias("before"),
         _median(F.array_compact(F.array(*near("a")))).alias("after"),
@@ -113,12 +138,11 @@ def implausible_values(
     margin = F.greatest(F.lit(least_jump), spreads * spread)
     both = F.col("before").isNotNull() & F.col("after").isNotNull()
     fenced = dates.select(
-        *keys, "__at", "v", "low", "high", "stuck",
+        *keys, "__at", "v", "low", "high", "stuck", *more,
         F.when(both & F.col("q").isNotNull(), top + margin * F.abs(top)).alias("upper"),
         F.when(both & F.col("q").isNotNull(), bottom - margin * F.abs(bottom)).alias("lower"),
     )
-    outside = lambda x: F.coalesce((F.col(x) >= F.col("upper")) & (F.col(x) > F.col("lower")) | (F.col(x) <= F.col("lower")) & (F.col(x) < F.col("upper")), F.lit(False))
-    fenced = fenced.withColumn("out", outside("v"))
+    fenced = fenced.withColumn("out", _outside("v"))
     # A stretch of flagged dates longer than a spike is a change of level.
     around = [F.coalesce((F.lag if k < 0 else F.lead)("out", abs(k)).over(order), F.lit(False)) for k in range(-longest_spike, longest_spike + 1) if k]
     whole = F.lit(False)
@@ -128,13 +152,5 @@ def implausible_values(
             part = part & flag
         whole = whole | part
     fenced = fenced.withColumn("long", F.col("out") & whole)
-    flagged = fenced.filter(F.col("stuck") | ~F.col("long") & (outside("low") | outside("high"))).select(*keys, "__at", "stuck", F.when(~F.col("long"), F.col("upper")).alias("upper"), F.when(~F.col("long"), F.col("lower")).alias("lower"))
-    flagged = materialize(flagged, "flagged").withColumnRenamed("__s0", "__f0")
-    if flagged.count() <= BROADCAST_ROWS:
-        flagged = F.broadcast(flagged)
-    possible = usable.filter(~F.col("__impossible")).select("__id", *keys, "__at", "__v")
-    # A series whose first column is a NULL long keeps it as its key.
-    same = possible["__s0"].eqNullSafe(flagged["__f0"]) & (possible["__s1"] == flagged["__s1"]) & (possible["__at"] == flagged["__at"])
-    judged = possible.join(flagged, same).withColumn("reason", F.when(F.col("stuck"), "stuck").when(outside("__v"), "spike")).filter(F.col("reason").isNotNull())
-    impossible = rows.filter("__impossible").select("__id", F.lit("impossible").alias("reason"))
-    return impossible.unionByName(judged.select("__id", "reason")).withColumnRenamed("__id", row_id)
+    flagged = fenced.filter(F.col("stuck") | ~F.col("long") & (_outside("low") | _outside("high")))
+    return flagged.select(*keys, "__at", "stuck", F.when(~F.col("long"), F.col("upper")).alias("upper"), F.when(~F.col("long"), F.col("lower")).alias("lower"), *more)
