@@ -34,7 +34,7 @@ P10 = (
     f"""
 WITH docs AS (SELECT doc_id, source, text, {_CORE} AS core FROM documents),
 lines AS (
-  SELECT line, at = n AS last FROM (SELECT unnest(l) AS line, generate_subscripts(l, 1) AS at, len(l) AS n FROM (SELECT string_split(core, chr(10)) AS l FROM docs))
+  SELECT line, k = n AS last FROM (SELECT unnest(l) AS line, generate_subscripts(l, 1) AS k, len(l) AS n FROM (SELECT string_split(core, chr(10)) AS l FROM docs))
 ), w AS (SELECT regexp_matches(line, '{T._ITEM}') AS item, last, {_words("line")} AS w FROM lines),
 x AS (SELECT item, last, w, unnest(range(3, len(w) + 1)) AS i FROM w),
 runs AS (
