@@ -1,8 +1,8 @@
 """Deeply nested records to related flat tables.
 
-Each text is parsed as a stream of events; scalars come out as path-value-ordinal triples.  Triples are grouped by their
-nearest repeated ancestor and every group is pivoted into one row of its table, in the same pass over the text.  All triples
-of a record are together in one task, so neither grouping nor pivoting shuffles, however large the table.
+Each text is parsed as a stream into path-value-ordinal triples, one for each scalar and one for each object that begins.  Triples
+are grouped by their nearest repeated ancestor and every group is pivoted into one row of its table, in the same pass over the
+text.  All triples of a record are together in one task, so neither grouping nor pivoting shuffles, however large the table.
 """
 
 from __future__ import annotations
@@ -96,11 +96,16 @@ def events(text: str) -> Iterator[tuple[str, Path, str | None]]:
         want = "comma or close" if closers else "done"
 
 
-def triples(text: str) -> Iterator[tuple[str, str | None, tuple[int, ...]]]:
-    """Path with ``[]`` for each array step, value, and the ordinals (from 1) of those steps."""
+#: The value of a triple where an object begins.
+OBJECT = object()
+
+
+def triples(text: str) -> Iterator[tuple[Path, object, int | None]]:
+    """Path, value and ordinal (from 1, of the innermost array; None outside of arrays) of every scalar and every object."""
     for kind, path, value in events(text):
-        if kind == "value":
-            yield ".".join("[]" if isinstance(s, int) else s for s in path), value, tuple(s + 1 for s in path if isinstance(s, int))
+        if kind == "value" or value == "{" and kind == "open":
+            ordinal = next((s + 1 for s in reversed(path) if isinstance(s, int)), None)
+            yield path, value if kind == "value" else OBJECT, ordinal
 
 
 @dataclass(frozen=True)
@@ -111,6 +116,8 @@ class FlatTable:
 
     name: str
     path: str
+    #: Fields (in lower case) that the rows below get too, as ``../field``; with any of them, also ``../map_key`` and ``../section``.
+    handed_down: tuple[str, ...] = ()
 
     def steps(self) -> list[dict[str, str] | str]:
         return [s if s in ("*", "[]") else {a.lower(): a for a in s.strip("{}").split("|")} for s in self.path.split(".") if s]
@@ -136,40 +143,43 @@ def flatten_record(text: str | None, tables: list[FlatTable]) -> list[dict] | No
     """The rows of one record, or None if it isn't valid JSON.  See ``flatten`` for the columns."""
     if text is None:
         return None
-    compiled = [(t.name, t.steps()) for t in tables]
+    compiled = [(t, t.steps()) for t in tables]
     depths = {len(s) for _, s in compiled}
     rows: list[dict] = []
-    open_rows: list[dict] = [{"key": "", "depth": -1, "counts": {}, "fields": {}}]
+    # The repeated ancestors of the triple at hand, each with the group of its triples.
+    groups: list[dict] = [{"key": "", "path": (), "skip": 0, "counts": {}, "fields": {}, "row": None, "down": ()}]
     try:
-        for kind, path, value in events(text):
-            if kind == "open":
-                if value == "{" and len(path) in depths:
-                    for name, steps in compiled:
-                        section = _match(steps, path)
-                        if section is None:
-                            continue
-                        parent = open_rows[-1]
-                        group = (name, path[:-1])
-                        parent["counts"][group] = ordinal = parent["counts"].get(group, 0) + 1
-                        last = path[-1] if path else None
-                        row = {
-                            "table_name": name, "row_key": f"{parent['key']}/{'.'.join(map(str, path[max(0, parent['depth']) : -1]))}#{ordinal}" if path else "",
-                            "parent_key": parent["key"], "section": section, "map_key": last if isinstance(last, str) else None,
-                            "ordinal": ordinal, "fields": {},
-                        }
-                        rows.append(row)
-                        open_rows.append({"key": row["row_key"], "depth": len(path), "counts": {}, "fields": row["fields"]})
-                        break
-            elif kind == "close":
-                if open_rows[-1]["depth"] == len(path):
-                    open_rows.pop()
-            else:
-                owner = open_rows[-1]
-                field = ".".join(map(str, path[max(0, owner["depth"]) :])).lower()
-                if owner["fields"].get(field) is None:
-                    owner["fields"][field] = value
+        for path, value, _ in triples(text):
+            while groups[-1]["path"] != path[: len(groups[-1]["path"])]:
+                groups.pop()
+            parent = groups[-1]
+            if value is not OBJECT:
+                field = ".".join(map(str, path[parent["skip"] :])).lower()
+                if parent["fields"].get(field) is None:
+                    parent["fields"][field] = value
+            elif len(path) in depths:
+                for table, steps in compiled:
+                    section = _match(steps, path)
+                    if section is None:
+                        continue
+                    place = (table.name, path[:-1])
+                    parent["counts"][place] = ordinal = parent["counts"].get(place, 0) + 1
+                    last = path[-1] if path else None
+                    row = {
+                        "table_name": table.name, "row_key": f"{parent['key']}/{'.'.join(map(str, path[parent['skip'] : -1]))}#{ordinal}" if path else "",
+                        "parent_key": parent["key"], "section": section, "map_key": last if isinstance(last, str) else None, "ordinal": ordinal, "fields": {}, "parent": parent,
+                    }
+                    rows.append(row)
+                    groups.append({"key": row["row_key"], "path": path, "skip": len(path), "counts": {}, "fields": row["fields"], "row": row, "down": table.handed_down})
+                    break
     except BrokenRecord:
         return None
+    for row in rows:
+        # Fields may come behind the children, so they are handed down at the end.
+        parent = row.pop("parent")
+        if parent["down"]:
+            above = parent["row"]
+            row["fields"] |= {f"../{f}": above["fields"][f] for f in parent["down"] if f in above["fields"]} | {"../map_key": above["map_key"], "../section": above["section"]}
     return rows
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.functions.units import resolve_unit
+from factloom.functions.units import resolve_unit, to_common
 from factloom.operators.latest import latest_by
+from factloom.operators.materialize import broadcast_if_small, materialize
 from factloom.operators.nested import FlatTable, fields_to_columns, flatten
 from factloom.operators.snapshots import snapshot_changes
 from factloom.operators.spikes import implausible_values
@@ -16,52 +17,61 @@ from factloom.sources.tables import read_table
 _ENTRIES = ("Financials.Balance_Sheet|Income_Statement|Cash_Flow.yearly|quarterly.*", "Earnings.History|Annual.*", "outstandingShares.annual|quarterly.*")
 PAYLOAD_TABLES = [
     FlatTable("payloads", ""),
-    *(FlatTable("entries", p) for p in _ENTRIES),
+    *(FlatTable("entries", p, ("date",)) for p in _ENTRIES),
     *(FlatTable("adjustments", f"{p}.adjustments.[]") for p in _ENTRIES),
 ]
 
 
+def newest_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """The newest payload of each provider listing (ties: the greatest hash).  Only ids, times, hashes and places of rows are compared; the
+    text is read in a second scan and never goes through an aggregation."""
+    raw = read_table(spark, d, "fundamentals_raw")
+    rows = raw.select("provider_listing_id", "payload_hash", "last_fetched_at", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    newest = latest_by(rows, ["provider_listing_id"], ["last_fetched_at", "payload_hash"])
+    chosen = broadcast_if_small(materialize(newest.select(F.col("file").alias("__file"), F.col("place").alias("__place")), "newest"))
+    text = raw.select("provider_listing_id", "data", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place"))
+    return text.join(chosen, ["__file", "__place"], "left_semi").select("provider_listing_id", "data")
+
+
 def payload_rows(spark: SparkSession, d: str) -> DataFrame:
     """Flat rows of the newest payload of each provider listing; one whose newest payload is broken has none."""
-    newest = latest_by(read_table(spark, d, "fundamentals_raw").select("provider_listing_id", "data", "payload_hash", "last_fetched_at"), ["provider_listing_id"], ["last_fetched_at", "payload_hash"])
-    return flatten(newest, "data", ["provider_listing_id"], PAYLOAD_TABLES)
+    return flatten(newest_payloads(spark, d), "data", ["provider_listing_id"], PAYLOAD_TABLES)
 
 
-def _entry_date(rows: DataFrame) -> DataFrame:
-    """The date of an entry as text: its date field if it has one, else its map key; NULL if that is no calendar date."""
-    text = F.substring(F.when(F.map_contains_key("fields", F.lit("date")), F.col("fields")["date"]).otherwise(F.col("map_key")), 1, 10)
+def _entry_date(rows: DataFrame, above: str = "") -> DataFrame:
+    """The date of an entry as text: its date field if it has one, else its map key; NULL if that is no calendar date.
+
+    ``above`` is the prefix of the fields that a child has from its entry."""
+    key = F.col("map_key") if not above else F.col("fields")[f"{above}map_key"]
+    text = F.substring(F.when(F.map_contains_key("fields", F.lit(f"{above}date")), F.col("fields")[f"{above}date"]).otherwise(key), 1, 10)
     valid = text.rlike(r"^\d{4}-\d{2}-\d{2}$") & ~text.startswith("0000") & F.try_to_date(text, "yyyy-MM-dd").isNotNull()
     return rows.withColumn("entry_date", F.when(valid, text))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Entries and adjustments in one pass: an adjustment takes its entry's date along by the parent key."""
+    """Entries and adjustments of one pass; an adjustment has the date and the section of its entry."""
     rows = payload_rows(spark, d).filter(F.col("table_name") != "payloads")
-    rows = _entry_date(rows).select(
-        "provider_listing_id",
-        F.when(F.col("table_name") == "entries", F.col("row_key")).otherwise(F.col("parent_key")).alias("entry_key"),
-        F.when(F.col("table_name") == "entries", F.col("section")).alias("section"),
-        F.when(F.col("table_name") == "entries", F.col("entry_date")).alias("entry_date"),
-        F.when(F.col("table_name") == "entries", F.lit(0)).otherwise(F.col("ordinal")).cast("long").alias("adjustment_no"),
-    )
-    # The adjustments of an entry count up to the greatest number, so the group is its entry's date and that number.
-    entries = rows.groupBy("provider_listing_id", "entry_key").agg(F.max("section").alias("section"), F.max("entry_date").alias("entry_date"), F.max("adjustment_no").alias("n"))
-    entries = entries.filter(F.col("entry_date").isNotNull())
-    found = entries.select("provider_listing_id", "section", "entry_date", F.explode(F.sequence(F.lit(0).cast("long"), "n")).alias("adjustment_no"))
-    return found.distinct()
+    child = F.col("table_name") == "adjustments"
+    pick = lambda own, above: F.when(child, above).otherwise(own)
+    dated = _entry_date(rows, "../").withColumnRenamed("entry_date", "__above")
+    dated = _entry_date(dated).select(
+        "provider_listing_id", pick(F.col("section"), F.col("fields")["../section"]).alias("section"), pick(F.col("entry_date"), F.col("__above")).alias("entry_date"),
+        pick(F.lit(0), F.col("ordinal")).cast("long").alias("adjustment_no"),
+    )
+    return dated.filter(F.col("entry_date").isNotNull()).distinct()
 
 
 def p1_entries(spark: SparkSession, d: str) -> DataFrame:
     rows = _entry_date(payload_rows(spark, d).filter(F.col("table_name") == "entries"))
-    return rows.select("provider_listing_id", "row_key", "parent_key", "section", "entry_date", "ordinal", F.col("fields")["filing_date"].alias("filing_date"), F.col("fields")["currency_symbol"].alias("currency_symbol"), F.size("fields").alias("n_fields"))
+    return rows.select("provider_listing_id", "row_key", "parent_key", "section", "entry_date", "ordinal", F.col("fields")["filing_date"].alias("filing_date"), F.col("fields")["currency_symbol"].alias("currency_symbol"))
 
 
 def p1_adjustments(spark: SparkSession, d: str) -> DataFrame:
-    return fields_to_columns(payload_rows(spark, d), "adjustments", {"field": "field", "amount": "amount", "why_text": "why.text", "why_desk": "why.desk"})
+    return fields_to_columns(payload_rows(spark, d), "adjustments", {"field": "field", "amount": "amount", "why_text": "why.text", "why_desk": "why.desk"}).select("provider_listing_id", "row_key", "parent_key", "ordinal", "field", "amount", "why_text", "why_desk")
 
 
 def p1_payloads(spark: SparkSession, d: str) -> DataFrame:
-    return fields_to_columns(payload_rows(spark, d), "payloads", {"name": "General.Name", "currency_code": "General.CurrencyCode", "updated_at": "General.UpdatedAt", "sector": "General.Sector", "isin": "General.ISIN", "lei": "General.LEI"})
+    return fields_to_columns(payload_rows(spark, d), "payloads", {"name": "General.Name", "currency_code": "General.CurrencyCode", "updated_at": "General.UpdatedAt", "sector": "General.Sector", "isin": "General.ISIN", "lei": "General.LEI"}).select("provider_listing_id", "name", "currency_code", "updated_at", "sector", "isin", "lei")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -72,9 +82,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def common_facts(spark: SparkSession, d: str) -> DataFrame:
     """Every fact with its value in the common unit (``common_value``)."""
     facts = read_table(spark, d, "financial_facts").withColumn("u", resolve_unit("unit_kind", "unit", "currency"))
-    # Dividing by 10**n is exact where multiplying by 10**-n is not.
-    power = F.col("u.power_of_ten")
-    return facts.withColumn("common_unit", F.col("u.common_unit")).withColumn("common_value", F.when(power < 0, F.col("value") / F.pow(F.lit(10.0), -power)).otherwise(F.col("value") * F.pow(F.lit(10.0), power))).drop("u")
+    return facts.withColumn("common_unit", F.col("u.common_unit")).withColumn("common_value", to_common(F.col("value"), F.col("u"))).drop("u")
 
 
 def p5_common_values(spark: SparkSession, d: str) -> DataFrame:
@@ -120,7 +128,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p1_found, p1_entries, p1_adjustments, p1_payloads, p5_found, p5_common_values, p6_found, p6_flags, p7_found, p7_changes)}
 
 _SECTIONS = [f"Financials.{a}.{b}" for a in ("Balance_Sheet", "Income_Statement", "Cash_Flow") for b in ("yearly", "quarterly")] + ["Earnings.History", "Earnings.Annual", "outstandingShares.annual", "outstandingShares.quarterly"]
-_P1_SQL = f"""
+_P1_WITH = f"""
 WITH newest AS (
   SELECT provider_listing_id, data FROM fundamentals_raw QUALIFY row_number() OVER (PARTITION BY provider_listing_id ORDER BY last_fetched_at DESC, payload_hash DESC) = 1
 ), valid AS (
@@ -128,18 +136,28 @@ WITH newest AS (
 ), sections AS (
   {" UNION ALL ".join(f"SELECT provider_listing_id, '{x}' AS section, json_extract(j, '$.{x}') AS s FROM valid" for x in _SECTIONS)}
 ), members AS (
-  SELECT provider_listing_id, section, unnest(json_keys(s)) AS map_key, s FROM sections WHERE json_type(s) = 'OBJECT'
+  SELECT provider_listing_id, section, unnest(json_keys(s)) AS map_key, generate_subscripts(json_keys(s), 1) AS i, s FROM sections WHERE json_type(s) = 'OBJECT'
 ), entries AS (
-  SELECT provider_listing_id, section, map_key, json_extract(s, '$."' || map_key || '"') AS e FROM members
-  UNION ALL SELECT provider_listing_id, section, NULL, unnest(CAST(s AS JSON[])) FROM sections WHERE json_type(s) = 'ARRAY'
+  SELECT provider_listing_id, section, map_key, i, json_extract(s, '$."' || map_key || '"') AS e FROM members
+  UNION ALL SELECT provider_listing_id, section, NULL, generate_subscripts(CAST(s AS JSON[]), 1), unnest(CAST(s AS JSON[])) FROM sections WHERE json_type(s) = 'ARRAY'
 ), dated AS (
-  SELECT provider_listing_id, section, e, substr(CASE WHEN list_contains(json_keys(e), 'date') THEN json_extract_string(e, '$.date') WHEN list_contains(json_keys(e), 'Date') THEN json_extract_string(e, '$.Date') ELSE map_key END, 1, 10) AS entry_date
+  SELECT provider_listing_id, section, e, row_number() OVER (PARTITION BY provider_listing_id, section ORDER BY i) AS ordinal,
+    substr(CASE WHEN list_contains(json_keys(e), 'date') THEN json_extract_string(e, '$.date') WHEN list_contains(json_keys(e), 'Date') THEN json_extract_string(e, '$.Date') ELSE map_key END, 1, 10) AS text_date
   FROM entries WHERE json_type(e) = 'OBJECT'
-), good AS (
-  SELECT * FROM dated WHERE regexp_full_match(entry_date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND TRY_CAST(entry_date AS DATE) IS NOT NULL AND entry_date NOT LIKE '0000%'
+), keyed AS (
+  SELECT *, '/' || section || '#' || CAST(ordinal AS VARCHAR) AS row_key,
+    CASE WHEN regexp_full_match(text_date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND TRY_CAST(text_date AS DATE) IS NOT NULL AND text_date NOT LIKE '0000%' THEN text_date END AS entry_date FROM dated
+), adjusted AS (
+  SELECT provider_listing_id, section, entry_date, row_key AS parent_key, unnest(a) AS x, generate_subscripts(a, 1) AS ordinal
+  FROM (SELECT *, list_filter(CAST(json_extract(e, '$.adjustments') AS JSON[]), lambda x: json_type(x) = 'OBJECT') AS a FROM keyed)
 )
-SELECT DISTINCT provider_listing_id, section, entry_date, unnest(range(0, 1 + coalesce(len(list_filter(CAST(json_extract(e, '$.adjustments') AS JSON[]), lambda x: json_type(x) = 'OBJECT')), 0))) AS adjustment_no FROM good
 """
+_P1_SQL = _P1_WITH + """SELECT DISTINCT provider_listing_id, section, entry_date, 0::BIGINT AS adjustment_no FROM keyed WHERE entry_date IS NOT NULL
+UNION SELECT provider_listing_id, section, entry_date, ordinal FROM adjusted WHERE entry_date IS NOT NULL"""
+_P1_ENTRIES_SQL = _P1_WITH + "SELECT provider_listing_id, row_key, '' AS parent_key, section, entry_date, ordinal, json_extract_string(e, '$.filing_date') AS filing_date, json_extract_string(e, '$.currency_symbol') AS currency_symbol FROM keyed"
+_P1_ADJUSTMENTS_SQL = _P1_WITH + """SELECT provider_listing_id, parent_key || '/adjustments#' || CAST(ordinal AS VARCHAR) AS row_key, parent_key, ordinal, json_extract_string(x, '$.field') AS field,
+json_extract_string(x, '$.amount') AS amount, json_extract_string(x, '$.why.text') AS why_text, json_extract_string(x, '$.why.desk') AS why_desk FROM adjusted"""
+_P1_PAYLOADS_SQL = _P1_WITH + "SELECT provider_listing_id, " + ", ".join(f"json_extract_string(j, '$.General.{f}') AS {n}" for n, f in (("name", "Name"), ("currency_code", "CurrencyCode"), ("updated_at", "UpdatedAt"), ("sector", "Sector"), ("isin", "ISIN"), ("lei", "LEI"))) + " FROM valid"
 _P6_KEYS = "listing_id, concept, source, period_class"
 _P6_SQL = f"""
 WITH measured AS (SELECT *, {O.UNIT_SQL} AS power FROM financial_facts),
@@ -188,6 +206,9 @@ WHERE p.at IS NULL OR c.at IS NULL OR c.status IS DISTINCT FROM p.status OR c.cu
 """
 SQL = {
     "p1_found": _P1_SQL,
+    "p1_entries": _P1_ENTRIES_SQL,
+    "p1_adjustments": _P1_ADJUSTMENTS_SQL,
+    "p1_payloads": _P1_PAYLOADS_SQL,
     "p5_found": f"SELECT * FROM (SELECT fact_id, {O.COMMON_UNIT_SQL} AS common_unit, CAST({O.UNIT_SQL} AS BIGINT) AS power_of_ten FROM financial_facts) WHERE power_of_ten <> 0",
     "p5_common_values": f"""WITH m AS (SELECT *, {O.UNIT_SQL} AS power, {O.COMMON_UNIT_SQL} AS common_unit FROM financial_facts),
       v AS (SELECT fact_id, common_unit, CASE WHEN power < 0 THEN value / power(10.0, -power) ELSE value * power(10.0, power) END AS x FROM m)

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from factloom.operators.nested import BrokenRecord, FlatTable, events, fields_to_columns, flatten, flatten_record, triples
+from factloom.operators.nested import OBJECT, BrokenRecord, FlatTable, events, fields_to_columns, flatten, flatten_record, triples
 
 TABLES = [FlatTable("records", ""), FlatTable("entries", "a.b|c.*"), FlatTable("notes", "a.b|c.*.notes.[]")]
 JSON = st.recursive(st.none() | st.booleans() | st.integers() | st.text(max_size=5), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(max_size=4), x, max_size=3), max_leaves=12)
@@ -62,7 +62,14 @@ def test_broken(text):
 
 
 def test_triples():
-    assert list(triples('{"a": [{"b": 1}, {"b": null}]}')) == [("a.[].b", "1", (1,)), ("a.[].b", None, (2,))]
+    got = list(triples('{"a": [{"b": 1}, {"b": null}]}'))
+    assert got == [((), OBJECT, None), (("a", 0), OBJECT, 1), (("a", 0, "b"), "1", 1), (("a", 1), OBJECT, 2), (("a", 1, "b"), None, 2)]
+
+
+def test_fields_handed_down():
+    tables = [FlatTable("entries", "a.*", ("date",)), FlatTable("notes", "a.*.notes.[]")]
+    rows = flatten_record('{"a": {"k": {"notes": [{"t": 1}], "Date": "x"}, "l": {"notes": [{}]}}}', tables)
+    assert [r["fields"] for r in rows if r["table_name"] == "notes"] == [{"t": "1", "../date": "x", "../map_key": "k", "../section": "a"}, {"../map_key": "l", "../section": "a"}]
 
 
 def test_tables():
