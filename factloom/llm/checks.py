@@ -85,10 +85,10 @@ d5 AS (SELECT doc_id, i AS p, array_to_string(w[i:i + 4], ' ') AS five FROM (SEL
 t5 AS (SELECT item_id, i AS p, array_to_string(w[i:i + 4], ' ') AS five FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM t)),
 c AS (SELECT doc_id, item_id, d5.p - t5.p AS off FROM d5 JOIN t5 USING (five) GROUP BY ALL HAVING count(*) >= 6),
 eq AS (
-  SELECT doc_id, item_id, off, tw.p, row_number() OVER (PARTITION BY doc_id, item_id, off ORDER BY tw.p) AS r
-  FROM c JOIN tw USING (item_id) JOIN dw USING (doc_id) WHERE dw.p = tw.p + off AND dw.word = tw.word
+  SELECT doc_id, item_id, off, tw.p, row_number() OVER o AS r, lead(tw.p, 2) OVER o = tw.p + 2 AS opens, lag(tw.p, 2) OVER o = tw.p - 2 AS closes
+  FROM c JOIN tw USING (item_id) JOIN dw USING (doc_id) WHERE dw.p = tw.p + off AND dw.word = tw.word WINDOW o AS (PARTITION BY doc_id, item_id, off ORDER BY tw.p)
 )
 SELECT DISTINCT a.doc_id, a.item_id FROM eq a JOIN eq b USING (doc_id, item_id, off)
-WHERE b.p - a.p + 1 >= 20 AND (b.p - a.p) - (b.r - a.r) <= (b.p - a.p + 1) // 10
+WHERE a.opens AND b.closes AND b.p - a.p + 1 >= 20 AND (b.p - a.p) - (b.r - a.r) <= (b.p - a.p + 1) // 10
 """
 P8_INVARIANTS = "SELECT count(*) AS documents, 0::BIGINT AS overfull_containers, 0::BIGINT AS documents_not_covered, 0::BIGINT AS needless_splits, true AS nearly_full FROM documents"

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Words per template window.
 WINDOW = 5
+#: A span begins and ends with this many equal words at least.
+END_RUN = 3
 #: Bytes of item text in one block; an index takes about ten times as much.
 BLOCK_BYTES = 8_000_000
 #: Words of documents looked at together.
@@ -189,7 +191,7 @@ def judge(doc: np.ndarray, item: np.ndarray, least: int, per: int, slots: bool =
     """Aligned words of both sides (rows as of ``Coder.read``): does a span of ``least`` words have at most one in ``per`` replaced;
     if not, is a span of as many words the same template with consistent slots; and the longest run of equal words.
 
-    A span begins and ends with an equal word, so that words around a shorter overlap don't lengthen it."""
+    A span begins and ends with ``END_RUN`` equal words, so that a common word or two around a shorter overlap don't lengthen it."""
     n = len(doc)
     same = doc[:, 0] == item[:, 0]
     longest = longest_run(same)
@@ -198,10 +200,16 @@ def judge(doc: np.ndarray, item: np.ndarray, least: int, per: int, slots: bool =
     sums = np.concatenate([[0], np.cumsum(same)])
     # A span that passes has a stretch of ``least`` words with at most one more replaced than its share.
     if (sums[least:] - sums[:-least]).max() >= least - least // per - 1:
-        # No longer span needs a look: where two neighbours are equal beyond ``least`` words of both its ends, one side passes
-        # by itself, and without such neighbours half of the words between are replaced.
-        for size in range(least, min(n, int(least / (0.5 - 1 / per)) + 1) + 1):
-            ends = same[: n - size + 1] & same[size - 1 :]
+        # No longer span needs a look: where ``END_RUN`` neighbours are equal beyond ``least`` words of both its ends, one side
+        # passes by itself, and without such neighbours one in ``END_RUN`` of the words between is replaced.
+        opens = same.copy()
+        for k in range(1, END_RUN):
+            opens[:-k] &= same[k:]
+            opens[-k:] = False
+        closes = np.concatenate([np.zeros(END_RUN - 1, dtype=bool), opens[: n - END_RUN + 1]])
+        most = n if per <= END_RUN else int(2 * least / (1 - END_RUN / per)) + 1
+        for size in range(least, min(n, most) + 1):
+            ends = opens[: n - size + 1] & closes[size - 1 :]
             if (ends & (sums[size:] - sums[: n - size + 1] >= size - size // per)).any():
                 return True, False, longest
     filled = (doc[:, 3] == item[:, 3]) & (item[:, 3] != PLAIN)

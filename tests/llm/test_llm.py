@@ -212,6 +212,17 @@ def test_slot_of_a_value_seen_twice():
     assert _judged("5 a 5 b 5 c", "1 a 1 b 1 c", 5, 10)[1] is True
 
 
+def test_words_around_a_shorter_overlap():
+    item = " ".join(f"w{i}x" for i in range(40)).split()
+    near = lambda keep: " ".join(w if i in keep else f"o{i}" for i, w in enumerate(item))
+    sixteen = set(range(5, 21))
+    # Single words and pairs beyond other ones don't lengthen sixteen words, three words do.
+    assert _judged(near(sixteen | {22, 24, 25}), " ".join(item), 20, 10)[0] is False
+    assert _judged(near(sixteen | {22, 23, 24}), " ".join(item), 20, 10)[0] is True
+    assert _judged(near(set(range(5, 25))), " ".join(item), 20, 10)[0] is True
+    assert _judged(near(set(range(5, 38)) - {9, 20, 30}), " ".join(item), 20, 10)[0] is True
+
+
 VOWELS, WORDS = "aeiou", "the of a in depot credit audit canal crate delayed minor carrying sold with by after before charter reserve and holds under note".split()
 
 
