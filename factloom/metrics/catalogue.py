@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from factloom.metrics import series as M
-from factloom.metrics.registry import CE, EBIT, ENTITY, EPS, LTD, NI, OCF, REV, SE, SHARES, STD, A, L, Q, S, T, Y, metric, register
+from factloom.metrics.registry import _BUILT_IN, _REGISTRY, CE, DACF, EBIT, EPS, LTD, NI, NIC, OCF, REV, SE, SHARES, STD, A, L, Q, S, T, Y, col, metric, register
 from factloom.operators.facts import MAX_AGE, MAX_AGE_FY
 
-C = F.col
+C = col
 positive = lambda a, b: b > 0
 both_positive = lambda a, b: (a > 0) & (b > 0)
 
@@ -46,7 +46,7 @@ def _(ref):
 
 
 def _ncav(ref):
-    return newer_fresh(M.both(L("AssetsCurrent"), C("liabilities"), lambda a, b: a - b), ref)
+    return newer_fresh(M.both(L("AssetsCurrent"), L("Liabilities"), lambda a, b: a - b), ref)
 
 
 register("ncav", "monetary", _ncav)
@@ -116,7 +116,7 @@ def avg_assets(ref):
 
 @metric("accruals_ratio", "ratio")
 def _(ref):
-    return M.ratio(M.both(bare(T(NI)), bare(T(OCF)), lambda n, o: n - o), avg_assets(ref), positive)
+    return M.ratio(M.both(C("ni_t"), bare(T(OCF)), lambda n, o: n - o), avg_assets(ref), positive)
 
 
 @metric("altman_z", "other")
@@ -124,7 +124,9 @@ def _(ref):
     ta, tl = M.fresh(bare(L("Assets")), ref), C("liabilities")
     over = lambda x, k: scaled(M.ratio(x, ta, positive), F.lit(k))
     wc = M.both(M.fresh(bare(L("AssetsCurrent")), ref), M.fresh(bare(L("LiabilitiesCurrent")), ref), lambda a, b: a - b)
-    parts = [over(wc, 1.2), over(M.fresh(bare(L("RetainedEarnings")), ref), 1.4), over(bare(A(EBIT)), 3.3), scaled(M.ratio(C("mcap"), tl, positive), F.lit(0.6)), over(bare(A(REV)), 1.0)]
+    # The price's date is no date of the score.
+    cap = M.val(0.6 * C("mcap")["v"] / tl["v"], tl["d"], tl["v"] > 0)
+    parts = [over(wc, 1.2), over(M.fresh(bare(L("RetainedEarnings")), ref), 1.4), over(bare(A(EBIT)), 3.3), cap, over(bare(A(REV)), 1.0)]
     out = parts[0]
     for p in parts[1:]:
         out = M.both(out, p, lambda a, b: a + b)
@@ -133,23 +135,26 @@ def _(ref):
 
 @metric("piotroski_f_score", "count")
 def _(ref):
-    a = S("Assets")
-    y0 = F.get(a, F.lit(0))["y"]
-    g = lambda s, k: M.in_year(s, y0 - k)
-    roa = lambda k: g(C("s_ni"), k) / g(a, k + 1)
-    ltd = lambda k: F.coalesce(g(S(LTD), k), F.lit(0.0)) / g(a, k)
-    cur = lambda k: g(S("AssetsCurrent"), k) / g(S("LiabilitiesCurrent"), k)
-    margin = lambda k: F.coalesce(g(S("GrossProfit"), k), g(S(REV), k) - g(S("CostOfRevenue"), k)) / g(S(REV), k)
-    turn = lambda k: g(S(REV), k) / g(a, k + 1)
-    tests = [
-        roa(0) > 0, g(S(OCF), 0) > 0, roa(0) > roa(1), g(S(OCF), 0) > g(C("s_ni"), 0), (ltd(0) < ltd(1)) | ((ltd(0) == 0) & (ltd(1) == 0)),
-        cur(0) > cur(1), g(S(SHARES), 0) <= g(S(SHARES), 1), margin(0) > margin(1), turn(0) > turn(1),
+    """Nine signs of the newest year of net income against the year before; without all inputs there is no score."""
+    ni, a, rev = S(NI), S("Assets"), S(REV)
+    top = F.get(ni, F.lit(0))
+    g = lambda s, k: M.in_year(s, top["y"] - k)
+    ca, cl, shares, ocf, ltd = S("AssetsCurrent"), S("LiabilitiesCurrent"), S(SHARES), S(OCF), S(LTD)
+    gross, cost = S("GrossProfit"), S("CostOfRevenue")
+    debt = lambda k: F.coalesce(g(ltd, k), F.lit(0.0))
+    # One basis for both years: reported gross profit, else revenue less cost.
+    reported = g(gross, 0).isNotNull() & g(gross, 1).isNotNull()
+    margin = lambda k: F.when(reported, g(gross, k)).otherwise(g(rev, k) - g(cost, k)) / g(rev, k)
+    roa = lambda k: g(ni, k) / g(a, k + 1)
+    leverage = lambda k: debt(k) / ((g(a, k) + g(a, k + 1)) / 2)
+    signs = [
+        roa(0) > 0, g(ocf, 0) > 0, roa(0) > roa(1), g(ocf, 0) > g(ni, 0), (leverage(0) < leverage(1)) | ((debt(0) == 0) & (debt(1) == 0)),
+        g(ca, 0) / g(cl, 0) > g(ca, 1) / g(cl, 1), g(shares, 0) <= g(shares, 1), margin(0) > margin(1), g(rev, 0) / g(a, 1) > g(rev, 1) / g(a, 2),
     ]
-    score = F.lit(0)
-    for t in tests:
-        score = score + t.cast("int")
-    d = F.get(a, F.lit(0))["d"]
-    return M.val(score.cast("double"), d, d >= F.date_sub(ref, MAX_AGE_FY))
+    above = [g(a, 0), g(a, 1), g(a, 2), g(cl, 0), g(cl, 1), g(rev, 0), g(rev, 1), g(shares, 0), g(shares, 1)]
+    ok = F.forall(F.array(*above), lambda x: F.coalesce(x > 0, F.lit(False))) & (top["d"] >= F.date_sub(ref, MAX_AGE_FY))
+    # A missing input makes its sign NULL and so the sum.  Ratios are asked only where their denominators are above 0.
+    return F.when(ok, M.val(sum((s.cast("int") for s in signs), F.lit(0)).cast("double"), top["d"]))
 
 
 # Earnings per share
@@ -264,7 +269,7 @@ def enterprise_value(wide_if_annual: Column):
 def _(ref):
     debt = F.when(C("ebitda_annual"), C("debt_any_fy")).otherwise(C("debt_any"))
     cash = F.when(C("ebitda_annual"), C("cash_any_fy")).otherwise(C("cash_any"))
-    return M.ratio(M.both(debt, cash, lambda a, b: a - b), C("ebitda"), positive)
+    return M.ratio(M.both(debt, cash, lambda a, b: a - b), bare(C("ebitda")), positive)
 
 
 def annual(w: Column) -> Column:
@@ -274,9 +279,9 @@ def annual(w: Column) -> Column:
 register("ebit_yield_ev", "percent", lambda ref: M.ratio(bare(A(EBIT)), enterprise_value(F.lit(False)), positive))
 register("fcf_yield_ev", "percent", lambda ref: M.ratio(C("fcf_a"), enterprise_value(F.lit(False)), positive))
 register("ev_to_ebit", "multiple", lambda ref: M.ratio(enterprise_value(annual(A(EBIT))), bare(A(EBIT)), positive))
-register("ev_to_ebitda", "multiple", lambda ref: M.ratio(enterprise_value(C("ebitda_annual")), C("ebitda"), positive))
+register("ev_to_ebitda", "multiple", lambda ref: M.ratio(enterprise_value(C("ebitda_annual")), bare(C("ebitda")), positive))
 register("ev_to_sales", "multiple", lambda ref: M.ratio(enterprise_value(annual(A(REV))), bare(A(REV)), positive))
-register("fcf_to_ebitda", "ratio", lambda ref: M.ratio(C("fcf_a"), C("ebitda"), positive))
+register("fcf_to_ebitda", "ratio", lambda ref: M.ratio(C("fcf_a"), bare(C("ebitda")), positive))
 register("sbc_to_revenue", "percent", lambda ref: M.ratio(bare(T("StockBasedCompensation")), bare(T(REV)), positive))
 register("sbc_to_fcf", "percent", lambda ref: M.ratio(bare(T("StockBasedCompensation")), C("fcf_t"), positive))
 
@@ -295,13 +300,17 @@ def avg_ic(ref):
 register("ic_mqr", "monetary", lambda ref: _newest(C("ic_q"), ref, MAX_AGE))
 register("ic_fy", "monetary", lambda ref: _newest(C("ic_y"), ref, MAX_AGE_FY))
 register("avg_ic", "monetary", avg_ic)
-register("roic_ttm", "percent", lambda ref: M.ratio(scaled(bare(A(EBIT)), 1 - C("tax_rate")), avg_ic(ref), both_positive))
+register("roic_ttm", "percent", lambda ref: M.ratio(scaled(bare(A(EBIT)), 1 - C("tax_rate_annual")), avg_ic(ref), both_positive))
 register("roce", "percent", lambda ref: M.ratio(bare(A(EBIT)), _average(C("capital_q"), C("capital_y"), ref), positive))
 register("croic", "percent", lambda ref: M.ratio(C("fcf_a"), avg_ic(ref), positive))
 
 
+def newest_tax():
+    return F.coalesce(F.get(C("s_tax"), F.lit(0))["v"], F.lit(0.21))
+
+
 def nopat():
-    return M.combined(S(EBIT), C("s_tax"), f=lambda e, t: e * (1 - F.coalesce(t, F.lit(0.21))))
+    return M.combined(S(EBIT), C("s_tax"), f=lambda e, t: e * (1 - F.coalesce(t, newest_tax())))
 
 
 def roic_series():
@@ -365,7 +374,7 @@ register("opm_7y_min", "percent", _strict(7, M.least_of, operating_margins))
 
 @metric("gross_margin_ttm", "percent")
 def _(ref):
-    x = M.ratio(C("gross_profit"), bare(T(REV)), positive)
+    x = M.ratio(C("gross_profit"), bare(A(REV)), positive)
     return M.val(F.when(x["v"].isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x["v"]))), x["d"])
 
 
@@ -382,10 +391,8 @@ register("gross_profit_to_assets_ttm", "percent", lambda ref: M.ratio(C("gross_p
 
 def _growth(years, root):
     def build(ref):
-        q = F.when(F.size(Q(SHARES)) > 0, Q(SHARES)).otherwise(Q(ENTITY))
-        y = F.when(F.size(Y(SHARES)) > 0, Y(SHARES)).otherwise(Y(ENTITY))
         change = lambda a, b: F.when((a > 0) & (b > 0), F.pow(a / b, F.lit(1.0 / years)) - 1 if root else a / b - 1)
-        return M.year_pair(q, y, ref, change, years)
+        return M.year_pair(Q(SHARES), Y(SHARES), ref, change, years)
 
     return build
 
@@ -417,8 +424,10 @@ def _no_dividend(ref):
 
 
 def _dividend_yield(ref):
-    dps = F.when(L("CommonStockDividendsPerShareCashPaid")["p"] == "TTM", M.fresh(bare(L("CommonStockDividendsPerShareCashPaid")), ref))
-    return F.coalesce(M.ratio(_dividends(), C("mcap"), positive), M.ratio(dps, C("px"), positive), _no_dividend(ref))
+    dps = M.fresh(bare(L("CommonStockDividendsPerShareCashPaid")), ref)
+    dps = M.let(dps, lambda p: M.val(F.abs(p["v"]), p["d"]))
+    # Evidence of no dividend counts only where none is recorded.
+    return F.coalesce(M.ratio(_dividends(), C("mcap"), positive), M.ratio(dps, C("px"), positive), F.when(A("CommonStockDividendsPaid").isNull() & dps.isNull(), _no_dividend(ref)))
 
 
 register("dividend_yield_ttm", "percent", _dividend_yield)
@@ -457,13 +466,29 @@ def least_spend(capex: Column, da: Column) -> Column:
     return F.coalesce(F.when(capex.isNotNull() & da.isNotNull(), F.least(F.abs(capex), 1.1 * F.abs(da))), F.abs(capex), 1.1 * F.abs(da))
 
 
+def da_rows():
+    """Depreciation of fiscal years by end date; that of cash flows fills holes."""
+    return M.either(Y(DA), Y(DACF), "d")
+
+
 def mcapex_series():
-    years = F.sort_array(F.array_distinct(F.concat(F.transform(S(CAPEX), lambda x: F.struct(x["y"].alias("y"), x["d"].alias("d"))), F.transform(S(DA), lambda x: F.struct(x["y"].alias("y"), x["d"].alias("d"))))), False)
-    return F.transform(years, lambda x: F.struct(x["y"].alias("y"), x["d"].alias("d"), least_spend(M.in_year(S(CAPEX), x["y"]), M.in_year(S(DA), x["y"])).alias("v")))
+    """Structs (d, v) of all end dates with a spend or a depreciation."""
+
+    def rows(p: Column) -> Column:
+        dates = F.sort_array(F.array_union(F.transform(p["c"], lambda x: x["d"]), F.transform(p["a"], lambda x: x["d"])), False)
+        return F.transform(dates, lambda d: F.struct(d.alias("d"), least_spend(M.at(p["c"], d), M.at(p["a"], d)).alias("v")))
+
+    return M.let(F.struct(Y(CAPEX).alias("c"), da_rows().alias("a")), rows)
+
+
+def spent(w: Column) -> Column:
+    """Sum of the amounts of a window, whatever their signs."""
+    return M.let(w, lambda p: M.val(F.aggregate(p["rows"], F.lit(0.0), lambda s, x: s + F.abs(x["v"])), p["d"]))
 
 
 def mcapex_ttm():
-    return M.val(least_spend(T(CAPEX)["v"], T(DA)["v"]), F.greatest(T(CAPEX)["d"], T(DA)["d"]))
+    both = F.struct(spent(T(CAPEX)).alias("c"), C("da_t").alias("a"))
+    return M.let(both, lambda p: M.val(least_spend(p["c"]["v"], p["a"]["v"]), F.greatest(p["c"]["d"], p["a"]["d"])))
 
 
 @metric("mcapex_fy", "monetary")
@@ -488,30 +513,57 @@ register("delta_nwc_fy", "monetary", lambda ref: M.year_pair(_NONE(), C("nwc_y")
 
 def maintenance():
     """By year: a third of the working capital gained in three unbroken years, at least 0."""
-    nwc = M.yearly(C("nwc_y"))
 
-    def three(x):
-        whole = M.in_year(nwc, x["y"] - 1).isNotNull() & M.in_year(nwc, x["y"] - 2).isNotNull()
-        return F.when(whole, F.greatest((x["v"] - M.in_year(nwc, x["y"] - 3)) / 3, F.when(M.in_year(nwc, x["y"] - 3).isNotNull(), 0.0)))
+    def three(nwc: Column) -> Column:
+        def of(x: Column) -> Column:
+            before = [M.in_year(nwc, x["y"] - k) for k in (1, 2, 3)]
+            whole = before[0].isNotNull() & before[1].isNotNull() & before[2].isNotNull()
+            return F.when(whole, F.greatest((x["v"] - before[2]) / 3, F.lit(0.0)))
+
+        return F.filter(F.transform(nwc, lambda x: F.struct(x["y"].alias("y"), x["d"].alias("d"), of(x).alias("v"))), lambda x: x["v"].isNotNull())
 
-    return F.filter(F.transform(nwc, lambda x: F.struct(x["y"].alias("y"), x["d"].alias("d"), three(x).alias("v"))), lambda x: x["v"].isNotNull())
+    return M.let(M.yearly(C("nwc_y")), three)
 
 
 def newest_maintenance(ref):
-    rows = M.newest_n(maintenance(), 1, ref)
-    return M.summary(rows, M.mean_of)
+    """That of the newest year of working capital; none where its chain is broken."""
+    newest = _newest(C("nwc_y"), ref, MAX_AGE_FY)
+    return M.let(F.struct(newest.alias("n"), maintenance().alias("m")), lambda p: M.val(M.in_year(p["m"], F.year(p["n"]["d"])), p["n"]["d"]))
 
 
 register("delta_nwc_maint", "monetary", newest_maintenance)
 
 
 def _owner_ttm(base, ref):
-    da = F.coalesce(T(DA)["v"], F.lit(0.0))
-    return M.val(base["v"] + da - mcapex_ttm()["v"] - newest_maintenance(ref)["v"], base["d"])
+    parts = F.struct(base.alias("b"), C("da_t").alias("a"), mcapex_ttm().alias("m"), newest_maintenance(ref).alias("n"))
+    return M.let(parts, lambda p: M.val(p["b"]["v"] + F.coalesce(p["a"]["v"], F.lit(0.0)) - p["m"]["v"] - p["n"]["v"], F.greatest(p["b"]["d"], p["a"]["d"], p["m"]["d"], p["n"]["d"])))
+
 
+def owner_points(base):
+    """Structs (y, d, v) by end date: the base plus depreciation less the spend of the date and the maintenance of its year."""
 
-def owner_series(base):
-    return M.combined(base, S(DA), mcapex_series(), maintenance(), f=lambda b, d, m, n: b + F.coalesce(d, F.lit(0.0)) - m - n)
+    def rows(p: Column) -> Column:
+        value = lambda x: x["v"] + F.coalesce(M.at(p["a"], x["d"]), F.lit(0.0)) - M.at(p["m"], x["d"]) - M.in_year(p["n"], F.year(x["d"]))
+        made = F.transform(p["b"], lambda x: F.struct(F.year(x["d"]).alias("y"), x["d"].alias("d"), value(x).alias("v")))
+        return F.filter(made, lambda x: x["v"].isNotNull())
+
+    return M.let(F.struct(base.alias("b"), da_rows().alias("a"), mcapex_series().alias("m"), maintenance().alias("n")), rows)
+
+
+def nopat_points():
+    """Operating income after tax by end date: the tax of the date, else the newest valid one, else 21 percent."""
+
+    def rows(p: Column) -> Column:
+        rate = lambda d: M.let(F.struct(M.at(p["t"], d).alias("t"), M.at(p["p"], d).alias("p")), lambda r: F.when((r["p"] > 1.0) & (r["t"] / r["p"]).between(0.0, 1.0), r["t"] / r["p"]))
+        valid = F.filter(F.transform(p["t"], lambda x: rate(x["d"])), lambda r: r.isNotNull())
+        return F.transform(p["e"], lambda x: F.struct(x["d"].alias("d"), (x["v"] * (1 - F.coalesce(rate(x["d"]), F.get(valid, F.lit(0)), F.lit(0.21)))).alias("v")))
+
+    return M.let(F.struct(Y(EBIT).alias("e"), Y("IncomeTaxExpense").alias("t"), Y("IncomeBeforeIncomeTaxes").alias("p")), rows)
+
+
+def newest_of_years(points):
+    """Of several points of a calendar year the newest."""
+    return M.let(points, lambda p: F.filter(p, lambda x, i: F.coalesce(F.year(F.when(i > 0, F.get(p, i - 1))["d"]) != x["y"], F.lit(True))))
 
 
 def equity_ttm(ref):
@@ -530,8 +582,8 @@ def _five(series, summary):
     return build
 
 
-equity_series = lambda: owner_series(C("s_nic"))
-enterprise_series = lambda: owner_series(nopat())
+equity_series = lambda: owner_points(M.either(Y(NIC), Y(NI), "d"))
+enterprise_series = lambda: owner_points(nopat_points())
 equity_5y, enterprise_5y, enterprise_median = _five(equity_series, M.mean_of), _five(enterprise_series, M.mean_of), _five(enterprise_series, M.median_of)
 register("oe_equity_ttm", "monetary", equity_ttm)
 register("oe_equity_5y_avg", "monetary", equity_5y)
@@ -542,20 +594,26 @@ register("oey_ev_norm", "percent", lambda ref: M.ratio(enterprise_median(ref), e
 register("oe_ev_ttm", "monetary", enterprise_ttm)
 register("oe_ev_5y_avg", "monetary", enterprise_5y)
 register("oe_ev_fy_median_5y", "monetary", enterprise_median)
-register("worst_oe_ev_fy_10y", "monetary", _strict(10, M.least_of, enterprise_series))
+register("worst_oe_ev_fy_10y", "monetary", _strict(10, M.least_of, lambda: newest_of_years(enterprise_series())))
 
 
 @metric("owner_earnings_cagr_10y", "percent")
 def _(ref):
-    rows = M.chain(enterprise_series(), 10, 7, ref)
+    rows = M.chain(newest_of_years(enterprise_series()), 10, 7, ref)
     return M.summary(rows, lambda r: _ends_cagr(r, F.size(r)))
 
 
 @metric("roc_greenblatt_5y_avg", "percent")
 def _(ref):
-    capital = lambda e, p, a, c: F.when(p + a - c > 0, e / (p + a - c))
-    rows = M.newest_n(M.combined(S(EBIT), S("PropertyPlantAndEquipmentNet"), S("AssetsCurrent"), S("LiabilitiesCurrent"), f=capital), 5, ref, exact=False)
-    return M.summary(rows, M.mean_of)
+    parts = F.struct(Y(EBIT).alias("e"), Y("PropertyPlantAndEquipmentNet").alias("p"), Y("AssetsCurrent").alias("a"), Y("LiabilitiesCurrent").alias("l"))
+
+    def ratios(p: Column) -> Column:
+        capital = lambda d: M.at(p["p"], d) + M.at(p["a"], d) - M.at(p["l"], d)
+        return F.filter(F.transform(p["e"], lambda x: F.struct(x["d"].alias("d"), M.let(capital(x["d"]), lambda c: F.when(c > 0, x["v"] / c)).alias("v"))), lambda x: x["v"].isNotNull())
+
+    recent = lambda c: L(c)["d"] >= F.date_sub(ref, MAX_AGE_FY)
+    rows = F.slice(M.let(parts, ratios), 1, 5)
+    return M.val(M.mean_of(rows), F.get(Y(EBIT), F.lit(0))["d"], recent(EBIT) & recent("AssetsCurrent") & recent("LiabilitiesCurrent"))
 
 
 @metric("roe_greenblatt_5y_avg", "percent")
@@ -564,3 +622,5 @@ def _(ref):
     equity = M.shifted(M.yearly(Y(CE), newest=False), lambda a, b: F.when((a + b) != 0, (a + b) / 2))
     rows = M.newest_n(M.combined(M.yearly(Y("NetIncomeLossAvailableToCommonStockholdersBasic"), newest=False), equity, f=lambda n, e: n / e), 5, ref, exact=False)
     return M.summary(rows, M.mean_of)
+
+_BUILT_IN.update(_REGISTRY)

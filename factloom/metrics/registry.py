@@ -1,7 +1,8 @@
 """The registry of metrics: id, unit kind and expression, computed together over one wide row per listing.
 
 Stages: the arrays of each concept; windows and newest values; composites (debt, cash, flows, invested capital); metrics.
-Each stage is a projection, so the whole computation has the two exchanges that bring a listing's facts together.
+Each stage is a projection with the columns that the chosen metrics ask for, so the whole computation has the exchanges that bring a
+listing's facts together and nothing is read or planned that no metric needs.
 User metrics are added with ``register``; they see the same columns.
 """
 
@@ -54,21 +55,21 @@ def fact_arrays(facts: DataFrame) -> DataFrame:
     return rows.groupBy("listing_id").agg(entries("q"), entries("y"), entries("l"))
 
 
-def _windows(df: DataFrame, ref: Column) -> DataFrame:
-    empty = "array<struct<d:date,v:double,p:string>>"
-    arrays = [F.coalesce(F.col(k)[c], F.array().cast(empty)).alias(f"{k}_{c}") for c in CONCEPTS for k in ("q", "y")]
-    keep = [c for c in df.columns if c not in ("q", "y", "l")]
-    df = df.select(*keep, *arrays, *(F.col("l")[c].alias(f"l_{c}") for c in CONCEPTS))
-    flows = [c for c in CONCEPTS if c not in ("Assets", "AssetsCurrent", "Goodwill", "Liabilities", "LiabilitiesCurrent", LTD, STD, CASH, CASHSTI, STI, SE, CE, SHARES, ENTITY)]
-    w = [M.window(F.col(f"q_{c}"), F.col(f"y_{c}"), ref, a).alias(f"{n}_{c}") for c in flows for n, a in (("t", False), ("a", True))]
-    return df.select("*", *w, *(M.yearly(F.col(f"y_{c}")).alias(f"s_{c}") for c in CONCEPTS))
+#: Names of columns of the wide row that were asked for since the set was last emptied.
+_asked: set[str] = set()
+
+
+def col(name: str) -> Column:
+    """A column of the wide row; only columns asked for are computed."""
+    _asked.add(name)
+    return F.col(name)
 
 
 def _c(prefix: str) -> Callable[[str], Column]:
-    return lambda concept: F.col(f"{prefix}_{concept}")
+    return lambda concept: col(f"{prefix}_{concept}")
 
 
-Q, Y, L, T, A, S = (_c(p) for p in "qylta" "s")
+Q, Y, L, T, A, S = (_c(p) for p in "qyltas")
 
 
 def _less(a: Column, b: Column) -> Column:
@@ -83,80 +84,104 @@ def _plus(a: Column, b: Column, need: str) -> Column:
     return M.let(F.struct(a.alias("a"), b.alias("b")), lambda p: F.coalesce(M.both(p["a"], p["b"], lambda x, y: x + y), p["a"], p["b"]))
 
 
-def _composites(df: DataFrame, ref: Column) -> DataFrame:
-    f = lambda c, days=MAX_AGE: M.fresh(L(c), ref, days)
-    bare = lambda x: M.let(x, lambda p: M.val(p["v"], p["d"]))
-    std, ltd, roll = (bare(f(c)) for c in (STD, LTD, ROLLUP))
-    std2, ltd2, roll2 = (bare(f(c, MAX_AGE_FY)) for c in (STD, LTD, ROLLUP))
-    out = {
-        "debt_any": F.coalesce(_plus(std, ltd, "any"), roll),
-        "debt_any_fy": F.coalesce(_plus(std2, ltd2, "any"), roll2),
-        "debt_both": F.coalesce(_plus(std, ltd, "both"), roll, std, ltd),
-        "debt_evidence": M.val(F.greatest(_plus(std, ltd, "any")["v"], roll["v"]), F.greatest(std["d"], ltd["d"], roll["d"])),
-        "cash_any": F.coalesce(bare(f(CASHSTI)), _plus(bare(f(CASH)), bare(f(STI)), "any")),
-        "cash_any_fy": F.coalesce(bare(f(CASHSTI, MAX_AGE_FY)), _plus(bare(f(CASH, MAX_AGE_FY)), bare(f(STI, MAX_AGE_FY)), "any")),
-        "equity_common": F.coalesce(bare(f(CE)), bare(f(SE))),
-        "intangibles": F.coalesce(bare(f("IntangibleAssetsNetExcludingGoodwill")), bare(f("IntangibleAssetsNet"))),
-        "goodwill": bare(f("Goodwill")),
-        "liabilities": F.coalesce(bare(f("Liabilities")), M.both(bare(f("Assets")), bare(f(SE)), lambda a, e: a - e)),
-        "mcap": M.val(F.col("price") * F.col("shares_v"), F.col("price_date"), (F.col("price") > 0) & (F.col("shares_v") > 0)),
-        "px": M.val(F.col("price"), F.col("price_date"), F.col("price") > 0),
-        "eps_t": F.coalesce(bare(T(EPS)), M.val(F.get(Y(EPS), F.lit(0))["v"], F.get(Y(EPS), F.lit(0))["d"], F.get(Y(EPS), F.lit(0))["d"] >= F.date_sub(ref, MAX_AGE))),
-    }
-    for n, W in (("t", T), ("a", A)):
-        out[f"fcf_{n}"] = _less(bare(W(OCF)), bare(W(CAPEX)))
-        out[f"ni_{n}"] = F.coalesce(bare(W(NI)), bare(W(NIC)))
-        out[f"nic_{n}"] = F.coalesce(bare(W(NIC)), bare(W(NI)))
-    ebit = A(EBIT)
-    d_and_a = F.coalesce(M.over_window(ebit, Q(DA), Y(DA)), M.over_window(ebit, Q(DACF), Y(DACF)))
-    vendor = A("EBITDA")
-    built = M.val(ebit["v"] + d_and_a, ebit["d"])
-    out["ebitda"] = F.coalesce(built, M.val(vendor["v"], vendor["d"], ebit.isNull() | (vendor["v"] >= ebit["v"])))
-    out["ebitda_annual"] = F.coalesce(ebit["cadence"] == "annual", F.lit(False))
-    rev = T(REV)
-    cogs = F.coalesce(M.over_window(rev, Q("CostOfRevenue"), Y("CostOfRevenue")), rev["v"] - M.over_window(rev, Q("GrossProfit"), Y("GrossProfit")))
-    out["gross_profit"] = M.val(rev["v"] - cogs, rev["d"])
+def _bare(x: Column) -> Column:
+    return M.let(x, lambda p: M.val(p["v"], p["d"]))
+
+
+def _first(arr: Column) -> Column:
+    return F.get(arr, F.lit(0))
+
+
+def composites(ref: Column) -> dict[str, Callable[[], Column]]:
+    """The composites by name: what several metrics share, built only where asked for."""
+    fresh = lambda c, days=MAX_AGE: _bare(M.fresh(L(c), ref, days))
     rate = lambda tax, pre: F.when((pre > 1.0) & (tax / pre).between(0.0, 1.0), tax / pre)
-    fy_rates = M.combined(S("IncomeTaxExpense"), S("IncomeBeforeIncomeTaxes"), f=rate)
-    out["tax_rate"] = F.coalesce(rate(T("IncomeTaxExpense")["v"], T("IncomeBeforeIncomeTaxes")["v"]), F.get(fy_rates, F.lit(0))["v"], F.lit(0.21))
-    out["s_tax"] = fy_rates
-    out["s_fcf"] = M.combined(S(OCF), S(CAPEX), f=lambda o, c: o - F.coalesce(c, F.lit(0.0)))
-    out["s_ni"] = M.combined(F.when(F.size(S(NI)) > 0, S(NI)).otherwise(S(NIC)), f=lambda v: v)
-    out["s_nic"] = F.when(F.size(S(NIC)) > 0, S(NIC)).otherwise(S(NI))
-
-    def ic(std, ltd, roll, se, ce, cash, cashsti):
-        debt = F.coalesce(std + ltd, roll, std, ltd)
-        return debt + F.coalesce(se, ce) - F.coalesce(cash, cashsti)
-
-    def rows_of(base: Column, value: Callable[[Column], Column]) -> Column:
-        rows = F.transform(base, lambda x: F.struct(x["d"].alias("d"), value(x).alias("v"), x["p"].alias("p")))
-        return F.filter(rows, lambda x: x["v"].isNotNull())
-
-    def balances(arr: Callable[[str], Column]) -> dict[str, Column]:
-        def invested(x: Column) -> Column:
-            return ic(*(M.at(arr(c), x["d"]) for c in (STD, LTD, ROLLUP)), x["v"], F.lit(None).cast("double"), M.at(arr(CASH), x["d"]), M.at(arr(CASHSTI), x["d"]))
-
-        def working(x: Column) -> Column:
-            cash = F.coalesce(M.at(arr(CASHSTI), x["d"]), M.at(arr(CASH), x["d"]) + F.coalesce(M.at(arr(STI), x["d"]), F.lit(0.0)), M.at(arr(STI), x["d"]))
+
+    def any_side(days: int) -> Column:
+        return F.coalesce(_plus(fresh(STD, days), fresh(LTD, days), "any"), fresh(ROLLUP, days))
+
+    def cash(days: int) -> Column:
+        return F.coalesce(fresh(CASHSTI, days), _plus(fresh(CASH, days), fresh(STI, days), "any"))
+
+    def ebitda() -> Column:
+        ebit, vendor = A(EBIT), A("EBITDA")
+        source = lambda c: F.when(ebit["cadence"] == "annual", Y(c)).otherwise(Q(c))
+        added = F.transform(ebit["rows"], lambda r: F.coalesce(M.at(source(DA), r["d"]), M.at(source(DACF), r["d"])))
+        built = F.struct((ebit["v"] + M.sum_if_whole(added)).alias("v"), ebit["d"].alias("d"), ebit["cadence"].alias("cadence"))
+        given = F.struct(vendor["v"].alias("v"), vendor["d"].alias("d"), vendor["cadence"].alias("cadence"))
+        return M.let(built, lambda x: F.when(x["v"].isNotNull(), x).otherwise(F.when(vendor["v"] >= ebit["v"], given)))
+
+    def gross_profit() -> Column:
+        rev = A(REV)
+        source = lambda c: F.when(rev["cadence"] == "annual", Y(c)).otherwise(Q(c))
+        costs = F.transform(rev["rows"], lambda r: F.coalesce(M.at(source("CostOfRevenue"), r["d"]), r["v"] - M.at(source("GrossProfit"), r["d"])))
+        return M.val(rev["v"] - M.sum_if_whole(costs), rev["d"])
+
+    def invested(arr: Callable[[str], Column]) -> Column:
+        def of(x: Column) -> Column:
+            std, ltd, roll, se, ce, cash, both = (M.at(arr(c), x["d"]) for c in (STD, LTD, ROLLUP, SE, CE, CASH, CASHSTI))
+            return F.coalesce(std + ltd, roll, std, ltd) + F.coalesce(se, ce) - F.coalesce(cash, both)
+
+        return _rows_of(M.either(arr(SE), arr(CE), "d"), of)
+
+    def working(arr: Callable[[str], Column]) -> Column:
+        def of(x: Column) -> Column:
+            held = F.coalesce(M.at(arr(CASHSTI), x["d"]), M.at(arr(CASH), x["d"]) + F.coalesce(M.at(arr(STI), x["d"]), F.lit(0.0)), M.at(arr(STI), x["d"]))
             owed = M.at(arr("LiabilitiesCurrent"), x["d"])
-            return x["v"] - cash - F.when(owed.isNotNull(), F.greatest(owed - F.coalesce(M.at(arr(STD), x["d"]), F.lit(0.0)), F.lit(0.0)))
+            return x["v"] - held - F.when(owed.isNotNull(), F.greatest(owed - F.coalesce(M.at(arr(STD), x["d"]), F.lit(0.0)), F.lit(0.0)))
 
-        def tangible(x: Column) -> Column:
+        return _rows_of(arr("AssetsCurrent"), of)
+
+    def tangible(arr: Callable[[str], Column]) -> Column:
+        def of(x: Column) -> Column:
             other = F.coalesce(M.at(arr("IntangibleAssetsNetExcludingGoodwill"), x["d"]), M.at(arr("IntangibleAssetsNet"), x["d"]), F.lit(0.0))
             return x["v"] - F.coalesce(M.at(arr("Goodwill"), x["d"]), F.lit(0.0)) - other
 
-        return {
-            "ic": rows_of(F.when(F.size(arr(SE)) > 0, arr(SE)).otherwise(arr(CE)), invested), "nwc": rows_of(arr("AssetsCurrent"), working),
-            "capital": rows_of(arr("Assets"), lambda x: x["v"] - M.at(arr("LiabilitiesCurrent"), x["d"])), "tangible": rows_of(arr(CE), tangible),
-        }
+        return _rows_of(arr(CE), of)
 
+    out = {
+        "debt_any": lambda: any_side(MAX_AGE),
+        "debt_any_fy": lambda: any_side(MAX_AGE_FY),
+        "debt_both": lambda: F.coalesce(_plus(fresh(STD), fresh(LTD), "both"), fresh(ROLLUP), fresh(STD), fresh(LTD)),
+        "debt_evidence": lambda: M.val(F.greatest(_plus(fresh(STD), fresh(LTD), "any")["v"], fresh(ROLLUP)["v"]), F.greatest(fresh(STD)["d"], fresh(LTD)["d"], fresh(ROLLUP)["d"])),
+        "cash_any": lambda: cash(MAX_AGE),
+        "cash_any_fy": lambda: cash(MAX_AGE_FY),
+        "equity_common": lambda: F.coalesce(fresh(CE), fresh(SE)),
+        "intangibles": lambda: F.coalesce(fresh("IntangibleAssetsNetExcludingGoodwill"), fresh("IntangibleAssetsNet")),
+        "goodwill": lambda: fresh("Goodwill"),
+        "liabilities": lambda: fresh("Liabilities"),
+        "mcap": lambda: M.val(col("price") * col("shares_v"), col("price_date"), (col("price") > 0) & (col("shares_v") > 0)),
+        "px": lambda: M.val(col("price"), col("price_date"), col("price") > 0),
+        "eps_t": lambda: F.coalesce(_bare(T(EPS)), M.fresh(_bare(_first(Y(EPS))), ref)),
+        "da_t": lambda: F.coalesce(_bare(T(DA)), _bare(T(DACF))),
+        "ebitda": ebitda,
+        "ebitda_annual": lambda: F.coalesce(col("ebitda")["cadence"] == "annual", F.lit(False)),
+        "gross_profit": gross_profit,
+        "s_tax": lambda: M.combined(S("IncomeTaxExpense"), S("IncomeBeforeIncomeTaxes"), f=rate),
+        "tax_rate": lambda: F.coalesce(rate(T("IncomeTaxExpense")["v"], T("IncomeBeforeIncomeTaxes")["v"]), _first(col("s_tax"))["v"], F.lit(0.21)),
+        "tax_rate_annual": lambda: F.coalesce(rate(A("IncomeTaxExpense")["v"], A("IncomeBeforeIncomeTaxes")["v"]), _first(col("s_tax"))["v"], F.lit(0.21)),
+        "s_fcf": lambda: M.combined(S(OCF), S(CAPEX), f=lambda o, c: o - F.coalesce(c, F.lit(0.0))),
+        "s_ni": lambda: M.either(S(NI), S(NIC), "y"),
+    }
+    for n, W in (("t", T), ("a", A)):
+        out[f"fcf_{n}"] = lambda W=W: _less(_bare(W(OCF)), _bare(W(CAPEX)))
+        out[f"ni_{n}"] = lambda W=W: F.coalesce(_bare(W(NI)), _bare(W(NIC)))
+        out[f"nic_{n}"] = lambda W=W: F.coalesce(_bare(W(NIC)), _bare(W(NI)))
     for n, arr in (("q", Q), ("y", Y)):
-        out |= {f"{k}_{n}": v for k, v in balances(arr).items()}
-    return df.select("*", *(c.alias(n) for n, c in out.items()))
+        out[f"ic_{n}"] = lambda arr=arr: invested(arr)
+        out[f"nwc_{n}"] = lambda arr=arr: working(arr)
+        out[f"tangible_{n}"] = lambda arr=arr: tangible(arr)
+        out[f"capital_{n}"] = lambda arr=arr: _rows_of(arr("Assets"), lambda x: x["v"] - M.at(arr("LiabilitiesCurrent"), x["d"]))
+    return out
+
+
+def _rows_of(base: Column, value: Callable[[Column], Column]) -> Column:
+    rows = F.transform(base, lambda x: F.struct(x["d"].alias("d"), value(x).alias("v"), x["p"].alias("p")))
+    return F.filter(rows, lambda x: x["v"].isNotNull())
 
 
-def _shares(df: DataFrame, ref: Column) -> DataFrame:
-    """The share count: the snapshot of common shares against the freshest periodic count; close ones agree, else the market
+def _share_count() -> Column:
+    """Struct v, d: the snapshot of common shares against the freshest periodic count; close ones agree, else the market
     capitalization at the price decides by the nearer ratio, else a far larger periodic count wins."""
     snap = F.when(L(SHARES)["p"] == "INSTANT", L(SHARES))
     first = lambda c: F.coalesce(F.get(Q(c), F.lit(0)), F.get(Y(c), F.lit(0)))
@@ -164,11 +189,10 @@ def _shares(df: DataFrame, ref: Column) -> DataFrame:
     periodic = F.when(s.isNull() | (e["d"] >= s["d"]), F.coalesce(e, s)).otherwise(s)
     a, b = snap["v"], periodic["v"]
     far = F.greatest(a, b) / F.least(a, b)
-    anchor = L("ProviderMarketCapitalization")["v"] / F.col("price")
+    anchor = L("ProviderMarketCapitalization")["v"] / col("price")
     off = lambda x: F.greatest(x / anchor, anchor / x)
     chosen = F.when(a.isNull(), b).when(b.isNull() | (far <= 1.02), a).when((anchor > 0) & (F.least(off(a), off(b)) <= 2.0), F.when(off(b) <= off(a), b).otherwise(a)).when(b / a >= 1.25, b).otherwise(a)
-    date = F.when(chosen == a, snap["d"]).otherwise(periodic["d"])
-    return df.select("*", chosen.alias("shares_v"), date.alias("shares_d"))
+    return M.let(chosen, lambda c: F.struct(c.alias("v"), F.when(c == a, snap["d"]).otherwise(periodic["d"]).alias("d")))
 
 
 _REGISTRY: dict[str, tuple[str, Callable[[Column], Column]]] = {}
@@ -183,30 +207,101 @@ def metric(metric_id: str, unit_kind: str) -> Callable:
     return lambda build: (register(metric_id, unit_kind, build), build)[1]
 
 
+#: Metrics of the catalogue, which ask for their columns by ``col``.
+_BUILT_IN: set[str] = set()
+
+
 def metric_ids() -> list[str]:
     return list(_REGISTRY)
 
 
-def wide_rows(facts: DataFrame, market: DataFrame | None, reference: Column) -> DataFrame:
-    """The wide row of each listing.  ``market`` has listing_id, price and price_date (at most one row per listing)."""
-    df = fact_arrays(facts)
+def _stages(names: set[str], ref: Column) -> list[dict[str, Column]]:
+    """The columns that ``names`` need, in the order of the projections that make them: windows and series, share count, composites."""
+    made = composites(ref)
+    levels: list[set[str]] = []
+    known, frontier = set(), set(names)
+    built: dict[str, Column] = {}
+    while frontier:
+        levels.append(frontier)
+        _asked.clear()
+        for n in sorted(frontier):
+            if n in made and n not in built:
+                built[n] = made[n]()
+            elif n in ("shares_v", "shares_d"):
+                built.setdefault("shares", _share_count())
+        known |= frontier
+        frontier = set(_asked) - known
+    concepts = {n[2:] for n in known if n[:2] in ("q_", "y_", "l_", "t_", "a_", "s_") and n[2:] in CONCEPTS}
+    base: dict[str, Column] = {}
+    empty = "array<struct<d:date,v:double,p:string>>"
+    for c in sorted(concepts):
+        kinds = {n[0] for n in known if n[2:] == c and n[1] == "_"}
+        for k in "qy":
+            if kinds & ({"t", "a", "s", k} if k == "y" else {"t", "a", k}):
+                base[f"{k}_{c}"] = F.coalesce(F.col(k)[c], F.array().cast(empty))
+        if "l" in kinds:
+            base[f"l_{c}"] = F.col("l")[c]
+    second: dict[str, Column] = {}
+    for c in sorted(concepts):
+        kinds = {n[0] for n in known if n[2:] == c and n[1] == "_"}
+        for k in kinds & {"t", "a"}:
+            second[f"{k}_{c}"] = M.window(F.col(f"q_{c}"), F.col(f"y_{c}"), ref, k == "a")
+        if "s" in kinds:
+            second[f"s_{c}"] = M.yearly(F.col(f"y_{c}"))
+    if "shares" in built:
+        second["shares"] = built.pop("shares")
+    # A composite comes after those it asks for.
+    order: list[dict[str, Column]] = [base, second]
+    left = dict(built)
+    ready = set(base) | set(second) | {"price", "price_date", "shares_v", "shares_d"}
+    while left:
+        step = {}
+        for n in left:
+            _asked.clear()
+            made[n]()
+            if not (_asked & set(made)) - ready:
+                step[n] = left[n]
+        if not step:
+            raise ValueError(f"composites need each other: {sorted(left)}")
+        order.append(step)
+        ready |= set(step)
+        left = {n: c for n, c in left.items() if n not in step}
+    return order
+
+
+def wide_rows(facts: DataFrame, market: DataFrame | None, reference: Column, names: set[str]) -> DataFrame:
+    """The wide row of each listing with the columns ``names``.  ``market`` has listing_id, price and price_date (at most one row per listing)."""
+    stages = _stages(names, reference)
+    concepts = sorted({n[2:] for n in stages[0]})
+    df = fact_arrays(facts.filter(F.col("concept").isin(*concepts)) if concepts else facts)
     if market is None:
         df = df.select("*", F.lit(None).cast("double").alias("price"), F.lit(None).cast("date").alias("price_date"))
     else:
         df = df.join(market.select("listing_id", "price", "price_date"), "listing_id", "left")
-    return _composites(_shares(_windows(df, reference), reference), reference)
+    for i, stage in enumerate(stages):
+        kept = [c for c in df.columns if i or c not in ("q", "y", "l")]
+        df = df.select(*kept, *(c.alias(n) for n, c in stage.items()))
+        if "shares" in stage:
+            df = df.select("*", F.col("shares.v").alias("shares_v"), F.col("shares.d").alias("shares_d"))
+    return df
 
 
 def compute_metrics(facts: DataFrame, reference: Column, market: DataFrame | None = None, ids: list[str] | None = None) -> DataFrame:
     """Long table of metrics: listing_id, metric_id, unit_kind, value, as_of; metrics that can't be computed give no row.
 
-    ``facts`` has listing_id, concept, fiscal_period, end_date, value, filed, in one currency per listing (see ``fx.convert``)."""
+    ``facts`` has listing_id, concept, fiscal_period, end_date, value, filed, in one currency per listing (see ``fx.convert``).
+    Only the concepts, windows and composites that the chosen metrics ask for are read and computed."""
     import factloom.metrics.catalogue  # noqa: F401  (fills the registry)
 
     chosen = ids or metric_ids()
     if unknown := [i for i in chosen if i not in _REGISTRY]:
         raise KeyError(f"unknown metrics: {unknown}")
-    wide = wide_rows(facts, market, reference)
+    _asked.clear()
     values = [F.struct(F.lit(i).alias("metric_id"), F.lit(_REGISTRY[i][0]).alias("unit_kind"), _REGISTRY[i][1](reference).alias("x")) for i in chosen]
+    asked = set(_asked)
+    for i in chosen:
+        # Metrics of users may name columns by themselves.
+        asked |= {n for c in CONCEPTS for n in (f"{k}_{c}" for k in "qyltas") if n in str(_REGISTRY[i][1](reference))} if i not in _BUILT_IN else set()
+    wide = wide_rows(facts, market, reference, asked)
     long = wide.select("listing_id", F.explode(F.array(*values)).alias("m")).select("listing_id", "m.metric_id", "m.unit_kind", F.col("m.x.v").alias("value"), F.col("m.x.d").alias("as_of"))
     return long.filter(F.col("value").isNotNull() & ~F.isnan("value"))

@@ -105,6 +105,12 @@ def combined(s: Column, *others: Column, f: Callable[..., Column]) -> Column:
     return let(F.struct(s.alias("s"), *(o.alias(f"o{i}") for i, o in enumerate(others))), rows)
 
 
+def either(a: Column, b: Column, key: str) -> Column:
+    """The rows of ``a``, and of ``b`` those of a year (key y) or date (key d) that ``a`` has not; newest first."""
+    both = F.struct(a.alias("a"), b.alias("b"))
+    return let(both, lambda p: F.sort_array(F.concat(p["a"], F.filter(p["b"], lambda x: ~F.exists(p["a"], lambda z: z[key] == x[key]))), False))
+
+
 def shifted(s: Column, f: Callable[[Column, Column], Column], years: int = 1) -> Column:
     """A series of f of a year's number and that of some years before."""
     return let(s, lambda p: combined(p, F.transform(p, lambda x: F.struct((x["y"] + years).alias("y"), x["d"].alias("d"), x["v"].alias("v"))), f=f))
