@@ -147,7 +147,7 @@ def composites(ref: Column) -> dict[str, Callable[[], Column]]:
         "cash_any": lambda: cash(MAX_AGE),
         "cash_any_fy": lambda: cash(MAX_AGE_FY),
         "equity_common": lambda: F.coalesce(fresh(CE), fresh(SE)),
-        "intangibles": lambda: F.coalesce(fresh("IntangibleAssetsNetExcludingGoodwill"), fresh("IntangibleAssetsNet")),
+        "intangibles": lambda: fresh("IntangibleAssetsNetExcludingGoodwill"),
         "goodwill": lambda: fresh("Goodwill"),
         "liabilities": lambda: fresh("Liabilities"),
         "mcap": lambda: M.val(col("price") * col("shares_v"), col("price_date"), (col("price") > 0) & (col("shares_v") > 0)),
@@ -218,19 +218,21 @@ def metric_ids() -> list[str]:
 def _stages(names: set[str], ref: Column) -> list[dict[str, Column]]:
     """The columns that ``names`` need, in the order of the projections that make them: windows and series, share count, composites."""
     made = composites(ref)
-    levels: list[set[str]] = []
-    known, frontier = set(), set(names)
     built: dict[str, Column] = {}
+    needs: dict[str, set[str]] = {}
+    known, frontier = set(), set(names)
     while frontier:
-        levels.append(frontier)
-        _asked.clear()
+        known |= frontier
+        asked: set[str] = set()
         for n in sorted(frontier):
-            if n in made and n not in built:
+            _asked.clear()
+            if n in made:
                 built[n] = made[n]()
-            elif n in ("shares_v", "shares_d"):
-                built.setdefault("shares", _share_count())
-        known |= frontier
-        frontier = set(_asked) - known
+                needs[n] = set(_asked)
+            elif n in ("shares_v", "shares_d") and "shares" not in built:
+                built["shares"] = _share_count()
+            asked |= _asked
+        frontier = asked - known
     concepts = {n[2:] for n in known if n[:2] in ("q_", "y_", "l_", "t_", "a_", "s_") and n[2:] in CONCEPTS}
     base: dict[str, Column] = {}
     empty = "array<struct<d:date,v:double,p:string>>"
@@ -255,12 +257,7 @@ def _stages(names: set[str], ref: Column) -> list[dict[str, Column]]:
     left = dict(built)
     ready = set(base) | set(second) | {"price", "price_date", "shares_v", "shares_d"}
     while left:
-        step = {}
-        for n in left:
-            _asked.clear()
-            made[n]()
-            if not (_asked & set(made)) - ready:
-                step[n] = left[n]
+        step = {n: c for n, c in left.items() if not (needs[n] & set(made)) - ready}
         if not step:
             raise ValueError(f"composites need each other: {sorted(left)}")
         order.append(step)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.materialize import materialize
+
 #: Currencies a rate may pass through, the first preferred (fixed value).
 PIVOTS = ("USD", "EUR", "GBP")
 #: Units of the former currencies for one euro and the day they ended (fixed values).
@@ -26,14 +28,15 @@ def legs(rates: DataFrame) -> DataFrame:
     return both.groupBy("base", "quote", "rate_date", "kind").agg(F.max_by("rate", F.struct("updated_at", "rate")).alias("rate"))
 
 
-def as_of(keys: DataFrame, series: DataFrame, by: list[str], at: str, series_at: str, take: list[str]) -> DataFrame:
+def as_of(keys: DataFrame, series: DataFrame, by: list[str], at: str, series_at: str, take: list[str], rank: str | None = None) -> DataFrame:
     """Each key with the newest row of the series at or before its date (inclusive): one sort of the union, no range join.
 
+    Of several rows of a date the one with the greatest ``rank`` counts.
     ``keys`` should be distinct; keys without such a row keep NULLs."""
     mark = F.struct(F.col(series_at), *take)
-    left = keys.select(*by, F.col(at).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(series.select(mark.alias("m")).schema["m"].dataType).alias("__m"))
-    right = series.select(*by, F.col(series_at).alias("__t"), F.lit(0).alias("__side"), mark.alias("__m"))
-    w = Window.partitionBy(*by).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    left = keys.select(*by, F.col(at).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast("long").alias("__rank"), F.lit(None).cast(series.select(mark.alias("m")).schema["m"].dataType).alias("__m"))
+    right = series.select(*by, F.col(series_at).alias("__t"), F.lit(0).alias("__side"), (F.col(rank) if rank else F.lit(None)).cast("long").alias("__rank"), mark.alias("__m"))
+    w = Window.partitionBy(*by).orderBy("__t", "__side", "__rank").rowsBetween(Window.unboundedPreceding, 0)
     out = left.unionByName(right).withColumn("__m", F.last("__m", ignorenulls=True).over(w)).filter("__side = 1")
     return out.select(*by, F.col("__t").alias(at), F.col(f"__m.{series_at}").alias(series_at), *(F.col(f"__m.{t}").alias(t) for t in take))
 
@@ -46,8 +49,9 @@ def rates_for(keys: DataFrame, rates: DataFrame, stale_days: int = 7) -> DataFra
     Legs are the few rates there are; keys are distinct combinations, so that billions of facts share their lookups.
     """
     spark = keys.sparkSession
-    keys = keys.select("base", "quote", "on_date").dropna().distinct()
-    all_legs = legs(rates)
+    # Distinct keys and legs are small against the facts they stand for; both are written once, as several lookups read them.
+    keys = materialize(keys.select("base", "quote", "on_date").dropna().distinct(), "rate-keys")
+    all_legs = materialize(legs(rates), "legs")
     fixed = spark.createDataFrame([(code, "EUR", rate, start) for code, (rate, start) in STATUTORY_EURO.items()], "base string, quote string, per_euro double, start string")
     fixed = fixed.select("base", "quote", (1.0 / F.col("per_euro")).alias("rate"), F.to_date("start").alias("start"))
     fixed = fixed.unionByName(fixed.select(F.col("quote").alias("base"), F.col("base").alias("quote"), (1.0 / F.col("rate")).alias("rate"), "start"))
@@ -55,11 +59,7 @@ def rates_for(keys: DataFrame, rates: DataFrame, stale_days: int = 7) -> DataFra
     def leg(wanted: DataFrame) -> DataFrame:
         """Best leg of distinct (base, quote, on_date): rate, rate_date, kind."""
         same = wanted.filter("base = quote").select("base", "quote", "on_date", F.lit(1.0).alias("rate"), F.col("on_date").alias("rate_date"), F.lit(5).alias("kind"))
-        found = None
-        for kind in (3, 2):
-            series = all_legs.filter(F.col("kind") == kind).drop("kind")
-            one = as_of(wanted.filter("base <> quote"), series, ["base", "quote"], "on_date", "rate_date", ["rate"]).filter("rate IS NOT NULL").withColumn("kind", F.lit(kind))
-            found = one if found is None else found.unionByName(one)
+        found = as_of(wanted.filter("base <> quote"), all_legs, ["base", "quote"], "on_date", "rate_date", ["rate", "kind"], "kind").filter("rate IS NOT NULL")
         legal = wanted.join(F.broadcast(fixed), ["base", "quote"]).filter("on_date >= start").select("base", "quote", "on_date", "rate", F.col("on_date").alias("rate_date"), F.lit(4).alias("kind"))
         everything = same.unionByName(found.select(*same.columns)).unionByName(legal)
         best = everything.groupBy("base", "quote", "on_date").agg(F.max_by(F.struct("rate", "rate_date", "kind"), F.struct("rate_date", "kind")).alias("b"))

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from factloom.functions import scalars as S
 from factloom.operators.latest import latest_by
 from factloom.operators.materialize import materialize
-from factloom.operators.normalize import facts_from_entries, unit_flips, with_implied_eps
+from factloom.operators.normalize import facts_from_entries, in_target_currency, unit_flips, with_derived_facts, with_implied_eps
 from factloom.operators.ranking import score
-from factloom.operators.universe import classify, fill_missing, group_issuers
+from factloom.operators.universe import DEPOSITARY, PRIMARY_US_VENUES, claim_representatives, classify, fill_missing, group_issuers, newest_identities, rescue_sole_listings
 from factloom.operators.upsert import changed_payloads, upsert
+from factloom.plans import normalize_sql
 from factloom.plans import oracle as O
-from factloom.plans.fundamentals import _INITCAP, _SECURITIES, REFERENCE_DATE, clean_facts, metric_facts, reference, src10_descriptions
+from factloom.plans.fundamentals import _INITCAP, _SECURITIES, REFERENCE_DATE, clean_facts, reference, src10_descriptions
 from factloom.plans.records import payload_rows
 from factloom.plans.screen import fallout, parse_screen, run_screen, screen_details, screen_input
 from factloom.sources.tables import read_table
@@ -62,13 +63,27 @@ def rnk_scores(spark, d):
     return score(passers, screen.ranking).select("listing_id", F.round("score", 6).alias("score"), "rank")
 
 
+def _evidence(spark, d):
+    return fill_missing(read_table(spark, d, "listing_evidence"), ["listing_id"], ["provider_symbol", "primary_ticker", "home_category", "isin", "lei", "venue_tier"], "fetched_at")
+
+
 def uni1_classification(spark, d):
-    rows = fill_missing(read_table(spark, d, "listing_evidence"), ["listing_id"], ["provider_symbol", "primary_ticker", "home_category", "isin"], "fetched_at")
-    return classify(rows)
+    return classify(_evidence(spark, d))
+
+
+def uni2_rescued(spark, d):
+    evidence = materialize(_evidence(spark, d), "evidence")
+    return rescue_sole_listings(classify(evidence), evidence)
 
 
 def uni3_issuer_groups(spark, d):
-    return group_issuers(read_table(spark, d, "listing_evidence"))
+    return group_issuers(newest_identities(read_table(spark, d, "listing_evidence"), "fetched_at"))
+
+
+def uni4_representatives(spark, d):
+    """The issuer that stands for each group, of the issuers of its listings in the newest snapshot."""
+    owners = latest_by(read_table(spark, d, "listings").select("listing_id", "issuer_id", "snapshot_date", "delivered_at"), ["listing_id"], ["snapshot_date", "delivered_at"])
+    return claim_representatives(uni3_issuer_groups(spark, d).join(owners.select("listing_id", "issuer_id"), "listing_id"))
 
 
 def uni5_completed_evidence(spark, d):
@@ -92,30 +107,41 @@ def norm9_changed_payloads(spark, d):
     return changed_payloads(raw.filter(F.col("last_fetched_at") >= cut), raw.filter(F.col("last_fetched_at") < cut)).select("provider_listing_id", "payload_hash").distinct()
 
 
-def met_balance(spark, d):
-    """Four metrics that need one or two facts each."""
-    from factloom.metrics.registry import compute_metrics
-
-    out = compute_metrics(metric_facts(spark, d), reference(), ids=["working_capital", "current_ratio", "long_term_debt", "eps_streak", "operating_margin_ttm", "revenue_cagr_10y", "eps_6y_avg"])
-    return out.select("listing_id", "metric_id", F.round("value", 4).alias("value"), F.date_format("as_of", "yyyy-MM-dd").alias("as_of"))
-
-
 def rep_source_profile(spark, d):
     """Facts by source and period: rows, share without filing date, newest end date."""
     f = clean_facts(spark, d)
     return f.groupBy("source", "fiscal_period").agg(F.count("*").alias("n"), F.round(F.count_if(F.col("filed").isNull()) / F.count("*"), 6).alias("unfiled"), F.date_format(F.max("end_date"), "yyyy-MM-dd").alias("newest"))
 
 
+def _facts(spark, d):
+    return materialize(facts_from_entries(materialize(payload_rows(spark, d), "payload-rows"), "provider_listing_id"), "facts")
+
+
+def _shown(facts):
+    value = F.when(F.abs("value") >= 1000, F.round("value", 2)).otherwise(F.round("value", 6)).alias("value")
+    return facts.select("provider_listing_id", "concept", "fiscal_period", F.date_format("end_date", "yyyy-MM-dd").alias("end_date"), "unit_kind", value, F.date_format("filed", "yyyy-MM-dd").alias("filed"), "currency")
+
+
 def norm1_facts(spark, d):
     """Facts of the newest payloads."""
-    out = facts_from_entries(materialize(payload_rows(spark, d), "payload-rows"), "provider_listing_id")
-    return out.select("provider_listing_id", "concept", "fiscal_period", F.date_format("end_date", "yyyy-MM-dd").alias("end_date"), "unit_kind", F.round("value", 4).alias("value"), F.date_format("filed", "yyyy-MM-dd").alias("filed"), "currency")
+    return _shown(_facts(spark, d))
 
 
 def norm6_implied_eps(spark, d):
-    facts = facts_from_entries(materialize(payload_rows(spark, d), "payload-rows"), "provider_listing_id")
-    out = with_implied_eps(materialize(facts, "facts"), "provider_listing_id").filter("concept = 'EarningsPerShare'")
-    return out.select("provider_listing_id", "fiscal_period", F.date_format("end_date", "yyyy-MM-dd").alias("end_date"), F.round("value", 6).alias("value"), "currency")
+    out = with_implied_eps(_facts(spark, d), "provider_listing_id").filter("concept = 'EarningsPerShare'")
+    return _shown(out).drop("filed")
+
+
+def norm7_derived_facts(spark, d):
+    return _shown(with_derived_facts(_facts(spark, d), "provider_listing_id"))
+
+
+def fx7_normalized_facts(spark, d):
+    """Facts of the newest payloads, derived ones too, in the currency of their listing's newest snapshot."""
+    targets = latest_by(read_table(spark, d, "listings").select("listing_id", "currency", "snapshot_date", "delivered_at"), ["listing_id"], ["snapshot_date", "delivered_at"])
+    targets = targets.select(F.col("listing_id").alias("provider_listing_id"), S.shaped_currency("currency").alias("target")).filter("target IS NOT NULL")
+    facts = materialize(with_derived_facts(_facts(spark, d), "provider_listing_id"), "derived")
+    return _shown(in_target_currency(facts, "provider_listing_id", targets, read_table(spark, d, "fx_rates")))
 
 
 def win13_unit_flips(spark, d):
@@ -156,6 +182,17 @@ SELECT listing_id, round((2 * s1 + s2) / 3, 6) AS score, row_number() OVER (ORDE
 
 _FILL = "(SELECT listing_id, " + ", ".join(f"arg_max({c}, (fetched_at, {c})) FILTER ({c} IS NOT NULL) AS {c}" for c in ("provider_symbol", "primary_ticker", "home_category", "isin", "lei", "venue_tier")) + " FROM listing_evidence GROUP BY 1)"
 _TRIM = r"nullif(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '')"
+_ISIN = rf"CASE WHEN regexp_full_match(upper({_TRIM.format('isin')}), '[A-Z]{{2}}[A-Z0-9]{{9}}[0-9]') THEN upper({_TRIM.format('isin')}) END"
+_LEI = rf"CASE WHEN regexp_full_match(upper({_TRIM.format('lei')}), '[A-Z0-9]{{20}}') THEN upper({_TRIM.format('lei')}) END"
+_CLASSES = f"""WITH r AS (SELECT listing_id, upper({_TRIM.format('provider_symbol')}) AS symbol, upper({_TRIM.format('primary_ticker')}) AS ticker, upper({_TRIM.format('home_category')}) AS home, {_ISIN} AS isin, {_LEI} AS lei, upper({_TRIM.format('venue_tier')}) AS venue FROM {_FILL}),
+  x AS (SELECT *, EXISTS (SELECT 1 FROM r p WHERE p.isin = r.isin AND p.listing_id <> r.listing_id AND p.ticker IS NOT NULL) AS peers, EXISTS (SELECT 1 FROM r p WHERE p.isin = r.isin AND p.listing_id <> r.listing_id AND p.ticker = r.symbol) AS named FROM r),
+  ru AS (SELECT *, CASE WHEN home IN ({", ".join(f"'{x}'" for x in DEPOSITARY)}) THEN 'R1' WHEN ticker IS NOT NULL THEN 'R2' WHEN peers THEN 'R3' ELSE 'R4' END AS rule FROM x),
+  st AS (SELECT *, CASE rule WHEN 'R1' THEN 'secondary' WHEN 'R4' THEN 'unknown' WHEN 'R2' THEN CASE WHEN ticker = symbol THEN 'primary' ELSE 'secondary' END ELSE CASE WHEN named THEN 'primary' ELSE 'secondary' END END AS status FROM ru)"""
+_GROUPS = f"""WITH sh AS (SELECT listing_id, fetched_at, {_ISIN} AS isin, {_LEI} AS lei FROM listing_evidence),
+  r AS (SELECT listing_id, arg_max(isin, (fetched_at, isin)) FILTER (isin IS NOT NULL) AS isin, arg_max(lei, (fetched_at, lei)) FILTER (lei IS NOT NULL) AS lei FROM sh GROUP BY 1),
+  i AS (SELECT isin, count(DISTINCT lei) AS n, min(lei) AS one FROM r WHERE isin IS NOT NULL GROUP BY 1),
+  k AS (SELECT listing_id, CASE WHEN r.lei IS NOT NULL THEN 'L' || r.lei WHEN i.n = 1 THEN 'L' || i.one WHEN i.n = 0 THEN 'I' || r.isin ELSE 'N' || CAST(listing_id AS VARCHAR) END AS key FROM r LEFT JOIN i USING (isin)),
+  g AS (SELECT listing_id, min(listing_id) OVER (PARTITION BY key) AS issuer_group FROM k)"""
 _LATEST = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY listing_id, concept ORDER BY {O.NEWEST}) AS rn FROM clean) WHERE rn = 1"
 
 SQL = {
@@ -163,37 +200,17 @@ SQL = {
     "scr_details": _DETAIL + " SELECT * FROM g",
     "scr_fallout": _DETAIL + " SELECT criterion, count(*) FILTER (verdict <> 'passed') AS failed, count(*) FILTER (verdict = 'na_blocked') AS na_blocked, count(*) FILTER (verdict = 'comparison_failed') AS compared_and_lost FROM g GROUP BY 1",
     "rnk_scores": _RANK_SQL,
-    "uni1_classification": f"""WITH r AS (SELECT listing_id, upper({_TRIM.format('provider_symbol')}) AS symbol, upper({_TRIM.format('primary_ticker')}) AS ticker, upper({_TRIM.format('home_category')}) AS home,
-        CASE WHEN regexp_full_match(upper({_TRIM.format('isin')}), '[A-Z]{{2}}[A-Z0-9]{{9}}[0-9]') THEN upper({_TRIM.format('isin')}) END AS isin FROM {_FILL}),
-        c AS (SELECT isin, ticker, count(*) AS n FROM r WHERE isin IS NOT NULL AND ticker IS NOT NULL GROUP BY 1, 2),
-        k AS (SELECT isin, arg_max(ticker, (n, ticker)) AS peer FROM c GROUP BY 1),
-        x AS (SELECT *, CASE WHEN home IN ('ADR', 'GDR') THEN 'R1' WHEN ticker IS NOT NULL THEN 'R2' WHEN peer IS NOT NULL THEN 'R3' ELSE 'R4' END AS rule FROM r LEFT JOIN k USING (isin))
-        SELECT listing_id, CASE WHEN rule = 'R1' THEN 'secondary' WHEN rule = 'R4' THEN 'unknown' WHEN symbol = coalesce(ticker, peer) THEN 'primary' ELSE 'secondary' END AS status, rule FROM x""",
-    "uni3_issuer_groups": f"""WITH s AS (SELECT listing_id, CASE WHEN regexp_full_match(upper({_TRIM.format('isin')}), '[A-Z]{{2}}[A-Z0-9]{{9}}[0-9]') THEN upper({_TRIM.format('isin')}) END AS isin,
-        CASE WHEN regexp_full_match(upper({_TRIM.format('lei')}), '[A-Z0-9]{{20}}') THEN upper({_TRIM.format('lei')}) END AS lei FROM listing_evidence),
-        r AS (SELECT listing_id, min(isin) AS isin, min(lei) AS lei FROM s GROUP BY 1), i AS (SELECT isin, count(DISTINCT lei) AS n, min(lei) AS one FROM r WHERE isin IS NOT NULL GROUP BY 1),
-        k AS (SELECT listing_id, CASE WHEN r.lei IS NOT NULL THEN 'L' || r.lei WHEN i.n = 1 THEN 'L' || i.one WHEN i.n = 0 THEN 'I' || r.isin ELSE 'N' || CAST(listing_id AS VARCHAR) END AS key FROM r LEFT JOIN i USING (isin))
-        SELECT listing_id, min(listing_id) OVER (PARTITION BY key) AS issuer_group FROM k""",
+    "uni1_classification": _CLASSES + " SELECT listing_id, status, rule FROM st",
+    "uni2_rescued": _CLASSES + f""", alive AS (SELECT isin, lei FROM st WHERE status <> 'secondary') SELECT listing_id, CASE WHEN sole THEN 'unknown' ELSE status END AS status, CASE WHEN sole THEN 'rescue' ELSE rule END AS rule FROM (
+        SELECT *, rule = 'R1' AND coalesce(venue IN ({", ".join(f"'{x}'" for x in PRIMARY_US_VENUES)}), false) AND NOT EXISTS (SELECT 1 FROM alive WHERE alive.isin = st.isin) AND NOT EXISTS (SELECT 1 FROM alive WHERE alive.lei = st.lei) AS sole FROM st)""",
+    "uni3_issuer_groups": _GROUPS + " SELECT listing_id, issuer_group FROM g",
+    "uni4_representatives": _GROUPS + """, o AS (SELECT listing_id, issuer_id FROM listings QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY listings.snapshot_date DESC, delivered_at DESC) = 1)
+        SELECT issuer_group, min(issuer_id) AS representative FROM g JOIN o USING (listing_id) GROUP BY 1""",
     "uni5_completed_evidence": f"SELECT listing_id, primary_ticker, isin, lei, venue_tier FROM {_FILL}",
     "snk2_upserted_listings": """SELECT listing_id, upper(trim(symbol)) AS symbol, lower(trim(status)) AS status, strftime(snapshot_date, '%Y-%m-%d') AS snapshot_date FROM listings
         QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY listings.snapshot_date DESC, delivered_at DESC) = 1""",
     "norm9_changed_payloads": f"""SELECT DISTINCT provider_listing_id, payload_hash FROM fundamentals_raw r WHERE last_fetched_at >= CAST(DATE '{REFERENCE_DATE}' - 30 AS TIMESTAMP) AND NOT EXISTS
         (SELECT 1 FROM fundamentals_raw o WHERE o.last_fetched_at < CAST(DATE '{REFERENCE_DATE}' - 30 AS TIMESTAMP) AND o.provider_listing_id = r.provider_listing_id AND o.payload_hash = r.payload_hash)""",
-    "met_balance": f"""WITH {O.CLEAN}, l AS ({_LATEST}), b AS (
-        SELECT a.listing_id, a.value AS ca, c.value AS cl, greatest(a.end_date, c.end_date) AS d FROM l a JOIN l c ON a.listing_id = c.listing_id AND a.concept = 'AssetsCurrent' AND c.concept = 'LiabilitiesCurrent' WHERE greatest(a.end_date, c.end_date) >= DATE '{REFERENCE_DATE}' - 400),
-        q AS (SELECT * FROM clean WHERE concept IN ('Revenues', 'OperatingIncomeLoss') AND fiscal_period LIKE 'Q_' QUALIFY row_number() OVER (PARTITION BY listing_id, concept, end_date ORDER BY filed DESC NULLS LAST, {O.PERIOD_RANK}) = 1),
-        r AS (SELECT *, row_number() OVER w AS rn, date_diff('day', lead(end_date) OVER w, end_date) AS gap, count(*) OVER (PARTITION BY listing_id, concept) AS n FROM q WINDOW w AS (PARTITION BY listing_id, concept ORDER BY end_date DESC)),
-        g AS (SELECT listing_id, concept, max(n) AS n, max(end_date) AS newest, max(gap) FILTER (rn = 1) AS g1, max(gap) FILTER (rn = 2) AS g2, max(gap) FILTER (rn = 3) AS g3, sum(value) FILTER (rn <= 4) AS s4, sum(value) FILTER (rn <= 2) AS s2 FROM r GROUP BY 1, 2),
-        t AS (SELECT listing_id, concept, newest, CASE WHEN n >= 4 AND g1 BETWEEN 70 AND 110 AND g2 BETWEEN 70 AND 110 AND g3 BETWEEN 70 AND 110 THEN s4 WHEN g1 BETWEEN 150 AND 220 AND (n = 2 OR g2 BETWEEN 150 AND 220) THEN s2 END AS v FROM g WHERE n >= 2 AND newest >= DATE '{REFERENCE_DATE}' - 400),
-        e AS (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY end_date DESC) AS rn, count(*) OVER (PARTITION BY listing_id) AS n, max(end_date) OVER (PARTITION BY listing_id) AS top FROM clean WHERE concept = 'EarningsPerShare' AND fiscal_period = 'FY'),
-        y AS (SELECT listing_id, value AS v, end_date, year(end_date) AS yr, row_number() OVER (PARTITION BY listing_id ORDER BY end_date DESC) AS rn FROM clean WHERE concept = 'Revenues' AND fiscal_period = 'FY' QUALIFY row_number() OVER (PARTITION BY listing_id, year(end_date) ORDER BY end_date DESC) = 1),
-        o AS (SELECT listing_id, 'working_capital' AS metric_id, ca - cl AS value, d FROM b UNION ALL SELECT listing_id, 'current_ratio', ca / cl, d FROM b WHERE cl <> 0
-        UNION ALL SELECT listing_id, 'long_term_debt', value, end_date FROM l WHERE concept = 'LongTermDebt' AND end_date >= DATE '{REFERENCE_DATE}' - 400
-        UNION ALL SELECT a.listing_id, 'operating_margin_ttm', a.v / c.v, greatest(a.newest, c.newest) FROM t a JOIN t c ON a.listing_id = c.listing_id AND a.concept = 'OperatingIncomeLoss' AND c.concept = 'Revenues' WHERE c.v > 0 AND a.v IS NOT NULL
-        UNION ALL SELECT listing_id, 'eps_streak', coalesce(min(rn) FILTER (value <= 0), max(rn) + 1) - 1, max(end_date) FROM e GROUP BY 1
-        UNION ALL SELECT listing_id, 'eps_6y_avg', avg(value), max(top) FROM e WHERE rn <= 6 AND n >= 6 AND top >= DATE '{REFERENCE_DATE}' - 480 GROUP BY 1
-        UNION ALL SELECT a.listing_id, 'revenue_cagr_10y', power(a.v / c.v, 0.1) - 1, a.end_date FROM y a JOIN y c ON a.listing_id = c.listing_id AND a.rn = 1 AND c.yr = a.yr - 10 WHERE a.v > 0 AND c.v > 0 AND a.end_date >= DATE '{REFERENCE_DATE}' - 480)
-        SELECT listing_id, metric_id, round(CAST(value AS DOUBLE), 4) AS value, strftime(d, '%Y-%m-%d') AS as_of FROM o""",
     "win13_unit_flips": """WITH r AS (SELECT listing_id, source, end_date, arg_max(value, (coalesce(filed, DATE '0001-01-01'), fact_id)) AS v, arg_max(fact_id, (coalesce(filed, DATE '0001-01-01'), fact_id)) AS fact_id
         FROM financial_facts WHERE concept = 'EarningsPerShare' AND fiscal_period IN ('Q1', 'Q2', 'Q3', 'Q4') GROUP BY 1, 2, 3),
         a AS (SELECT *, abs(nullif(v, 0)) AS x, abs(last_value(nullif(v, 0) IGNORE NULLS) OVER (PARTITION BY listing_id, source ORDER BY end_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS p FROM r),
@@ -203,4 +220,6 @@ SQL = {
     "rep_source_profile": f"WITH {O.CLEAN} SELECT source, fiscal_period, count(*) AS n, round(count(*) FILTER (filed IS NULL) / count(*), 6) AS unfiled, strftime(max(end_date), '%Y-%m-%d') AS newest FROM clean GROUP BY 1, 2",
 }
 
-QUERIES = {f.__name__: f for f in (scr_passers, scr_details, scr_fallout, rnk_scores, uni1_classification, uni3_issuer_groups, uni5_completed_evidence, snk2_upserted_listings, norm9_changed_payloads, met_balance, rep_source_profile, norm1_facts, norm6_implied_eps, win13_unit_flips)}
+SQL |= normalize_sql.SQL
+
+QUERIES = {f.__name__: f for f in (scr_passers, scr_details, scr_fallout, rnk_scores, uni1_classification, uni2_rescued, uni3_issuer_groups, uni4_representatives, uni5_completed_evidence, snk2_upserted_listings, norm9_changed_payloads, rep_source_profile, norm1_facts, norm6_implied_eps, norm7_derived_facts, fx7_normalized_facts, win13_unit_flips)}
