@@ -77,12 +77,12 @@ FILLER_VALUES = (-999999.0,)
 def daily_sketches(spark: SparkSession, d: str) -> DataFrame:
     """Bucket counts of each metric, sector and day.  A row delivered again counts once.
 
-    The sectors meet the values before the values are first shuffled, by broadcast if they are small for sure.  One exchange drops what
-    was delivered again (on the map side too), one adds up the buckets."""
+    One exchange drops what was delivered again (on the map side too), one adds up the buckets; the sectors meet the values between
+    them where the values are, by broadcast if the sectors are small for sure."""
     sectors = latest_by(read_table(spark, d, "securities").select(F.col("security_id").alias("listing_id"), "sector", "updated_at"), ["listing_id"], ["updated_at"])
     sectors = materialize(sectors.select("listing_id", F.initcap(F.regexp_replace("sector", _OUTER, "")).alias("sector")), "sectors")
     values = read_table(spark, d, "metrics").select("listing_id", "metric_id", "as_of", "value").filter(F.col("value").isNotNull() & ~F.col("value").isin(*FILLER_VALUES))
-    values = values.join(broadcast_if_small(sectors), "listing_id", "left").distinct()
+    values = values.distinct().join(broadcast_if_small(sectors), "listing_id", "left")
     return bucket_counts(values, ["metric_id", "sector", "as_of"], F.col("value"), PERCENTILE_ERROR)
 
 
