@@ -87,10 +87,11 @@ def _snapshots(payload: DataFrame, key: str) -> DataFrame:
     recorded = F.coalesce(f("highlights.currency_symbol"), f("general.currencycode"))
     scale = F.when(is_subunit(recorded), 100.0).otherwise(1.0)
     cap, dividend = to_number(f("highlights.marketcapitalization")), to_number(f("highlights.dividendshare"))
+    cell = lambda c, period, v, code: F.struct(F.lit(c).alias("concept"), F.lit(period).alias("fiscal_period"), v.alias("value"), code.alias("currency"))
     cells = F.array(
-        F.struct(F.lit("CommonStockSharesOutstanding").alias("concept"), F.lit("INSTANT").alias("fiscal_period"), F.when(shares > 0, shares).alias("value"), F.lit(None).cast("string").alias("currency")),
-        F.struct(F.lit("ProviderMarketCapitalization"), F.lit("INSTANT"), F.when(cap > 0, cap), resolved_currency(recorded)),
-        F.struct(F.lit("CommonStockDividendsPerShareCashPaid"), F.lit("TTM"), dividend / scale, resolved_currency(recorded)),
+        cell("CommonStockSharesOutstanding", "INSTANT", F.when(shares > 0, shares), F.lit(None).cast("string")),
+        cell("ProviderMarketCapitalization", "INSTANT", F.when(cap > 0, cap), resolved_currency(recorded)),
+        cell("CommonStockDividendsPerShareCashPaid", "TTM", dividend / scale, resolved_currency(recorded)),
     )
     rows = payload.select(key, iso_date(f("general.updatedat")).alias("end_date"), F.inline(cells)).filter("value IS NOT NULL AND end_date IS NOT NULL")
     rows = rows.withColumn("unit_kind", unit_kind(F.col("concept"))).filter("unit_kind = 'count' OR currency IS NOT NULL")
