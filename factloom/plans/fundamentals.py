@@ -186,7 +186,7 @@ def fx7_aligned_facts(spark, d):
     listing = latest_by(read_table(spark, d, "listings"), ["listing_id"], ["snapshot_date", "delivered_at"]).select("listing_id", S.currency_code("currency").alias("target"))
     facts = clean_facts(spark, d).filter(S.is_monetary("unit_kind")).join(listing, "listing_id")
     out = fx.convert(facts, "value", "currency", "end_date", "target", read_table(spark, d, "fx_rates"))
-    return out.filter("converted IS NOT NULL").select("fact_id", "target", F.round("converted", 4).alias("converted"))
+    return out.filter("converted IS NOT NULL").select("fact_id", "target", F.when(F.abs("converted") >= 1000, F.floor("converted").cast("double")).otherwise(F.round("converted", 6)).alias("converted"))
 
 
 _D = "strftime({0}, '%Y-%m-%d') AS {1}"
@@ -312,3 +312,7 @@ def met_all(spark, d):
 
 
 QUERIES["met_all"] = met_all
+SQL["fx7_aligned_facts"] = f"""WITH {O.CLEAN}, l AS (SELECT listing_id, {_CODE.format('currency')} AS target FROM listings QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY listings.snapshot_date DESC, delivered_at DESC) = 1),
+  m AS (SELECT fact_id, value, currency, end_date, target FROM clean JOIN l USING (listing_id) WHERE unit_kind IN ('monetary', 'per_share')), k AS (SELECT currency AS base, target AS quote, end_date AS on_date FROM m), {O.rates_sql("k")},
+  c AS (SELECT fact_id, target, CASE WHEN currency = target THEN value ELSE value * rate END AS x FROM m LEFT JOIN rated ON rated.base = m.currency AND rated.quote = m.target AND rated.on_date = m.end_date)
+  SELECT fact_id, target, CASE WHEN abs(x) >= 1000 THEN CAST(floor(x) AS DOUBLE) ELSE round(x, 6) END AS converted FROM c WHERE x IS NOT NULL"""

@@ -47,3 +47,19 @@ measured AS (
 #: Order of periods with the same end and filing date.
 PERIOD_RANK = "CASE fiscal_period WHEN 'FY' THEN 1 WHEN 'Q4' THEN 2 WHEN 'Q3' THEN 3 WHEN 'Q2' THEN 4 WHEN 'Q1' THEN 5 WHEN 'TTM' THEN 6 WHEN 'INSTANT' THEN 7 ELSE 99 END"
 NEWEST = f"end_date DESC, filed DESC NULLS LAST, {PERIOD_RANK}"
+
+
+def rates_sql(keys: str) -> str:
+    """Tables up to ``rated`` (base, quote, on_date, rate) for a table ``keys`` of base, quote, on_date."""
+    return f"""
+  legs AS (
+    SELECT base_currency AS b, quote_currency AS q, rate_date, rate, 3 AS kind FROM fx_rates QUALIFY row_number() OVER (PARTITION BY base_currency, quote_currency, rate_date ORDER BY updated_at DESC, rate DESC) = 1
+    UNION ALL SELECT quote_currency, base_currency, rate_date, 1.0 / rate, 2 FROM fx_rates WHERE rate <> 0 QUALIFY row_number() OVER (PARTITION BY base_currency, quote_currency, rate_date ORDER BY updated_at DESC, 1.0 / rate DESC) = 1
+  ), asked AS (SELECT DISTINCT base, quote, on_date FROM {keys} WHERE base IS NOT NULL AND quote IS NOT NULL AND on_date IS NOT NULL),
+  via AS (SELECT asked.*, p, r FROM asked CROSS JOIN (VALUES ('USD', 3), ('EUR', 2), ('GBP', 1)) v(p, r) WHERE base <> quote AND p <> base AND p <> quote),
+  want AS (SELECT base AS b, quote AS q, on_date FROM asked WHERE base <> quote UNION SELECT base, p, on_date FROM via UNION SELECT p, quote, on_date FROM via),
+  got AS (SELECT want.b, want.q, on_date, rate, rate_date, kind FROM want JOIN legs ON legs.b = want.b AND legs.q = want.q AND legs.rate_date <= want.on_date QUALIFY row_number() OVER (PARTITION BY want.b, want.q, on_date ORDER BY rate_date DESC, kind DESC) = 1),
+  cand AS (
+    SELECT base, quote, on_date, 1.0 AS rate, on_date AS rate_date, 5 AS kind, 0 AS r FROM asked WHERE base = quote UNION ALL SELECT b, q, on_date, rate, rate_date, kind, 0 FROM got SEMI JOIN asked a ON a.base = got.b AND a.quote = got.q AND a.on_date = got.on_date
+    UNION ALL SELECT via.base, via.quote, via.on_date, x.rate * y.rate, least(x.rate_date, y.rate_date), 1, via.r FROM via JOIN got x ON x.b = via.base AND x.q = via.p AND x.on_date = via.on_date JOIN got y ON y.b = via.p AND y.q = via.quote AND y.on_date = via.on_date
+  ), rated AS (SELECT base, quote, on_date, rate FROM cand QUALIFY row_number() OVER (PARTITION BY base, quote, cand.on_date ORDER BY cand.rate_date DESC, kind DESC, r DESC) = 1)"""

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators.fx import rates_for
+from factloom.operators.materialize import broadcast_if_small, materialize
 from factloom.operators.ranking import RankedMetric, Ranking
 
 _OPERATORS = {"<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, ">": lambda a, b: a > b, "==": lambda a, b: a == b}
@@ -19,6 +21,7 @@ class Term:
     metric: str | None = None
     value: float | None = None
     multiplier: float = 1.0
+    currency: str | None = None
 
     def column(self) -> Column:
         return F.col(self.metric) if self.metric else F.lit(float(self.value))
@@ -30,10 +33,16 @@ class Criterion:
     left: Term
     operator: str
     right: Term
+    #: The name of its columns in a row of ``align``; None where numbers are compared as they are.
+    aligned: str | None = None
 
     def compared(self) -> Column:
-        """True, False, or NULL where a side is missing."""
+        """True, False, or NULL where a side is missing or cannot be brought to the units of the other."""
         left, right = self.left.column(), self.right.column()
+        if self.aligned:
+            # The first metric is the anchor; the other side comes into its currency.
+            rate = F.col(f"{self.aligned}rate")
+            left, right = (left, right * rate) if self.left.metric else (left * rate, right)
         ok = left.isNotNull() & right.isNotNull() & ~F.isnan(left) & ~F.isnan(right)
         return F.when(ok, _OPERATORS[self.operator](left, right * self.right.multiplier))
 
@@ -78,7 +87,7 @@ class Screen:
 def _term(data: dict) -> Term:
     if bool(data.get("metric")) == ("value" in data):
         raise ValueError(f"a term is a metric or a value: {data}")
-    return Term(data.get("metric"), data.get("value"), float(data.get("multiplier", 1.0)))
+    return Term(data.get("metric"), data.get("value"), float(data.get("multiplier", 1.0)), data.get("currency"))
 
 
 def _criterion(data: dict) -> Criterion:
@@ -144,3 +153,81 @@ def fallout(wide: DataFrame, screen: Screen) -> DataFrame:
     return screen_details(wide, screen).groupBy("criterion").agg(
         F.count_if(F.col("verdict") != "passed").alias("failed"), F.count_if(F.col("verdict") == "na_blocked").alias("na_blocked"), F.count_if(F.col("verdict") == "comparison_failed").alias("compared_and_lost")
     )
+
+
+_MONEY = ("monetary", "per_share")
+
+
+def aligned_input(metrics: DataFrame, ids: list[str]) -> DataFrame:
+    """A row per listing: the newest value of each metric, with its unit kind, currency and date (``<id>__kind``, ``__ccy``, ``__at``)."""
+    row = F.struct("as_of", "value", "unit_kind", "currency")
+    wide = metrics.filter(F.col("metric_id").isin(*ids)).groupBy("listing_id").agg(*(F.max(F.when(F.col("metric_id") == i, row)).alias(f"__{i}") for i in ids))
+    parts = (("value", ""), ("unit_kind", "__kind"), ("currency", "__ccy"), ("as_of", "__at"))
+    return wide.select("listing_id", *(F.col(f"__{i}")[field].alias(f"{i}{tail}") for i in ids for field, tail in parts))
+
+
+def align(wide: DataFrame, screen: Screen, rates: DataFrame) -> tuple[DataFrame, Screen]:
+    """The rows of ``aligned_input`` with a rate per criterion, and the screen that compares by them.
+
+    The first metric of a criterion is its anchor.  Money is compared in the anchor's currency: another metric is converted as of
+    its own date, a constant with a currency as of the anchor's; a constant without one is taken to be in it.  Kinds must match,
+    ratios and percents are one.  Where that fails ``<c>issue`` says why: unit_mismatch, currency_missing or fx_missing, and the
+    criterion compares nothing.  Rates are looked up once per combination of currencies and date."""
+    groups, keys, plain = [], [], wide
+    same_kind = lambda c: F.when(F.col(c).isin("ratio", "percent"), "ratio").otherwise(F.col(c))
+    n = 0
+    for g in screen.groups:
+        members = []
+        for m in g.members:
+            anchor = m.left if m.left.metric else m.right
+            other = m.right if anchor is m.left else m.left
+            if not anchor.metric:
+                members.append(m)
+                continue
+            c, a = f"__c{n}_", anchor.metric
+            n += 1
+            money = F.col(f"{a}__kind").isin(*_MONEY)
+            none = F.lit(None).cast("string")
+            if other.metric:
+                b = other.metric
+                both = money & F.col(f"{b}__kind").isin(*_MONEY)
+                issue = F.when(F.col(a).isNull() | F.col(b).isNull(), none).when(both & (F.col(f"{a}__ccy").isNull() | F.col(f"{b}__ccy").isNull()), "currency_missing").when(~both & (same_kind(f"{a}__kind") != same_kind(f"{b}__kind")), "unit_mismatch")
+                key = F.when(both, F.struct(F.col(f"{b}__ccy").alias("base"), F.col(f"{a}__ccy").alias("quote"), F.col(f"{b}__at").alias("on_date")))
+            elif other.currency:
+                issue = F.when(F.col(a).isNull(), none).when(~money, "unit_mismatch").when(F.col(f"{a}__ccy").isNull(), "currency_missing")
+                key = F.when(money, F.struct(F.lit(other.currency).alias("base"), F.col(f"{a}__ccy").alias("quote"), F.col(f"{a}__at").alias("on_date")))
+            else:
+                issue, key = none, F.lit(None).cast("struct<base:string,quote:string,on_date:date>")
+            plain = plain.withColumn(f"{c}issue", issue).withColumn(f"{c}key", F.when(F.col(f"{c}issue").isNull(), key))
+            keys.append(c)
+            members.append(replace(m, aligned=c))
+        groups.append(replace(g, members=tuple(members)))
+    if not keys:
+        return wide, screen
+    asked = plain.select(F.explode(F.array_compact(F.array(*(F.col(f"{c}key") for c in keys)))).alias("k")).select("k.*").distinct()
+    found = materialize(rates_for(asked, rates).select(F.struct("base", "quote", "on_date").alias("__k"), F.col("rate").alias("__rate")), "screen-rates")
+    for c in keys:
+        plain = plain.join(broadcast_if_small(found), F.col(f"{c}key") == F.col("__k"), "left").withColumn(f"{c}issue", F.coalesce(f"{c}issue", F.when(F.col(f"{c}key").isNotNull() & F.col("__rate").isNull(), "fx_missing")))
+        plain = plain.withColumn(f"{c}rate", F.when(F.col(f"{c}issue").isNull(), F.when(F.col(f"{c}key").isNull(), 1.0).otherwise(F.col("__rate")))).drop("__k", "__rate", f"{c}key")
+    return plain, replace(screen, groups=tuple(groups))
+
+
+def rank_inputs(passers: DataFrame, ranking: Ranking, rates: DataFrame, currency: str | None = None) -> DataFrame:
+    """``passers`` (rows of ``aligned_input``) with comparable values of the ranking's metrics.
+
+    A metric of several unit kinds among the passers is dropped (NULL), as is money in several currencies unless a ``currency`` to
+    compare in is given; then values are converted as of their own dates, and are NULL without a rate."""
+    ids = [m.metric_id for m in ranking.metrics]
+    seen = [F.struct(F.count_distinct(f"{i}__kind").alias("kinds"), F.count_distinct(f"{i}__ccy").alias("ccys")).alias(f"__n_{i}") for i in ids]
+    out = passers.join(F.broadcast(passers.agg(*seen)), F.lit(True))
+    for i in ids:
+        money = F.col(f"{i}__kind").isin(*_MONEY)
+        several = money & (F.col(f"__n_{i}.ccys") > 1)
+        usable = F.when((F.col(f"__n_{i}.kinds") <= 1) & (~several | F.lit(currency is not None)), F.col(i))
+        if currency is not None:
+            keys = passers.select(F.col(f"{i}__ccy").alias("base"), F.lit(currency).alias("quote"), F.col(f"{i}__at").alias("on_date"))
+            found = rates_for(keys, rates).select(F.col("base").alias("__b"), F.col("on_date").alias("__d"), F.col("rate").alias("__rate"))
+            out = out.join(found, (F.col(f"{i}__ccy") == F.col("__b")) & (F.col(f"{i}__at") == F.col("__d")), "left")
+            usable = F.when(several, usable * F.col("__rate")).otherwise(usable)
+        out = out.withColumn(i, usable).drop("__b", "__d", "__rate")
+    return out.drop(*(f"__n_{i}" for i in ids))

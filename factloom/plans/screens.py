@@ -15,7 +15,7 @@ from factloom.plans import normalize_sql
 from factloom.plans import oracle as O
 from factloom.plans.fundamentals import _INITCAP, _SECURITIES, REFERENCE_DATE, clean_facts, reference, src10_descriptions
 from factloom.plans.records import payload_rows
-from factloom.plans.screen import fallout, parse_screen, run_screen, screen_details, screen_input
+from factloom.plans.screen import align, aligned_input, fallout, parse_screen, rank_inputs, run_screen, screen_details, screen_input
 from factloom.sources.tables import read_table
 
 #: A screen in the form of a parsed YAML file.
@@ -63,6 +63,37 @@ def rnk_scores(spark, d):
     return score(passers, screen.ranking).select("listing_id", F.round("score", 6).alias("score"), "rank")
 
 
+#: A screen over amounts in the currencies of their listings.
+MONEY_SCREEN = {
+    "criteria": [
+        {"name": "large", "left": {"metric": "market_cap"}, "operator": ">=", "right": {"value": 2.0e8, "currency": "USD"}},
+        {"name": "covered", "left": {"metric": "enterprise_value"}, "operator": ">=", "right": {"metric": "working_capital", "multiplier": 0.5}},
+        {"name": "either", "any_of": [{"name": "odd", "left": {"metric": "working_capital"}, "operator": ">", "right": {"metric": "current_ratio"}}, {"name": "cheap", "left": {"metric": "price_to_book"}, "operator": "<=", "right": {"metric": "croic", "multiplier": 3.0}}]},
+    ],
+    "ranking": {"metrics": [{"metric": "market_cap"}, {"metric": "price_to_book", "direction": "lower"}]},
+}
+
+
+def _usable(spark, d):
+    return read_table(spark, d, "metrics").filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.col("value") != -999999.0) & (F.abs("value") != float("inf")))
+
+
+def scr_mixed_currencies(spark, d):
+    """Verdicts with amounts brought to one currency, and what stood against a comparison."""
+    screen = parse_screen(MONEY_SCREEN)
+    wide, screen = align(aligned_input(_usable(spark, d), screen.metric_ids()), screen, read_table(spark, d, "fx_rates"))
+    issues = wide.select("listing_id", F.concat_ws(",", F.array_compact(F.array(*(F.col(c) for c in wide.columns if c.endswith("issue"))))).alias("issues"))
+    return screen_details(wide, screen).select("listing_id", "criterion", "verdict").join(issues, "listing_id")
+
+
+def rnk_mixed_currencies(spark, d):
+    """The inputs of a ranking of all listings in dollars."""
+    screen = parse_screen(MONEY_SCREEN)
+    wide = aligned_input(_usable(spark, d), ["market_cap", "price_to_book"])
+    out = rank_inputs(wide, screen.ranking, read_table(spark, d, "fx_rates"), "USD")
+    return out.select("listing_id", F.floor("market_cap").cast("double").alias("market_cap"), F.round("price_to_book", 6).alias("price_to_book"))
+
+
 def _evidence(spark, d):
     return fill_missing(read_table(spark, d, "listing_evidence"), ["listing_id"], ["provider_symbol", "primary_ticker", "home_category", "isin", "lei", "venue_tier"], "fetched_at")
 
@@ -220,6 +251,18 @@ SQL = {
     "rep_source_profile": f"WITH {O.CLEAN} SELECT source, fiscal_period, count(*) AS n, round(count(*) FILTER (filed IS NULL) / count(*), 6) AS unfiled, strftime(max(end_date), '%Y-%m-%d') AS newest FROM clean GROUP BY 1, 2",
 }
 
+_M = ["market_cap", "enterprise_value", "working_capital", "current_ratio", "price_to_book", "croic"]
+_MONEY_WIDE = """n AS (SELECT * FROM metrics WHERE value IS NOT NULL AND NOT isnan(value) AND value <> -999999.0 AND NOT isinf(value) QUALIFY row_number() OVER (PARTITION BY listing_id, metric_id ORDER BY as_of DESC, value DESC, unit_kind DESC, currency DESC NULLS LAST) = 1),
+  w AS (SELECT listing_id, """ + ", ".join(f"max(value) FILTER (metric_id = '{m}') AS {m}, max(unit_kind) FILTER (metric_id = '{m}') AS {m}_k, max(currency) FILTER (metric_id = '{m}') AS {m}_c, max(as_of) FILTER (metric_id = '{m}') AS {m}_d" for m in _M) + " FROM n GROUP BY 1)"
+SQL["scr_mixed_currencies"] = f"""WITH {_MONEY_WIDE}, w2 AS (SELECT * FROM w WHERE coalesce(market_cap, enterprise_value, working_capital, current_ratio, price_to_book, croic) IS NOT NULL),
+  k AS (SELECT 'USD' AS base, market_cap_c AS quote, market_cap_d AS on_date FROM w2 UNION ALL SELECT working_capital_c, enterprise_value_c, working_capital_d FROM w2), {O.rates_sql("k")},
+  j AS (SELECT w2.*, a.rate AS ra, b.rate AS rb FROM w2 LEFT JOIN rated a ON a.base = 'USD' AND a.quote = market_cap_c AND a.on_date = market_cap_d LEFT JOIN rated b ON b.base = working_capital_c AND b.quote = enterprise_value_c AND b.on_date = working_capital_d),
+  v AS (SELECT *, market_cap >= 2.0e8::DOUBLE * ra AS x0, enterprise_value >= working_capital * rb * 0.5 AS x1, price_to_book <= croic * 3.0 AS x3, CASE WHEN market_cap IS NULL THEN NULL WHEN market_cap_c IS NULL THEN 'currency_missing' WHEN ra IS NULL THEN 'fx_missing' END AS i0,
+    CASE WHEN enterprise_value IS NULL OR working_capital IS NULL THEN NULL WHEN enterprise_value_c IS NULL OR working_capital_c IS NULL THEN 'currency_missing' WHEN rb IS NULL THEN 'fx_missing' END AS i1, CASE WHEN working_capital IS NOT NULL AND current_ratio IS NOT NULL THEN 'unit_mismatch' END AS i2 FROM j)
+  SELECT listing_id, criterion, CASE WHEN coalesce(x, false) THEN 'passed' WHEN x IS NOT NULL THEN 'comparison_failed' ELSE 'na_blocked' END AS verdict, concat_ws(',', i0, i1, i2) AS issues FROM (
+    SELECT *, 'large' AS criterion, x0 AS x FROM v UNION ALL SELECT *, 'covered', x1 FROM v UNION ALL SELECT *, 'either', x3 FROM v)"""
+SQL["rnk_mixed_currencies"] = f"""WITH {_MONEY_WIDE}, w2 AS (SELECT * FROM w WHERE coalesce(market_cap, price_to_book) IS NOT NULL), k AS (SELECT market_cap_c AS base, 'USD' AS quote, market_cap_d AS on_date FROM w2), {O.rates_sql("k")}
+  SELECT listing_id, CAST(floor(market_cap * rate) AS DOUBLE) AS market_cap, round(price_to_book, 6) AS price_to_book FROM w2 LEFT JOIN rated ON base = market_cap_c AND on_date = market_cap_d"""
 SQL |= normalize_sql.SQL
 
-QUERIES = {f.__name__: f for f in (scr_passers, scr_details, scr_fallout, rnk_scores, uni1_classification, uni2_rescued, uni3_issuer_groups, uni4_representatives, uni5_completed_evidence, snk2_upserted_listings, norm9_changed_payloads, rep_source_profile, norm1_facts, norm6_implied_eps, norm7_derived_facts, fx7_normalized_facts, win13_unit_flips)}
+QUERIES = {f.__name__: f for f in (scr_passers, scr_details, scr_fallout, rnk_scores, scr_mixed_currencies, rnk_mixed_currencies, uni1_classification, uni2_rescued, uni3_issuer_groups, uni4_representatives, uni5_completed_evidence, snk2_upserted_listings, norm9_changed_payloads, rep_source_profile, norm1_facts, norm6_implied_eps, norm7_derived_facts, fx7_normalized_facts, win13_unit_flips)}
