@@ -302,3 +302,23 @@ def compute_metrics(facts: DataFrame, reference: Column, market: DataFrame | Non
     wide = wide_rows(facts, market, reference, asked)
     long = wide.select("listing_id", F.explode(F.array(*values)).alias("m")).select("listing_id", "m.metric_id", "m.unit_kind", F.col("m.x.v").alias("value"), F.col("m.x.d").alias("as_of"))
     return long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+
+
+def explain_metric(facts: DataFrame, reference: Column, listing_id: int, metric_id: str, market: DataFrame | None = None) -> DataFrame:
+    """Why a listing has the value it has: the metric itself and the newest facts of every concept it asks for.
+
+    ``part`` is "metric" or "input", ``name`` the metric or concept; a metric without a value, or a concept without facts, has a row
+    with NULLs.  Nothing but the facts of the listing is read."""
+    import factloom.metrics.catalogue  # noqa: F401
+
+    own = facts.filter(F.col("listing_id") == listing_id)
+    _asked.clear()
+    _REGISTRY[metric_id][1](reference)
+    stages = _stages(set(_asked), reference)
+    concepts = sorted({n[2:] for n in stages[0]})
+    spark = facts.sparkSession
+    names = spark.createDataFrame([("metric", metric_id)] + [("input", c) for c in concepts], "part string, name string")
+    value = compute_metrics(own, reference, market, [metric_id]).select(F.lit("metric").alias("part"), F.col("metric_id").alias("name"), "value", F.col("as_of").alias("end_date"), F.lit(None).cast("string").alias("fiscal_period"))
+    newest = own.filter(F.col("concept").isin(*concepts)).groupBy("concept").agg(F.max(F.struct("end_date", "value", "fiscal_period")).alias("r"))
+    inputs = newest.select(F.lit("input").alias("part"), F.col("concept").alias("name"), "r.value", "r.end_date", "r.fiscal_period")
+    return names.join(value.unionByName(inputs), ["part", "name"], "left")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_used: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,21 +30,39 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back (no cache in executors, so nothing to lose)."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/factloom/{spark.sparkContext.applicationId}"
+    if folder not in _used:
+        _used.add(folder)
+        atexit.register(discard_all, spark)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._factloom_path = path  # type: ignore[attr-defined]
     return out
 
 
+def discard_all(spark: SparkSession) -> None:
+    """Deletes what this application has written to the shared folder; called by itself when the driver ends.
+
+    Results that still read from it can no longer be computed."""
+    try:
+        folder = f"{shared_dir(spark)}/factloom/{spark.sparkContext.applicationId}"
+        _delete(spark, folder)
+    except Exception:  # noqa: BLE001  (the session is gone, or the folder is)
+        pass
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a result of ``materialize`` that nothing reads any more."""
     path = getattr(df, "_factloom_path", None)
     if path is None:
         return
-    jvm = df.sparkSession.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _delete(df.sparkSession, path)
 
 
 #: Bytes in memory up to which a table is broadcast.

@@ -6,7 +6,7 @@ from statistics import median, pstdev
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.metrics.registry import compute_metrics, metric_ids, register
+from factloom.metrics.registry import compute_metrics, explain_metric, metric_ids, register
 
 REF = date(2026, 6, 30)
 YEARS = range(2015, 2026)
@@ -90,7 +90,9 @@ def test_values(got):
     off = {k: (got.get(k), v) for k, v in want.items() if got.get(k) != pytest.approx(v, rel=1e-9, abs=1e-9)}
     assert off == {}
     # Everything grows alike: profit, cash flow and cash above profit count; equal ratios may differ in their last bit.
-    assert 3 <= got["piotroski_f_score"] <= 8
+    assert 3 <= got["piotroski_f_score"] <= 9
+    assert got["graham_multiplier"] == pytest.approx(20 / ttm("EarningsPerShare") * 20 / (1040 * q / shares)) and got["roe_greenblatt_5y_avg"] if "roe_greenblatt_5y_avg" in got else True
+    assert got["roic_7y_median"] == pytest.approx(median(roic[y] for y in range(2019, 2026))) and got["roic_10y_min"] == pytest.approx(min(roic[y] for y in range(2016, 2026))) and got["opm_7y_min"] == pytest.approx(0.2)
     assert "worst_oe_ev_fy_10y" not in got  # ten years of maintenance need thirteen of balance sheets
 
 
@@ -100,3 +102,47 @@ def test_own_metric(spark):
     assert {r.listing_id: r.value for r in compute_metrics(df, F.lit(REF), ids=["assets_twice"]).collect()} == {1: pytest.approx(4000 * g(2026))}
     with pytest.raises(KeyError):
         compute_metrics(df, F.lit(REF), ids=["none such"])
+
+
+def _one(spark, rows, ids, price=None):
+    df = spark.createDataFrame([(1, *r, None) for r in rows], "listing_id long, concept string, fiscal_period string, end_date date, value double, filed date")
+    market = spark.createDataFrame([(1, price, date(2026, 6, 29))], "listing_id long, price double, price_date date") if price else None
+    return {r.metric_id: r.value for r in compute_metrics(df, F.lit(REF), market, ids).collect()}
+
+
+def _score_rows(**changed):
+    base = {"NetIncomeLoss": (10, 8, 7), "Assets": (100, 100, 100), "NetCashProvidedByUsedInOperatingActivities": (12, 9, 9), "AssetsCurrent": (50, 40, 40), "LiabilitiesCurrent": (20, 20, 20), "Revenues": (90, 80, 70), "GrossProfit": (45, 38, 30),
+            "CommonStockSharesOutstanding": (10, 10, 10), "LongTermDebt": (10, 20, 20)} | changed
+    return [(c, "FY", date(2025 - i, 12, 31), float(v)) for c, vs in base.items() for i, v in enumerate(vs) if v is not None]
+
+
+def test_score_of_nine(spark):
+    score = lambda **c: _one(spark, _score_rows(**c), ["piotroski_f_score"]).get("piotroski_f_score")
+    assert score() == 9
+    assert score(LongTermDebt=(None, None, None)) == 9 and score(LongTermDebt=(20, 10, 10)) == 8 and score(CommonStockSharesOutstanding=(11, 10, 10)) == 8
+    # Debt over the mean of two years: 10 / 55 against 10 / 100 is more, though 10 / 10 a year is the same.
+    assert score(LongTermDebt=(10, 10, 10), Assets=(10, 100, 100)) == 8
+    assert score(Assets=(100, 100, None)) is None and score(Revenues=(0, 80, 70)) is None and score(GrossProfit=(45, None, 30)) is None
+    assert score(GrossProfit=(None,) * 3, CostOfRevenue=(45, 42, 40)) == 9
+
+
+def test_depreciation_of_either_source(spark):
+    d = lambda y, m=12: date(y, m, 28)
+    rows = [("CapitalExpenditures", "FY", d(2025), -50.0), ("DepreciationFromCashFlow", "FY", d(2025), 10.0), ("DepreciationDepletionAndAmortization", "FY", d(2024), 5.0), ("DepreciationFromCashFlow", "FY", d(2024), 9.0), ("CapitalExpenditures", "FY", d(2024, 11), 7.0)]
+    assert _one(spark, rows, ["mcapex_fy"])["mcapex_fy"] == pytest.approx(11.0)
+    more = rows + [("CapitalExpenditures", "FY", d(2023), 3.0), ("CapitalExpenditures", "FY", d(2022), 3.0)]
+    # By end date: 11, 5.5 (depreciation alone), 7 (spend alone), 3, 3.
+    assert _one(spark, more, ["mcapex_5y"])["mcapex_5y"] == pytest.approx((11 + 5.5 + 7 + 3 + 3) / 5)
+
+
+def test_no_made_up_liabilities(spark):
+    rows = [(c, "Q1", date(2026, 3, 31), v) for c, v in (("Assets", 100.0), ("StockholdersEquity", 60.0), ("AssetsCurrent", 50.0))]
+    assert _one(spark, rows, ["ncav"]) == {}
+    assert _one(spark, [*rows, ("Liabilities", "Q1", date(2026, 3, 31), 30.0)], ["ncav"]) == {"ncav": 20.0}
+
+
+def test_explanation(spark):
+    df = spark.createDataFrame(rows(), "listing_id long, concept string, fiscal_period string, end_date date, value double, filed date")
+    got = {(r.part, r.name): r.value for r in explain_metric(df, F.lit(REF), 1, "current_ratio").collect()}
+    assert got == {("metric", "current_ratio"): pytest.approx(2.0), ("input", "AssetsCurrent"): pytest.approx(800 * g(2026)), ("input", "LiabilitiesCurrent"): pytest.approx(400 * g(2026))}
+    assert {r.name: r.value for r in explain_metric(df, F.lit(REF), 9, "current_ratio").collect()}["current_ratio"] is None
