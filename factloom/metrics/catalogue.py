@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from factloom.metrics import series as M
-from factloom.metrics.registry import _BUILT_IN, _REGISTRY, CE, DACF, EBIT, EPS, LTD, NI, NIC, OCF, REV, SE, SHARES, STD, A, L, Q, S, T, Y, col, metric, register
+from factloom.metrics.registry import _BUILT_IN, _REGISTRY, CE, DACF, EBIT, EPS, LTD, NI, NIC, OCF, REV, SE, SHARES, STD, A, L, Q, S, T, Y, col, metric, register, shared
 from factloom.operators.facts import MAX_AGE, MAX_AGE_FY
 
 C = col
@@ -45,10 +45,13 @@ def _(ref):
     return M.fresh(bare(L(LTD)), ref)
 
 
-def _ncav(ref):
+def _ncav_(ref):
     return newer_fresh(M.both(L("AssetsCurrent"), L("Liabilities"), lambda a, b: a - b), ref)
 
 
+_ncav = shared("x_ncav", _ncav_)
+
+
 register("ncav", "monetary", _ncav)
 register("price_to_ncav", "multiple", lambda ref: M.ratio(C("mcap"), _ncav(ref), positive))
 
@@ -110,10 +113,13 @@ def _average(q: Column, y: Column, ref: Column) -> Column:
     return M.year_pair(q, y, ref, lambda a, b: (a + b) / 2)
 
 
-def avg_assets(ref):
+def avg_assets_(ref):
     return _average(Q("Assets"), Y("Assets"), ref)
 
 
+avg_assets = shared("x_avg_assets", avg_assets_)
+
+
 @metric("accruals_ratio", "ratio")
 def _(ref):
     return M.ratio(M.both(C("ni_t"), bare(T(OCF)), lambda n, o: n - o), avg_assets(ref), positive)
@@ -181,19 +187,25 @@ def _ends_cagr(rows: Column, n: Column) -> Column:
     return F.when((new > 0) & (old > 0), F.pow(new / old, 1.0 / (n - 3)) - 1)
 
 
-def _graham(ref):
+def _graham_(ref):
     rows = M.newest_n(Y(EPS), 10, ref)
     ends = lambda r: F.concat(F.slice(r, 1, 3), F.slice(r, 8, 3))
     return M.summary(rows, lambda r: F.when(F.forall(ends(r), lambda x: x["v"] > 0), _ends_cagr(r, F.lit(10))))
 
 
+_graham = shared("x_graham", _graham_)
+
+
 register("graham_eps_10y_cagr_3y_avg", "percent", _graham)
 
 
-def share_count(ref):
+def share_count_(ref):
     return M.val(C("shares_v"), C("shares_d"), (C("shares_v") > 0) & (C("shares_d") >= F.date_sub(ref, MAX_AGE)))
 
 
+share_count = shared("x_shares", share_count_)
+
+
 @metric("graham_multiplier", "multiple")
 def _(ref):
     book = M.val(L(SE)["v"] - F.coalesce(C("goodwill")["v"], F.lit(0.0)) - F.coalesce(C("intangibles")["v"], F.lit(0.0)), L(SE)["d"], L(SE)["d"] >= F.date_sub(ref, MAX_AGE))
@@ -201,10 +213,13 @@ def _(ref):
     return M.both(M.ratio(C("px"), C("eps_t"), positive), M.ratio(C("px"), per_share, positive), lambda a, b: a * b)
 
 
-def _earnings_yield(ref):
+def _earnings_yield_(ref):
     return M.ratio(C("eps_t"), C("px"), positive)
 
 
+_earnings_yield = shared("x_earnings_yield", _earnings_yield_)
+
+
 register("earnings_yield", "percent", _earnings_yield)
 
 
@@ -258,13 +273,19 @@ def _(ref):
     return M.ratio(C("mcap"), M.val(fcf, d, d >= F.date_sub(ref, MAX_AGE)), positive)
 
 
-def enterprise_value(wide_if_annual: Column):
-    debt = F.when(wide_if_annual, C("debt_any_fy")).otherwise(C("debt_any"))
-    cash = F.when(wide_if_annual, C("cash_any_fy")).otherwise(C("cash_any"))
-    ev = C("mcap")["v"] + debt["v"] - cash["v"]
+def _ev(debt: str, cash: str) -> Column:
+    ev = C("mcap")["v"] + C(debt)["v"] - C(cash)["v"]
     return M.val(ev, C("mcap")["d"], ev > 0)
 
 
+ev_fresh = shared("x_ev", lambda ref: _ev("debt_any", "cash_any"))
+ev_wide = shared("x_ev_fy", lambda ref: _ev("debt_any_fy", "cash_any_fy"))
+
+
+def enterprise_value(wide_if_annual: Column | None = None):
+    return ev_fresh() if wide_if_annual is None else F.when(wide_if_annual, ev_wide()).otherwise(ev_fresh())
+
+
 @metric("net_debt_to_ebitda", "multiple")
 def _(ref):
     debt = F.when(C("ebitda_annual"), C("debt_any_fy")).otherwise(C("debt_any"))
@@ -276,8 +297,8 @@ def annual(w: Column) -> Column:
     return F.coalesce(w["cadence"] == "annual", F.lit(False))
 
 
-register("ebit_yield_ev", "percent", lambda ref: M.ratio(bare(A(EBIT)), enterprise_value(F.lit(False)), positive))
-register("fcf_yield_ev", "percent", lambda ref: M.ratio(C("fcf_a"), enterprise_value(F.lit(False)), positive))
+register("ebit_yield_ev", "percent", lambda ref: M.ratio(bare(A(EBIT)), enterprise_value(), positive))
+register("fcf_yield_ev", "percent", lambda ref: M.ratio(C("fcf_a"), enterprise_value(), positive))
 register("ev_to_ebit", "multiple", lambda ref: M.ratio(enterprise_value(annual(A(EBIT))), bare(A(EBIT)), positive))
 register("ev_to_ebitda", "multiple", lambda ref: M.ratio(enterprise_value(C("ebitda_annual")), bare(C("ebitda")), positive))
 register("ev_to_sales", "multiple", lambda ref: M.ratio(enterprise_value(annual(A(REV))), bare(A(REV)), positive))
@@ -293,10 +314,13 @@ def _newest(arr: Column, ref: Column, days: int) -> Column:
     return M.fresh(bare(F.get(arr, F.lit(0))), ref, days)
 
 
-def avg_ic(ref):
+def avg_ic_(ref):
     return _average(C("ic_q"), C("ic_y"), ref)
 
 
+avg_ic = shared("x_avg_ic", avg_ic_)
+
+
 register("ic_mqr", "monetary", lambda ref: _newest(C("ic_q"), ref, MAX_AGE))
 register("ic_fy", "monetary", lambda ref: _newest(C("ic_y"), ref, MAX_AGE_FY))
 register("avg_ic", "monetary", avg_ic)
@@ -309,11 +333,14 @@ def newest_tax():
     return F.coalesce(F.get(C("s_tax"), F.lit(0))["v"], F.lit(0.21))
 
 
-def nopat():
+def nopat_():
     return M.combined(S(EBIT), C("s_tax"), f=lambda e, t: e * (1 - F.coalesce(t, newest_tax())))
 
 
-def roic_series():
+nopat = shared("x_nopat", lambda ref: nopat_())
+
+
+def roic_series_():
     ic = M.yearly(C("ic_y"))
     prior = F.transform(ic, lambda x: F.struct((x["y"] + 1).alias("y"), x["d"].alias("d"), x["v"].alias("v")))
     oldest = F.element_at(ic, -1)["y"]
@@ -322,6 +349,9 @@ def roic_series():
     return M.combined(nopat(), base, f=lambda n, b: F.when(b > 0, n / b))
 
 
+roic_series = shared("x_roic", lambda ref: roic_series_())
+
+
 def _strict(n, summary, series=roic_series):
     def build(ref):
         rows = M.strict(series(), n, ref)
@@ -358,14 +388,20 @@ def _(ref):
 # Margins
 
 
-def gross_margins():
+def gross_margins_():
     return M.combined(S(REV), S("GrossProfit"), S("CostOfRevenue"), f=lambda r, g, c: F.when(r > 0, F.coalesce(g, r - c) / r))
 
 
-def operating_margins():
+gross_margins = shared("x_gross_margins", lambda ref: gross_margins_())
+
+
+def operating_margins_():
     return M.combined(S(REV), S(EBIT), f=lambda r, e: F.when(r > 0, e / r))
 
 
+operating_margins = shared("x_operating_margins", lambda ref: operating_margins_())
+
+
 register("gm_10y_std", "percent", _strict(10, M.spread_of, gross_margins))
 register("opm_10y_std", "percent", _strict(10, M.spread_of, operating_margins))
 register("opm_10y_min", "percent", _strict(10, M.least_of, operating_margins))
@@ -402,34 +438,46 @@ register("share_count_cagr_10y", "percent", _growth(10, True))
 register("shares_10y_pct_change", "percent", _growth(10, False))
 
 
-def _buyback_yield(ref):
+def _buyback_yield_(ref):
     by = lambda x: M.both(bare(x), C("mcap"), lambda a, m: -a / m, positive)
     change = _growth(1, False)(ref)
     return F.coalesce(by(A("SalePurchaseOfStock")), by(A("IssuanceOfCapitalStock")), scaled(change, F.lit(-1.0)))
 
 
+_buyback_yield = shared("x_buyback", _buyback_yield_)
+
+
 register("net_buyback_yield", "percent", _buyback_yield)
 
 
-def _dividends():
+def _dividends_():
     w = A("CommonStockDividendsPaid")
     return M.val(F.aggregate(w["rows"], F.lit(0.0), lambda s, x: s + F.abs(x["v"])), w["d"])
 
 
-def _no_dividend(ref):
+_dividends = shared("x_dividends", lambda ref: _dividends_())
+
+
+def _no_dividend_(ref):
     """Evidence of none: no fresh dividend row other than 0, while cash flows are reported."""
     rows = F.concat(Q("CommonStockDividendsPaid"), Y("CommonStockDividendsPaid"))
     paid = F.exists(rows, lambda x: (x["v"] != 0) & (x["d"] >= F.date_sub(ref, MAX_AGE_FY)))
     return M.val(F.lit(0.0), A(OCF)["d"], ~paid & A(OCF).isNotNull())
 
 
-def _dividend_yield(ref):
+_no_dividend = shared("x_no_dividend", _no_dividend_)
+
+
+def _dividend_yield_(ref):
     dps = M.fresh(bare(L("CommonStockDividendsPerShareCashPaid")), ref)
     dps = M.let(dps, lambda p: M.val(F.abs(p["v"]), p["d"]))
     # Evidence of no dividend counts only where none is recorded.
     return F.coalesce(M.ratio(_dividends(), C("mcap"), positive), M.ratio(dps, C("px"), positive), F.when(A("CommonStockDividendsPaid").isNull() & dps.isNull(), _no_dividend(ref)))
 
 
+_dividend_yield = shared("x_dividend_yield", _dividend_yield_)
+
+
 register("dividend_yield_ttm", "percent", _dividend_yield)
 register("shareholder_yield_ttm", "percent", lambda ref: M.both(_dividend_yield(ref), _buyback_yield(ref), lambda a, b: a + b))
 
@@ -466,12 +514,15 @@ def least_spend(capex: Column, da: Column) -> Column:
     return F.coalesce(F.when(capex.isNotNull() & da.isNotNull(), F.least(F.abs(capex), 1.1 * F.abs(da))), F.abs(capex), 1.1 * F.abs(da))
 
 
-def da_rows():
+def da_rows_():
     """Depreciation of fiscal years by end date; that of cash flows fills holes."""
     return M.either(Y(DA), Y(DACF), "d")
 
 
-def mcapex_series():
+da_rows = shared("x_da_rows", lambda ref: da_rows_())
+
+
+def mcapex_series_():
     """Structs (d, v) of all end dates with a spend or a depreciation."""
 
     def rows(p: Column) -> Column:
@@ -481,16 +532,22 @@ def mcapex_series():
     return M.let(F.struct(Y(CAPEX).alias("c"), da_rows().alias("a")), rows)
 
 
+mcapex_series = shared("x_spend", lambda ref: mcapex_series_())
+
+
 def spent(w: Column) -> Column:
     """Sum of the amounts of a window, whatever their signs."""
     return M.let(w, lambda p: M.val(F.aggregate(p["rows"], F.lit(0.0), lambda s, x: s + F.abs(x["v"])), p["d"]))
 
 
-def mcapex_ttm():
+def mcapex_ttm_():
     both = F.struct(spent(T(CAPEX)).alias("c"), C("da_t").alias("a"))
     return M.let(both, lambda p: M.val(least_spend(p["c"]["v"], p["a"]["v"]), F.greatest(p["c"]["d"], p["a"]["d"])))
 
 
+mcapex_ttm = shared("x_spend_ttm", lambda ref: mcapex_ttm_())
+
+
 @metric("mcapex_fy", "monetary")
 def _(ref):
     rows = M.newest_n(mcapex_series(), 1, ref)
@@ -511,7 +568,7 @@ register("delta_nwc_ttm", "monetary", lambda ref: M.year_pair(C("nwc_q"), _NONE(
 register("delta_nwc_fy", "monetary", lambda ref: M.year_pair(_NONE(), C("nwc_y"), ref, lambda a, b: a - b))
 
 
-def maintenance():
+def maintenance_():
     """By year: a third of the working capital gained in three unbroken years, at least 0."""
 
     def three(nwc: Column) -> Column:
@@ -525,12 +582,18 @@ def maintenance():
     return M.let(M.yearly(C("nwc_y")), three)
 
 
-def newest_maintenance(ref):
+maintenance = shared("x_maintenance", lambda ref: maintenance_())
+
+
+def newest_maintenance_(ref):
     """That of the newest year of working capital; none where its chain is broken."""
     newest = _newest(C("nwc_y"), ref, MAX_AGE_FY)
     return M.let(F.struct(newest.alias("n"), maintenance().alias("m")), lambda p: M.val(M.in_year(p["m"], F.year(p["n"]["d"])), p["n"]["d"]))
 
 
+newest_maintenance = shared("x_newest_maintenance", newest_maintenance_)
+
+
 register("delta_nwc_maint", "monetary", newest_maintenance)
 
 
@@ -566,14 +629,20 @@ def newest_of_years(points):
     return M.let(points, lambda p: F.filter(p, lambda x, i: F.coalesce(F.year(F.when(i > 0, F.get(p, i - 1))["d"]) != x["y"], F.lit(True))))
 
 
-def equity_ttm(ref):
+def equity_ttm_(ref):
     return _owner_ttm(C("nic_t"), ref)
 
 
-def enterprise_ttm(ref):
+equity_ttm = shared("x_equity_ttm", equity_ttm_)
+
+
+def enterprise_ttm_(ref):
     return _owner_ttm(scaled(bare(T(EBIT)), 1 - C("tax_rate")), ref)
 
 
+enterprise_ttm = shared("x_enterprise_ttm", enterprise_ttm_)
+
+
 def _five(series, summary):
     def build(ref):
         rows = M.newest_n(series(), 5, ref)
@@ -582,15 +651,15 @@ def _five(series, summary):
     return build
 
 
-equity_series = lambda: owner_points(M.either(Y(NIC), Y(NI), "d"))
-enterprise_series = lambda: owner_points(nopat_points())
-equity_5y, enterprise_5y, enterprise_median = _five(equity_series, M.mean_of), _five(enterprise_series, M.mean_of), _five(enterprise_series, M.median_of)
+equity_series = shared("x_equity_points", lambda ref: owner_points(M.either(Y(NIC), Y(NI), "d")))
+enterprise_series = shared("x_enterprise_points", lambda ref: owner_points(nopat_points()))
+equity_5y, enterprise_5y, enterprise_median = shared("x_equity_5y", _five(equity_series, M.mean_of)), shared("x_enterprise_5y", _five(enterprise_series, M.mean_of)), shared("x_enterprise_median", _five(enterprise_series, M.median_of))
 register("oe_equity_ttm", "monetary", equity_ttm)
 register("oe_equity_5y_avg", "monetary", equity_5y)
 register("oey_equity", "percent", lambda ref: M.ratio(equity_ttm(ref), C("mcap"), positive))
 register("oey_equity_5y", "percent", lambda ref: M.ratio(equity_5y(ref), C("mcap"), positive))
-register("oey_ev", "percent", lambda ref: M.ratio(enterprise_ttm(ref), enterprise_value(F.lit(False)), positive))
-register("oey_ev_norm", "percent", lambda ref: M.ratio(enterprise_median(ref), enterprise_value(F.lit(False)), positive))
+register("oey_ev", "percent", lambda ref: M.ratio(enterprise_ttm(ref), enterprise_value(), positive))
+register("oey_ev_norm", "percent", lambda ref: M.ratio(enterprise_median(ref), enterprise_value(), positive))
 register("oe_ev_ttm", "monetary", enterprise_ttm)
 register("oe_ev_5y_avg", "monetary", enterprise_5y)
 register("oe_ev_fy_median_5y", "monetary", enterprise_median)

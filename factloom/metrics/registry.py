@@ -163,6 +163,7 @@ def composites(ref: Column) -> dict[str, Callable[[], Column]]:
         "s_fcf": lambda: M.combined(S(OCF), S(CAPEX), f=lambda o, c: o - F.coalesce(c, F.lit(0.0))),
         "s_ni": lambda: M.either(S(NI), S(NIC), "y"),
     }
+    out |= {name: lambda build=build: build(ref) for name, build in _SHARED.items()}
     for n, W in (("t", T), ("a", A)):
         out[f"fcf_{n}"] = lambda W=W: _less(_bare(W(OCF)), _bare(W(CAPEX)))
         out[f"ni_{n}"] = lambda W=W: F.coalesce(_bare(W(NI)), _bare(W(NIC)))
@@ -195,6 +196,16 @@ def _share_count() -> Column:
     return M.let(chosen, lambda c: F.struct(c.alias("v"), F.when(c == a, snap["d"]).otherwise(periodic["d"]).alias("d")))
 
 
+#: Parts of several metrics that the catalogue adds to the composites.
+_SHARED: dict[str, Callable[[Column], Column]] = {}
+
+
+def shared(name: str, build: Callable[[Column], Column]) -> Callable[..., Column]:
+    """Makes ``build(reference_date)`` a column of the wide row, computed once however many metrics ask for it."""
+    _SHARED[name] = build
+    return lambda *_: col(name)
+
+
 _REGISTRY: dict[str, tuple[str, Callable[[Column], Column]]] = {}
 
 
