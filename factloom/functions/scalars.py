@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,6 +109,52 @@ def content_hash(c: Column | str) -> Column:
     return F.sha2(_c(c), 256)
 
 
+def canonical_json(c: Column | str) -> Column:
+    """JSON with sorted keys, no blanks and plain characters, so that equal records have equal texts; NULL where it isn't valid.
+
+    An Arrow-batched UDF: key order can't be changed by built-in expressions without a schema."""
+
+    @F.pandas_udf("string")
+    def dump(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            try:
+                return None if text is None else json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=True)
+            except ValueError:
+                return None
+
+        return texts.map(one)
+
+    return dump(_c(c))
+
+
+def display_number(c: Column | str, digits: int = 2) -> Column:
+    """A number for a report: grouped, with some digits; text "N/A" where there is none."""
+    return F.when(_c(c).isNotNull() & ~F.isnan(_c(c).cast("double")), F.format_number(_c(c).cast("double"), digits)).otherwise("N/A")
+
+
+def shortened(c: Column | str, most: int) -> Column:
+    """A text of at most ``most`` characters, the last three of them dots where it was longer."""
+    return F.when(F.length(_c(c)) > most, F.concat(F.substring(_c(c), 1, most - 3), F.lit("..."))).otherwise(_c(c))
+
+
+def money(amount: Column | str, currency: Column | str) -> Column:
+    """An amount with its currency, in whole units of the major one."""
+    return F.struct(major_amount(amount, currency).alias("amount"), currency_code(currency).alias("currency"))
+
+
+def money_math(a: Column, b: Column, operation: str) -> Column:
+    """Two amounts of ``money``: "+" and "-" give money, "/" a number, "<", "<=", ">", ">=" and "==" a boolean.
+
+    NULL where the currencies differ, an amount is missing, or the divisor is 0."""
+    same = a["currency"] == b["currency"]
+    x, y = a["amount"], b["amount"]
+    if operation in ("+", "-"):
+        out = F.struct((x + y if operation == "+" else x - y).alias("amount"), a["currency"].alias("currency"))
+        return F.when(same & x.isNotNull() & y.isNotNull(), out)
+    out = {"/": lambda: F.try_divide(x, y), "<": lambda: x < y, "<=": lambda: x <= y, ">": lambda: x > y, ">=": lambda: x >= y, "==": lambda: x == y}[operation]()
+    return F.when(same, out)
+
+
 def reason_template(c: Column | str) -> Column:
     """A message without what differs from case to case: symbols, dates, numbers."""
     out = F.regexp_replace(_c(c), r"\b[A-Z0-9][A-Z0-9-]*\.[A-Z]{2,5}\b", "<symbol>")

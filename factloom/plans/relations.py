@@ -9,6 +9,7 @@ from factloom.operators import facts as P
 from factloom.operators import scope as R
 from factloom.operators.latest import latest_by
 from factloom.operators.universe import classify, fill_missing
+from factloom.operators.upsert import upsert
 from factloom.plans import oracle as O
 from factloom.plans.fundamentals import REFERENCE_DATE, clean_facts, reference
 from factloom.plans.records import newest_payloads
@@ -362,3 +363,53 @@ def cat1_pruned_tickers(spark, d):
 def agg15_rule_counts(spark, d):
     rows = fill_missing(read_table(spark, d, "listing_evidence"), ["listing_id"], ["provider_symbol", "primary_ticker", "home_category", "isin"], "fetched_at")
     return classify(rows).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT base_currency, quote_currency, strftime(rate_date, '%Y-%m-%d') AS rate_date, rate FROM fx_rates QUALIFY row_number() OVER (PARTITION BY base_currency, quote_currency, fx_rates.rate_date ORDER BY (updated_at >= TIMESTAMP '2025-01-01') DESC, updated_at DESC, rate DESC) = 1""")
+def snk4_upserted_rates(spark, d):
+    """Rates updated since 2025 written over the older ones, by pair and day; within either the latest update counts."""
+    rows = read_table(spark, d, "fx_rates")
+    cut = F.col("updated_at") >= F.lit("2025-01-01").cast("timestamp")
+    keys = ["base_currency", "quote_currency", "rate_date"]
+    old, new = (latest_by(rows.filter(c), keys, ["updated_at", "rate"]) for c in (~cut, cut))
+    return upsert(old, new, keys, ["updated_at", "rate"]).select("base_currency", "quote_currency", F.date_format("rate_date", "yyyy-MM-dd").alias("rate_date"), "rate")
+
+
+@query("""SELECT base_currency, quote_currency, year(rate_date) AS year, count(DISTINCT rate_date) AS days, count(DISTINCT rate_date) = date_diff('day', min(rate_date), max(rate_date)) + 1 AS without_gap FROM fx_rates GROUP BY 1, 2, 3""")
+def agg4_years_without_gap(spark, d):
+    """How many days each pair has in a year, and whether no day between the first and the last is missing."""
+    rows = read_table(spark, d, "fx_rates").select("base_currency", "quote_currency", "rate_date").distinct()
+    whole = F.count("*") == F.datediff(F.max("rate_date"), F.min("rate_date")) + 1
+    return rows.groupBy("base_currency", "quote_currency", F.year("rate_date").cast("long").alias("year")).agg(F.count("*").alias("days"), whole.alias("without_gap"))
+
+
+@query(f"WITH {O.CLEAN}, {_FY} SELECT concept, listing_id, round(median(value), 2) AS median, round(quantile_disc(value, 0.5), 2) AS low_median FROM y GROUP BY 1, 2")
+def agg8_medians_of_years(spark, d):
+    """The median of the years: the mean of the middle two of an even number, and the lower of them."""
+    rows = P.by_year(clean_facts(spark, d)).groupBy("concept", "listing_id")
+    return rows.agg(F.round(F.median("value"), 2).alias("median"), F.round(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)"), 2).alias("low_median"))
+
+
+@query(f"""WITH {O.CLEAN}, l AS (SELECT concept, value, end_date, fiscal_period FROM clean WHERE listing_id = 1 AND concept IN ('AssetsCurrent', 'LiabilitiesCurrent') QUALIFY row_number() OVER (PARTITION BY concept ORDER BY end_date DESC, value DESC, fiscal_period DESC) = 1)
+  SELECT 'input' AS part, n AS name, round(value, 2) AS value, strftime(end_date, '%Y-%m-%d') AS end_date, fiscal_period FROM (VALUES ('AssetsCurrent'), ('LiabilitiesCurrent')) c(n) LEFT JOIN l ON l.concept = n""")
+def rep7_explained_inputs(spark, d):
+    """The facts behind the current ratio of the largest listing."""
+    from factloom.metrics.registry import explain_metric
+    from factloom.plans.fundamentals import metric_facts
+
+    out = explain_metric(metric_facts(spark, d), reference(), 1, "current_ratio").filter("part = 'input'")
+    return out.select("part", "name", F.round("value", 2).alias("value"), F.date_format("end_date", "yyyy-MM-dd").alias("end_date"), "fiscal_period")
+
+
+@query("""WITH m AS (SELECT fact_id, CASE WHEN upper(trim(currency)) IN ('GBX', 'GBP0.01', 'ZAC', 'ILA') OR trim(currency) = 'GBp' THEN value / 100 ELSE value END AS v, CASE upper(trim(currency)) WHEN 'GBX' THEN 'GBP' WHEN 'GBP0.01' THEN 'GBP' WHEN 'ZAC' THEN 'ZAR' WHEN 'ILA' THEN 'ILS' ELSE nullif(upper(trim(currency)), '') END AS c FROM financial_facts)
+  SELECT fact_id, CASE WHEN c = 'USD' THEN v + 1000 END AS more, CASE WHEN c = 'USD' THEN v / 1000 END AS times, CASE WHEN c = 'USD' THEN v >= 1000 END AS at_least FROM m""")
+def sc_money(spark, d):
+    """Each recorded amount against a thousand dollars: sums, ratios and comparisons only within one currency."""
+    a, b = S.money("value", "currency"), S.money(F.lit(1000.0), F.lit("USD"))
+    return read_table(spark, d, "financial_facts").select("fact_id", S.money_math(a, b, "+")["amount"].alias("more"), S.money_math(a, b, "/").alias("times"), S.money_math(a, b, ">=").alias("at_least"))
+
+
+@query("SELECT security_id, CASE WHEN length(entity_name) > 20 THEN substr(entity_name, 1, 17) || '...' ELSE entity_name END AS name, format('{:,}', security_id) || '.00' AS shown FROM securities QUALIFY row_number() OVER (PARTITION BY security_id ORDER BY updated_at DESC) = 1")
+def sc_display(spark, d):
+    rows = latest_by(read_table(spark, d, "securities").select("security_id", "entity_name", "updated_at"), ["security_id"], ["updated_at"])
+    return rows.select("security_id", S.shortened("entity_name", 20).alias("name"), S.display_number("security_id").alias("shown"))

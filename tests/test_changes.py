@@ -76,3 +76,15 @@ def test_series_without_a_long_key(spark):
     got = {(r.id, r.reason) for r in out.collect()}
     assert {(10, "spike"), (30, "stuck")} <= got
     assert {(i - 1000, r) for i, r in got if i >= 1000} == {(i, r) for i, r in got if i < 1000}
+
+
+def test_long_series_are_judged_alike(spark):
+    """A series of many rows, most of them repeats of two dates, and short ones: either way gives the same."""
+    values = [100.0 + i % 7 for i in range(30)] + [50.0] * 8
+    values[10] = 900.0
+    rows = [(k * 10_000 + i, k, date(2000 + i, 6, 30), v) for k in (1, 2) for i, v in enumerate(values)]
+    rows += [(20_000 + 100 + j, 2, date(2010, 6, 30), 900.0 if j % 2 else 103.0) for j in range(300)] + [(20_000 + 500 + j, 2, date(2012, 6, 30), -5.0) for j in range(50)] + [(1, None, date(2001, 1, 1), 1.0), (2, 1, None, -3.0)]
+    df = spark.createDataFrame(rows, "id long, k long, at date, v double").withColumn("s", F.lit("a"))
+    one = lambda n: sorted((r.id, r.reason) for r in implausible_values(df, "id", ["k", "s"], "at", "v", ["id"], may_be_negative=F.lit(False), upper_bound=F.lit(None).cast("double"), may_be_stuck=F.lit(True), long_series=n).collect())
+    whole = one(10**6)
+    assert whole == one(100) == one(0) and {(10_010, "spike"), (20_101, "spike"), (20_500, "impossible"), (2, "impossible")} <= set(whole) and (20_100, "spike") not in whole

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from factloom.operators import facts as P
 from factloom.operators import fx
 from factloom.operators.nested import flatten
-from factloom.operators.normalize import facts_from_entries, unit_flips, with_implied_eps
+from factloom.operators.normalize import facts_from_entries, in_target_currency, unit_flips, with_derived_facts, with_implied_eps
 from factloom.operators.ranking import RankedMetric, Ranking, score
 from factloom.operators.universe import classify, fill_missing, group_issuers
 from factloom.operators.upsert import changed_payloads, refuse_mass_removal, replace_slices, upsert
@@ -156,7 +156,7 @@ PAYLOAD = """{"General": {"CurrencyCode": "GBX"}, "Financials": {
  "Balance_Sheet": {"currency_symbol": "USD", "yearly": {"2024-12-31": {"date": "2024-12-31", "TOTALASSETS": "1,000", "totalLiab": 700, "totalCurrentLiabilities": 200}}},
  "Income_Statement": {"quarterly": [{"date": "2025-03-31", "netIncome": 5000, "filing_date": "2025-05-01"}, {"date": "n/a", "netIncome": 1}]},
  "Cash_Flow": {"quarterly": {"2025-03-31": {"totalCashFromOperatingActivities": 90, "freeCashFlow": 50, "currency_symbol": "EUR"}}}},
- "Earnings": {"History": {"2024-12-31": {"date": "2024-12-31", "epsActual": 120}}}, "outstandingShares": {"quarterly": [{"date": "2025-04-30", "sharesMln": "0.0001", "shares": 0}]}}"""
+ "Earnings": {"History": {"2024-12-31": {"date": "2024-12-31", "epsActual": 120}}}, "outstandingShares": {"quarterly": [{"date": "2025-04-30", "sharesMln": "0.0001", "shares": null}, {"date": "2024", "shares": 0}]}}"""
 
 
 def test_normalize(spark, tmp_path):
@@ -166,7 +166,7 @@ def test_normalize(spark, tmp_path):
     assert got == {
         ("Assets", "FY", "2024-12-31"): (1000.0, "USD", None), ("Liabilities", "FY", "2024-12-31"): (700.0, "USD", None), ("LiabilitiesCurrent", "FY", "2024-12-31"): (200.0, "USD", None), ("LongTermDebt", "FY", "2024-12-31"): (500.0, "USD", None),
         ("NetIncomeLoss", "Q1", "2025-03-31"): (50.0, "GBP", "2025-05-01"), ("NetCashProvidedByUsedInOperatingActivities", "Q1", "2025-03-31"): (90.0, "EUR", None),
-        ("CapitalExpenditures", "Q1", "2025-03-31"): (40.0, "EUR", None), ("FreeCashFlow", "Q1", "2025-03-31"): (50.0, "EUR", None),
+        ("CapitalExpenditures", "Q1", "2025-03-31"): (40.0, "EUR", None),
         ("EarningsPerShare", "Q4", "2024-12-31"): (1.2, "GBP", None), ("CommonStockSharesOutstanding", "Q2", "2025-04-30"): (100.0, None, None),
     }
     eps = with_implied_eps(facts, "id").filter("concept = 'EarningsPerShare' AND fiscal_period = 'Q1'").collect()
@@ -176,11 +176,37 @@ def test_normalize(spark, tmp_path):
     raw.write.parquet(src)
     start = lambda: facts_stream(spark.readStream.schema(raw.schema).parquet(src), PAYLOAD_TABLES, "id", "data", "fetched", dst, f"{tmp_path}/cp", 4).awaitTermination(120)
     start()
-    assert spark.read.parquet(dst).count() == 10
+    assert spark.read.parquet(dst).count() == 9
     again = [(1, '{"Earnings": {"History": {"2025-12-31": {"epsActual": 3}}}}', datetime(2026, 2, 1)), (3, PAYLOAD, datetime(2026, 2, 1))]
     spark.createDataFrame(again, raw.schema).write.mode("append").parquet(src)
     start()
-    assert {(r.id, r["count"]) for r in spark.read.parquet(dst).groupBy("id").count().collect()} == {(1, 1), (3, 10)}
+    assert {(r.id, r["count"]) for r in spark.read.parquet(dst).groupBy("id").count().collect()} == {(1, 1), (3, 9)}
+
+
+RICH = """{"General": {"CurrencyCode": "USD", "UpdatedAt": "2026-02-01"}, "SharesStats": {"SharesOutstanding": "1,000"}, "Highlights": {"MarketCapitalization": 5000, "DividendShare": "0.5"},
+ "Financials": {"Balance_Sheet": {"quarterly": [{"date": "2025-12-31", "totalAssets": 100, "totalLiab": 40, "preferredStock": 5, "noncontrollingInterestInConsolidatedEntity": 3, "commonStockTotalEquity": 1, "intangibleAssets": 7, "shareIssued": 900},
+   {"date": "2025-12-31", "shareIssued": 800}]},
+  "Income_Statement": {"quarterly": [{"date": "2025-12-31", "netIncome": 10, "preferredStockAndOtherAdjustments": 2, "eps": 0.4, "epsDiluted": null}, {"date": "2025-09-30", "netIncome": 8}]}},
+ "Earnings": {"History": {"2026-03-31": {"epsActual": 0, "reportDate": "2026-04-20"}, "2025-09-30": {"epsActual": 0}, "2025-06-30": {"epsActual": 0}, "2026-06-30": {"epsActual": 4, "reportDate": "2026-07-20"}}}}"""
+
+
+def test_facts_of_a_rich_payload(spark):
+    raw = spark.createDataFrame([(1, RICH)], "id long, data string")
+    facts = facts_from_entries(flatten(raw, "data", ["id"], PAYLOAD_TABLES), "id")
+    got = {(r.concept, r.fiscal_period, str(r.end_date)): r.value for r in facts.collect()}
+    # The smallest of two counts; a zero without a statement of its quarter and reports of the future are placeholders.
+    assert got["CommonStockSharesOutstanding", "Q4", "2025-12-31"] == 800 and got["CommonStockSharesOutstanding", "INSTANT", "2026-02-01"] == 1000
+    assert {k[2] for k in got if k[0] == "EarningsPerShare"} == {"2025-09-30"}
+    assert got["ProviderMarketCapitalization", "INSTANT", "2026-02-01"] == 5000 and got["CommonStockDividendsPerShareCashPaid", "TTM", "2026-02-01"] == 0.5
+    derived = {(r.concept, str(r.end_date)): r.value for r in with_derived_facts(facts, "id").collect() if r.fiscal_period == "Q4"}
+    day = "2025-12-31"
+    assert derived["StockholdersEquity", day] == 60 and derived["CommonStockholdersEquity", day] == 52 and derived["IntangibleAssetsNetExcludingGoodwill", day] == 7
+    assert derived["NetIncomeLossAvailableToCommonStockholdersBasic", day] == 8 and derived["EarningsPerShare", day] == 0.4
+    targets = spark.createDataFrame([(1, "EUR")], "id long, target string")
+    rates = spark.createDataFrame([("EUR", "USD", date(2025, 12, 1), 2.0, datetime(2026, 1, 1))], "base_currency string, quote_currency string, rate_date date, rate double, updated_at timestamp")
+    moved = {(r.concept, r.fiscal_period): (r.value, r.currency) for r in in_target_currency(facts, "id", targets, rates).collect()}
+    assert moved["Assets", "Q4"] == (50.0, "EUR") and moved["CommonStockSharesOutstanding", "Q4"] == (800.0, None) and ("NetIncomeLoss", "Q3") not in moved
+    assert with_derived_facts(facts.limit(0), "id").count() == 0
 
 
 def test_unit_flips(spark):

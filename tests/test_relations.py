@@ -4,6 +4,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.functions import scalars as S
 from factloom.operators import scope as R
 from factloom.operators.materialize import broadcast_if_small, discard, materialize
 from factloom.operators.universe import claim_representatives, classify, group_issuers, newest_identities, rescue_sole_listings
@@ -145,6 +146,17 @@ def test_screen_of_currencies(spark, tmp_path):
         parse_screen({"criteria": [{"name": "x", "left": {"metric": "a", "value": 1}, "operator": "<", "right": {"value": 1}}]})
 
 
+def test_money_and_texts(spark):
+    df = spark.createDataFrame([(150.0, "GBX", 1.0, "gbp "), (1.0, "USD", 0.0, "USD"), (1.0, "USD", 1.0, None), (None, "USD", 1.0, "USD")], "a double, b string, c double, d string")
+    x, y = S.money("a", "b"), S.money("c", "d")
+    got = df.select(S.money_math(x, y, "-")["amount"].alias("m"), S.money_math(x, y, "/").alias("q"), S.money_math(x, y, ">").alias("g")).collect()
+    assert [tuple(r) for r in got] == [(0.5, 1.5, True), (1.0, None, True), (None, None, None), (None, None, None)]
+    js = spark.createDataFrame([('{"b": [1, {"d": 1, "c": 2}], "a": "é"}',), ("{",), (None,)], "j string")
+    assert [r[0] for r in js.select(S.canonical_json("j")).collect()] == ['{"a":"\\u00e9","b":[1,{"c":2,"d":1}]}', None, None]
+    t = spark.createDataFrame([("abcdefghij", 1234.5), ("abc", None), (None, float("nan"))], "s string, v double")
+    assert [tuple(r) for r in t.select(S.shortened("s", 8), S.display_number("v", 1)).collect()] == [("abcde...", "1,234.5"), ("abc", "N/A"), (None, "N/A")]
+
+
 def test_settings(tmp_path):
     (tmp_path / "s.ini").write_text("[factloom]\nmax_age = 30\npivots = usd, chf\n")
     assert load_settings(str(tmp_path / "s.ini")) == Settings(pivots=("USD", "CHF"), max_age=30)
