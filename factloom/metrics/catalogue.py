@@ -340,13 +340,16 @@ def nopat_():
 nopat = shared("x_nopat", lambda ref: nopat_())
 
 
+ic_years = shared("x_ic_years", lambda ref: M.yearly(C("ic_y")))
+
+
 def roic_series_():
-    ic = M.yearly(C("ic_y"))
-    prior = F.transform(ic, lambda x: F.struct((x["y"] + 1).alias("y"), x["d"].alias("d"), x["v"].alias("v")))
-    oldest = F.element_at(ic, -1)["y"]
-    base = F.transform(ic, lambda x: F.struct(x["y"].alias("y"), x["d"].alias("d"), F.when(x["y"] == oldest, x["v"]).otherwise((x["v"] + M.in_year(prior, x["y"])) / 2).alias("v")))
-    base = F.when(F.size(ic) > 0, base)
-    return M.combined(nopat(), base, f=lambda n, b: F.when(b > 0, n / b))
+    def means(ic: Column) -> Column:
+        oldest = F.element_at(ic, -1)["y"]
+        mean = lambda x: F.when(x["y"] == oldest, x["v"]).otherwise((x["v"] + M.in_year(ic, x["y"] - 1)) / 2)
+        return F.when(F.size(ic) > 0, F.transform(ic, lambda x: F.struct(x["y"].alias("y"), x["d"].alias("d"), mean(x).alias("v"))))
+
+    return M.combined(nopat(), M.let(ic_years(), means), f=lambda n, b: F.when(b > 0, n / b))
 
 
 roic_series = shared("x_roic", lambda ref: roic_series_())
@@ -375,14 +378,16 @@ def _(ref):
 
 @metric("iroic_5y", "percent")
 def _(ref):
-    ic, n = M.yearly(C("ic_y")), nopat()
-    rows = M.combined(n, ic, f=lambda a, b: F.when(b.isNotNull() & a.isNotNull(), a))
-    pairs = F.filter(rows, lambda x: M.in_year(rows, x["y"] - 5).isNotNull())
-    top = F.get(pairs, F.lit(0))
-    dn, now, then = top["v"] - M.in_year(rows, top["y"] - 5), M.in_year(ic, top["y"]), M.in_year(ic, top["y"] - 5)
-    dic = now - then
-    small = (dic <= 0) | (F.abs(dic) / F.greatest(F.abs(then), F.lit(1.0)) < 0.01)
-    return M.val(F.when(small, F.when(dn > 0, 1.0)).otherwise(F.try_divide(dn, dic)), top["d"], top["d"] >= F.date_sub(ref, MAX_AGE_FY))
+    ic = ic_years()
+    rows = M.combined(nopat(), ic, f=lambda a, b: F.when(b.isNotNull() & a.isNotNull(), a))
+
+    def growth(p: Column) -> Column:
+        top = F.get(F.filter(p, lambda x: M.in_year(p, x["y"] - 5).isNotNull()), F.lit(0))
+        parts = M.let(top, lambda t: F.struct(t["d"].alias("d"), (t["v"] - M.in_year(p, t["y"] - 5)).alias("dn"), (M.in_year(ic, t["y"]) - M.in_year(ic, t["y"] - 5)).alias("di"), M.in_year(ic, t["y"] - 5).alias("then")))
+        small = lambda q: (q["di"] <= 0) | (F.abs(q["di"]) / F.greatest(F.abs(q["then"]), F.lit(1.0)) < 0.01)
+        return M.let(parts, lambda q: M.val(F.when(small(q), F.when(q["dn"] > 0, 1.0)).otherwise(F.try_divide(q["dn"], q["di"])), q["d"], q["d"] >= F.date_sub(ref, MAX_AGE_FY)))
+
+    return M.let(rows, growth)
 
 
 # Margins
