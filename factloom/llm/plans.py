@@ -74,8 +74,8 @@ PERCENTILE_ERROR = 0.01
 FILLER_VALUES = (-999999.0,)
 
 
-def daily_sketches(spark: SparkSession, d: str) -> DataFrame:
-    """Bucket counts of each metric, sector and day.  A row delivered again counts once.
+def sketches(spark: SparkSession, d: str, groups: list[str]) -> DataFrame:
+    """Bucket counts of ``groups`` (of metric_id, sector and as_of).  A row delivered again counts once.
 
     One exchange drops what was delivered again (on the map side too), one adds up the buckets; the sectors meet the values between
     them where the values are, by broadcast if the sectors are small for sure."""
@@ -83,20 +83,30 @@ def daily_sketches(spark: SparkSession, d: str) -> DataFrame:
     sectors = materialize(sectors.select("listing_id", F.initcap(F.regexp_replace("sector", _OUTER, "")).alias("sector")), "sectors")
     values = read_table(spark, d, "metrics").select("listing_id", "metric_id", "as_of", "value").filter(F.col("value").isNotNull() & ~F.col("value").isin(*FILLER_VALUES))
     values = values.distinct().join(broadcast_if_small(sectors), "listing_id", "left")
-    return bucket_counts(values, ["metric_id", "sector", "as_of"], F.col("value"), PERCENTILE_ERROR)
+    return bucket_counts(values, groups, F.col("value"), PERCENTILE_ERROR)
 
 
 def p4_daily_sketches(spark: SparkSession, d: str) -> DataFrame:
-    return daily_sketches(spark, d).withColumn("as_of", F.date_format("as_of", "yyyy-MM-dd"))
+    """The sketch of each metric, sector and day: what is kept to be combined later."""
+    return sketches(spark, d, ["metric_id", "sector", "as_of"]).withColumn("as_of", F.date_format("as_of", "yyyy-MM-dd"))
 
 
-def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    merged = merge_counts(daily_sketches(spark, d), ["metric_id", "sector"])
-    out = percentiles(merged, ["metric_id", "sector"], {"p50": 0.5, "p90": 0.9, "p99": 0.99}, PERCENTILE_ERROR)
+def _percentiles(counts: DataFrame) -> DataFrame:
+    out = percentiles(counts, ["metric_id", "sector"], {"p50": 0.5, "p90": 0.9, "p99": 0.99}, PERCENTILE_ERROR)
     fix = lambda c: F.when(F.abs(c) >= 1000, F.round(c, 1)).otherwise(F.round(c, 6)).alias(c)
     return out.select("metric_id", "sector", "n", fix("p50"), fix("p90"), fix("p99"), F.lit(PERCENTILE_ERROR).alias("relative_error"))
 
 
+def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of all days.  Buckets are added up over the days as over partitions, before the exchange."""
+    return _percentiles(sketches(spark, d, ["metric_id", "sector"]))
+
+
+def p4_percentiles_of_days(spark: SparkSession, d: str) -> DataFrame:
+    """The same from the sketches of single days, combined."""
+    return _percentiles(merge_counts(sketches(spark, d, ["metric_id", "sector", "as_of"]), ["metric_id", "sector"]))
+
+
 CONTAINER_TOKENS = 2048
 
 
@@ -147,7 +157,7 @@ def p10_by_source(spark: SparkSession, d: str) -> DataFrame:
     return p10_judged(spark, d).groupBy("source").agg(F.count("*").alias("documents"), F.count_if("is_cut").alias("cut"), F.round(F.count_if("is_cut") / F.count("*"), 6).alias("cut_share"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_percentiles, p4_daily_sketches, p8_packing, p8_fill, p8_invariants, p9_found, p9_leaks, p10_found, p10_judged, p10_by_source)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_percentiles, p4_percentiles_of_days, p4_daily_sketches, p8_packing, p8_fill, p8_invariants, p9_found, p9_leaks, p10_found, p10_judged, p10_by_source)}
 
 _P2_SQL = """
 WITH f AS (
@@ -196,5 +206,5 @@ r AS (
 ), p AS (SELECT metric_id, sector, CAST(max(total) AS BIGINT) AS n, {_PCT} FROM r GROUP BY 1, 2)
 SELECT metric_id, sector, n, {", ".join(f"CASE WHEN abs({x}) >= 1000 THEN round({x}, 1) ELSE round({x}, 6) END AS {x}" for x in ("p50", "p90", "p99"))}, CAST({PERCENTILE_ERROR} AS DOUBLE) AS relative_error FROM p
 """
-SQL = {"p2_found": _P2_SQL, "p3_found": _P3_SQL, "p4_daily_sketches": _SKETCH_SQL + "SELECT * REPLACE (strftime(as_of, '%Y-%m-%d') AS as_of) FROM b", "p4_percentiles": _P4_SQL}
+SQL = {"p2_found": _P2_SQL, "p3_found": _P3_SQL, "p4_daily_sketches": _SKETCH_SQL + "SELECT * REPLACE (strftime(as_of, '%Y-%m-%d') AS as_of) FROM b", "p4_percentiles": _P4_SQL, "p4_percentiles_of_days": _P4_SQL}
 SQL |= {"p8_invariants": checks.P8_INVARIANTS, "p9_found": checks.P9_FOUND, "p10_found": checks.P10_FOUND, "p10_by_source": checks.P10_BY_SOURCE}
